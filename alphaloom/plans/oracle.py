@@ -158,3 +158,149 @@ FROM (
                      flag_liquidity_risk, flag_negative_fcf, flag_high_pe, flag_high_volatility,
                      flag_negative_roe, flag_revenue_decline, flag_low_cash_coverage] AS red_flags_array
           FROM flag_cols)))""")
+
+
+# ---------------------------------------------------------------------------
+# Retail signals
+# ---------------------------------------------------------------------------
+
+cte("retail_silver", (), """
+SELECT o.o_orderkey AS Transaction_ID, o.o_orderdate AS "Date",
+       list_sort(array_agg(DISTINCT p.p_brand)) AS Product,
+       CAST(SUM(l.l_quantity) AS INT) AS Total_Items, o.o_totalprice AS Total_Cost,
+       n.n_name AS City, MAX(l.l_discount) > 0.07 AS Discount_Applied,
+       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'BOGO (Buy One Get One)'
+            WHEN '2-HIGH' THEN 'Discount on Selected Items' ELSE 'None' END AS Promotion,
+       CASE WHEN month(o.o_orderdate) IN (12, 1, 2) THEN 'Winter'
+            WHEN month(o.o_orderdate) IN (3, 4, 5) THEN 'Spring'
+            WHEN month(o.o_orderdate) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS Season
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+     JOIN part p ON p.p_partkey = l.l_partkey
+     JOIN customer c ON c.c_custkey = o.o_custkey
+     JOIN nation n ON n.n_nationkey = c.c_nationkey
+GROUP BY o.o_orderkey, o.o_orderdate, o.o_totalprice, n.n_name, o.o_orderpriority""")
+
+cte("rx", ("retail_silver",), """
+SELECT unnest(Product) AS Product, CAST("Date" AS DATE) AS DateOnly, Total_Items, Total_Cost,
+       City, Season, Promotion, Discount_Applied
+FROM retail_silver""")
+
+cte("daily_prod", ("rx",), """
+SELECT *, CAST(Items_7d - Items_30d AS DOUBLE) / NULLIF(CAST(Items_30d AS DOUBLE), 0) AS Demand_Momentum
+FROM (
+  SELECT DateOnly, Product, Daily_Items,
+         CAST(SUM(Daily_Items) OVER (PARTITION BY Product ORDER BY DateOnly
+              ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS BIGINT) AS Items_7d,
+         CAST(SUM(Daily_Items) OVER (PARTITION BY Product ORDER BY DateOnly
+              ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS BIGINT) AS Items_30d
+  FROM (SELECT DateOnly, Product, CAST(SUM(Total_Items) AS BIGINT) AS Daily_Items
+        FROM rx GROUP BY DateOnly, Product))""")
+
+cte("daily_spend", ("rx",), """
+SELECT City, DateOnly, Daily_Spend, Spend_7d, Spend_30d,
+       (Spend_7d - Spend_30d) / NULLIF(Spend_30d, 0) AS Spend_Momentum
+FROM (
+  SELECT City, DateOnly, CAST(spend AS DOUBLE) AS Daily_Spend,
+         CAST(SUM(spend) OVER w7 AS DOUBLE) / COUNT(spend) OVER w7 AS Spend_7d,
+         CAST(SUM(spend) OVER w30 AS DOUBLE) / COUNT(spend) OVER w30 AS Spend_30d
+  FROM (SELECT City, DateOnly, SUM(CAST(Total_Cost AS DECIMAL(18, 2))) AS spend
+        FROM rx GROUP BY City, DateOnly)
+  WINDOW w7 AS (PARTITION BY City ORDER BY DateOnly ROWS BETWEEN 7 PRECEDING AND CURRENT ROW),
+         w30 AS (PARTITION BY City ORDER BY DateOnly ROWS BETWEEN 30 PRECEDING AND CURRENT ROW))""")
+
+cte("discount", ("rx",), """
+SELECT *, (Avg_Items_Discount - Avg_Items_NoDiscount) / NULLIF(Avg_Items_NoDiscount, 0) AS Discount_Elasticity
+FROM (
+  SELECT Product,
+    CAST(SUM(CASE WHEN Discount_Applied THEN Total_Items END) AS DOUBLE)
+      / CAST(NULLIF(COUNT(CASE WHEN Discount_Applied THEN Total_Items END), 0) AS DOUBLE) AS Avg_Items_Discount,
+    CAST(SUM(CASE WHEN NOT Discount_Applied THEN Total_Items END) AS DOUBLE)
+      / CAST(NULLIF(COUNT(CASE WHEN NOT Discount_Applied THEN Total_Items END), 0) AS DOUBLE) AS Avg_Items_NoDiscount
+  FROM rx GROUP BY Product)""")
+
+cte("promo", ("rx",), """
+SELECT Product, Promotion,
+       CAST(SUM(Total_Items) AS DOUBLE) / CAST(NULLIF(COUNT(Total_Items), 0) AS DOUBLE) AS Avg_Items
+FROM rx GROUP BY Product, Promotion""")
+
+cte("promo_lift", ("promo",), """
+SELECT p.Product, p.Promotion, p.Avg_Items, b.Avg_Items AS Baseline_Avg_Items,
+       (p.Avg_Items - b.Avg_Items) / NULLIF(b.Avg_Items, 0) AS Promo_Lift
+FROM promo p LEFT JOIN (SELECT * FROM promo WHERE Promotion = 'None') b ON p.Product = b.Product""")
+
+cte("promo_lift_prod", ("promo_lift",), """
+SELECT Product, MAX(Promo_Lift) AS Max_Promo_Lift FROM promo_lift GROUP BY Product""")
+
+cte("season", ("rx",), """
+SELECT Product, Season, Season_Items,
+       CAST(Season_Items AS DOUBLE) / NULLIF(CAST(SUM(Season_Items) OVER (PARTITION BY Product) AS DOUBLE), 0)
+         AS Seasonality_Factor
+FROM (SELECT Product, Season, CAST(SUM(Total_Items) AS BIGINT) AS Season_Items
+      FROM rx GROUP BY Product, Season)""")
+
+cte("city", ("rx",), """
+SELECT City, CAST(SUM(Total_Items) AS BIGINT) AS City_Items,
+       CAST(SUM(CAST(Total_Cost AS DECIMAL(18, 2))) AS DOUBLE) / COUNT(Total_Cost) AS Avg_Spend,
+       CAST(SUM(CAST(Discount_Applied AS INT)) AS DOUBLE) / COUNT(Discount_Applied) AS Discount_Rate,
+       COUNT(*) AS Transaction_Count
+FROM rx GROUP BY City""")
+
+cte("city_stats", ("city",), """
+SELECT MIN(City_Items) AS City_Items_min, MAX(City_Items) AS City_Items_max,
+       MIN(Avg_Spend) AS Avg_Spend_min, MAX(Avg_Spend) AS Avg_Spend_max,
+       MIN(Discount_Rate) AS Discount_Rate_min, MAX(Discount_Rate) AS Discount_Rate_max,
+       MIN(Transaction_Count) AS Transaction_Count_min, MAX(Transaction_Count) AS Transaction_Count_max
+FROM city""")
+
+
+def _n1(c: str) -> str:
+    return (f"CAST(c.{c} - s.{c}_min AS DOUBLE) / NULLIF(CAST(s.{c}_max - s.{c}_min AS DOUBLE), 0) "
+            f"AS {c}_norm")
+
+
+cte("city_norm", ("city_stats",), f"""
+SELECT *, 0.25 * City_Items_norm + 0.25 * Avg_Spend_norm + 0.25 * Discount_Rate_norm
+          + 0.25 * Transaction_Count_norm AS Regional_Activity_Score
+FROM (SELECT c.*, {_n1('City_Items')}, {_n1('Avg_Spend')}, {_n1('Discount_Rate')},
+             {_n1('Transaction_Count')}
+      FROM city c, city_stats s)""")
+
+cte("base", ("rx",), "SELECT DISTINCT DateOnly, Product, City, Season FROM rx")
+
+
+def _gold(spend_keys: str) -> str:
+    return f"""
+SELECT b.DateOnly, b.Product, b.City, b.Season, dp.Daily_Items, dp.Items_7d, dp.Items_30d,
+       dp.Demand_Momentum, ds.Spend_Momentum, d.Discount_Elasticity, pl.Max_Promo_Lift,
+       s.Seasonality_Factor, cn.Regional_Activity_Score
+FROM base b
+LEFT JOIN daily_prod dp ON dp.DateOnly = b.DateOnly AND dp.Product = b.Product
+LEFT JOIN daily_spend ds ON {spend_keys}
+LEFT JOIN discount d ON d.Product = b.Product
+LEFT JOIN promo_lift_prod pl ON pl.Product = b.Product
+LEFT JOIN season s ON s.Product = b.Product AND s.Season = b.Season
+LEFT JOIN city_norm cn ON cn.City = b.City"""
+
+
+_GOLD_DEPS = ("base", "daily_prod", "daily_spend", "discount", "promo_lift_prod", "season", "city_norm")
+cte("gold", _GOLD_DEPS, _gold("ds.DateOnly = b.DateOnly"))
+cte("gold_fixed", _GOLD_DEPS, _gold("ds.DateOnly = b.DateOnly AND ds.City = b.City"))
+
+SIGNALS = [("Demand_Momentum", "0.25"), ("Spend_Momentum", "0.25"), ("Discount_Elasticity", "0.15"),
+           ("Max_Promo_Lift", "0.15"), ("Seasonality_Factor", "0.10"),
+           ("Regional_Activity_Score", "0.10")]
+
+
+def _scored(src: str) -> str:
+    stats = ", ".join(f"MIN({c}) AS {c}_min, MAX({c}) AS {c}_max" for c, _ in SIGNALS)
+    norms = ", ".join(
+        f"CASE WHEN s.{c}_max IS NULL OR s.{c}_min IS NULL OR s.{c}_max = s.{c}_min THEN 0.5 "
+        f"ELSE (g.{c} - s.{c}_min) / (s.{c}_max - s.{c}_min) END AS {c}_norm" for c, _ in SIGNALS)
+    score = " + ".join(f"{w} * {c}_norm" for c, w in SIGNALS)
+    return f"""
+SELECT *, {score} AS Retail_Activity_Score
+FROM (SELECT g.*, {norms} FROM {src} g, (SELECT {stats} FROM {src}) s)"""
+
+
+cte("gold_scored", ("gold",), _scored("gold"))
+cte("gold_fixed_scored", ("gold_fixed",), _scored("gold_fixed"))
