@@ -304,3 +304,90 @@ FROM (SELECT g.*, {norms} FROM {src} g, (SELECT {stats} FROM {src}) s)"""
 
 cte("gold_scored", ("gold",), _scored("gold"))
 cte("gold_fixed_scored", ("gold_fixed",), _scored("gold_fixed"))
+
+
+# ---------------------------------------------------------------------------
+# Posts
+# ---------------------------------------------------------------------------
+
+_WS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\p{Z}"
+_W = r"[\p{L}\p{N}_]"
+_FEAR = ("['crash','fear','panic','worried','scared','scary','dump','tank','plunge','collapse',"
+         "'bleeding','nervous']")
+_KEYWORDS = ("['delivery','deliveries','estimate','estimates','earnings','guidance','margin','margins',"
+             "'revenue','profit','profits','loss','losses','layoff','layoffs','acquisition','equity',"
+             "'rsu','rsus','valuation','price','target','dividend','cashflow','debt']")
+LEXICON_VALUES = ("('love', 3.0), ('great', 3.0), ('beat', 1.5), ('up', 0.5), ('profit', 1.9), "
+                  "('cut', -1.1), ('scared', -1.9), ('crash', -2.0), ('panic', -2.5), "
+                  "('debt', -1.5), ('selling', -0.5)")
+
+cte("tweets", (), """
+SELECT doc_id,
+       CASE WHEN doc_id % 97 = 0 THEN NULL
+            ELSE concat(substr(text, 1, 120), CASE doc_id % 5
+              WHEN 0 THEN ' $TSLA Crash and PANIC selling'
+              WHEN 1 THEN ' @desk Earnings beat, margins up &amp; revenue up! http://t.example/x'
+              WHEN 2 THEN ' great profit   www.x.example love it'
+              WHEN 3 THEN ' scared of debt, price target cut' ELSE '' END) END AS Tweet,
+       source AS "Stock Name", concat('Company ', source) AS "Company Name"
+FROM documents""")
+
+
+def _clean_sql(col: str) -> str:
+    t = col
+    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"),
+                 ("&#x27;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
+        t = f"replace({t}, '{a}', '{b}')"
+    for a, b in [("â€œ", '"'), ("â€\u009d", '"'), ("â€™", "''")]:
+        t = f"replace({t}, '{a}', '{b}')"
+    t = f"regexp_replace({t}, 'http[^{_WS}]+|www\\.[^{_WS}]+', '', 'g')"
+    t = f"regexp_replace({t}, '\\${_W}+', '', 'g')"
+    t = f"regexp_replace({t}, '@{_W}+', '', 'g')"
+    t = f"regexp_replace({t}, '[{_WS}]+', ' ', 'g')"
+    return f"coalesce(lower(trim({t})), '')"
+
+
+cte("tweet_words", ("tweets",), f"""
+SELECT *,
+  CASE WHEN len(tokens) > 0
+       THEN CAST(len(list_filter(tokens, lambda t: list_contains({_FEAR}, t))) AS DOUBLE) / len(tokens)
+       ELSE 0.0 END AS fear_score,
+  len(list_filter(tokens, lambda t: list_contains({_KEYWORDS}, t))) AS finance_keyword_score
+FROM (SELECT *, regexp_extract_all(lower(clean), '{_W}+') AS tokens
+      FROM (SELECT *, {_clean_sql('Tweet')} AS clean FROM tweets))""")
+
+cte("tweet_sent", ("tweet_words",), f"""
+SELECT w.*, GREATEST(-1.0, LEAST(1.0, s.s / sqrt(s.s * s.s + 15.0))) AS sentiment
+FROM tweet_words w JOIN (
+  SELECT u.doc_id, coalesce(SUM(l.valence), 0.0) AS s
+  FROM (SELECT doc_id, unnest(CASE WHEN len(tokens) = 0 THEN [NULL] ELSE tokens END) AS tok
+        FROM tweet_words) u
+  LEFT JOIN (VALUES {LEXICON_VALUES}) l(token, valence) ON l.token = u.tok
+  GROUP BY u.doc_id) s ON s.doc_id = w.doc_id""")
+
+cte("stock_vol", ("tweets",), """
+SELECT "Stock Name" AS stock, COUNT(*) AS n_rows, COUNT(Tweet) AS volume
+FROM tweets WHERE "Stock Name" IS NOT NULL GROUP BY 1""")
+
+cte("vol_moments", ("tweets", "stock_vol"), """
+SELECT AVG(v.volume) AS volume_mean, STDDEV_SAMP(v.volume) AS volume_std
+FROM tweets t JOIN stock_vol v ON v.stock = t."Stock Name\"""")
+
+cte("tweet_feat", ("tweet_sent", "stock_vol", "vol_moments"), """
+SELECT t.*, v.volume, (v.volume - m.volume_mean) / NULLIF(m.volume_std, 0) AS volume_zscore
+FROM tweet_sent t LEFT JOIN stock_vol v ON v.stock = t."Stock Name", vol_moments m""")
+
+
+def _n3(src: str, dst: str) -> str:
+    return (f"CASE WHEN {src} IS NULL THEN NULL WHEN s.{src}_mx = s.{src}_mn THEN 0.0 "
+            f"ELSE (CAST({src} AS DOUBLE) - s.{src}_mn) / (s.{src}_mx - s.{src}_mn) END AS {dst}")
+
+
+_N3 = [("sentiment", "sent_norm"), ("fear_score", "fear_norm"),
+       ("finance_keyword_score", "keyword_norm"), ("volume_zscore", "volume_norm")]
+
+cte("tweet_scored", ("tweet_feat",), f"""
+SELECT *, 0.4 * sent_norm + 0.3 * fear_norm + 0.2 * keyword_norm + 0.1 * volume_norm AS tweet_alpha
+FROM (SELECT f.*, {", ".join(_n3(a, b) for a, b in _N3)}
+      FROM tweet_feat f, (SELECT {", ".join(f"CAST(MIN({a}) AS DOUBLE) AS {a}_mn, CAST(MAX({a}) AS DOUBLE) AS {a}_mx" for a, _ in _N3)}
+                          FROM tweet_feat) s)""")
