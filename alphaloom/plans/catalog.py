@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_altdata, q_fundamentals, q_text  # noqa: F401
+from . import q_altdata, q_app, q_fundamentals, q_sources, q_text  # noqa: F401
 from .registry import REGISTRY
 
 

@@ -391,3 +391,110 @@ SELECT *, 0.4 * sent_norm + 0.3 * fear_norm + 0.2 * keyword_norm + 0.1 * volume_
 FROM (SELECT f.*, {", ".join(_n3(a, b) for a, b in _N3)}
       FROM tweet_feat f, (SELECT {", ".join(f"CAST(MIN({a}) AS DOUBLE) AS {a}_mn, CAST(MAX({a}) AS DOUBLE) AS {a}_mx" for a, _ in _N3)}
                           FROM tweet_feat) s)""")
+
+
+# ---------------------------------------------------------------------------
+# Macro, context, screens
+# ---------------------------------------------------------------------------
+
+cte("macro_daily", (), """
+SELECT CAST(ts AS DATE) AS date, CAST(COUNT(*) AS DOUBLE) AS spread_bps FROM events GROUP BY 1""")
+
+cte("macro", ("macro_daily",), """
+SELECT date, spread_bps, spread_3m_change,
+       CASE WHEN pr < 0.33 THEN 'LOW' WHEN pr < 0.67 THEN 'MEDIUM' ELSE 'HIGH' END AS credit_risk_bucket
+FROM (SELECT date, spread_bps, spread_bps - LAG(spread_bps, 3) OVER (ORDER BY date) AS spread_3m_change,
+             PERCENT_RANK() OVER (ORDER BY spread_bps) AS pr FROM macro_daily)""")
+
+
+def r2(expr: str, digits: int = 2) -> str:
+    """Spark's ``round`` on a double: half-up on the shortest decimal form."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
+cte("macro_one", ("macro",), """
+SELECT * FROM macro ORDER BY date DESC, spread_bps, spread_3m_change, credit_risk_bucket LIMIT 1""")
+
+cte("context", ("anomalies", "macro_one"), f"""
+SELECT a.ticker, a.company_name, a.sector, a.industry, a.country, a.exchange, a.currency,
+       {r2('a.market_cap', 0)} AS market_cap,
+       {r2('a.value_score')} AS value_score, {r2('a.growth_score')} AS growth_score,
+       {r2('a.quality_score')} AS quality_score, {r2('a.risk_score')} AS risk_score,
+       {r2('a.overall_alpha_score')} AS overall_alpha_score, a.conviction AS conviction_rating,
+       {r2('a.beta')} AS beta, {r2('a.volatility_30d')} AS volatility_30d,
+       {r2('a.volatility_90d')} AS volatility_90d, {r2('a.volatility_52w')} AS volatility_52w,
+       {r2('a.current_price')} AS current_price, {r2('a.free_cashflow')} AS free_cash_flow,
+       {r2('a.free_cash_flow_margin')} AS free_cash_flow_margin, {r2('a.fcf_yield')} AS fcf_yield,
+       {r2('a.debt_to_equity')} AS debt_to_equity, {r2('a.current_ratio')} AS current_ratio,
+       {r2('a.cash_to_debt')} AS cash_to_debt,
+       CAST(m.date AS VARCHAR) AS macro_date, {r2('m.spread_bps')} AS spread_bps,
+       {r2('m.spread_3m_change')} AS spread_3m_change, m.credit_risk_bucket,
+       {r2('a.red_flag_score')} AS red_flag_score, a.red_flag_severity, a.red_flag_count,
+       array_to_string(list_transform(list_filter(a.red_flags, lambda f: f IS NOT NULL AND f <> ''),
+                                      lambda f: trim(replace(f, '_', ' '))), '|') AS red_flags_text,
+       0 AS n_peers
+FROM anomalies a LEFT JOIN macro_one m ON TRUE""")
+
+
+def fmt(expr: str, decimals: int = 2, mult: str | None = None) -> str:
+    v = f"({expr}) * {mult}" if mult else expr
+    return f"coalesce(printf('%.{decimals}f', {r2(v, decimals)}), 'N/A')"
+
+
+cte("memo_prompts", ("anomalies",), f"""
+SELECT *, concat_ws(chr(10),
+  concat('Write a short investment memo on ', coalesce(ticker, 'N/A'), ' (', coalesce(company_name, 'N/A'), ').'),
+  concat('Sector: ', coalesce(sector, 'N/A'), '; industry: ', coalesce(industry, 'N/A'),
+         '; market cap (USD bn): ', {fmt('market_cap', 2, '(1.0 / 1e9)')}, '.'),
+  concat('Alpha score ', {fmt('overall_alpha_score')}, ', rated ', coalesce(conviction, 'N/A'), '.'),
+  concat('Value ', {fmt('value_score')}, ' (P/E ', {fmt('pe_ratio')}, ', P/B ', {fmt('pb_ratio')},
+         '); growth ', {fmt('growth_score')}, ' (revenue ', {fmt('revenue_growth_yoy', 1, '100.0')},
+         '%); quality ', {fmt('quality_score')}, ' (ROE ', {fmt('roe', 1, '100.0')}, '%); risk ',
+         {fmt('risk_score')}, ' (D/E ', {fmt('debt_to_equity')}, ').'),
+  concat('Red flags (', coalesce(CAST(red_flag_count AS VARCHAR), '0'), '): ',
+         CASE WHEN red_flags IS NULL OR len(red_flags) = 0 THEN 'None'
+              ELSE array_to_string(red_flags, ', ') END, '.'),
+  'Cover the thesis, two strengths, two risks and a recommendation.') AS prompt
+FROM anomalies""")
+
+cte("memo_batch", ("memo_prompts",), """
+SELECT ticker, company_name, sector, overall_alpha_score, conviction, value_score, growth_score,
+       quality_score, risk_score, red_flag_count,
+       CASE WHEN length(prompt) % 2 = 1 THEN 'Error generating memo: model unavailable'
+            ELSE concat('memo[', CAST(length(prompt) AS VARCHAR), '] ', split_part(prompt, chr(10), 1)) END
+         AS investment_memo
+FROM memo_prompts ORDER BY overall_alpha_score DESC, ticker LIMIT 10""")
+
+
+# ---------------------------------------------------------------------------
+# Prices and portfolio
+# ---------------------------------------------------------------------------
+
+cte("prices_obs", (), """
+SELECT CAST(date_trunc('month', l.l_shipdate) AS DATE) AS date, p.p_brand AS ticker,
+       MAX(l.l_extendedprice / l.l_quantity) AS price
+FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1, 2""")
+
+cte("prices_grid", ("prices_obs",), """
+SELECT d.date, t.ticker, o.price
+FROM (SELECT DISTINCT date FROM prices_obs) d CROSS JOIN (SELECT DISTINCT ticker FROM prices_obs) t
+LEFT JOIN prices_obs o ON o.date = d.date AND o.ticker = t.ticker""")
+
+cte("returns_all", ("prices_grid",), """
+SELECT date, ticker, px / LAG(px) OVER (PARTITION BY ticker ORDER BY date) - 1.0 AS ret
+FROM (SELECT *, LAST_VALUE(price IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS px FROM prices_grid)""")
+
+cte("returns", ("returns_all",), """
+SELECT * FROM returns_all WHERE date IN (
+  SELECT date FROM returns_all GROUP BY date
+  HAVING COUNT(ret) = (SELECT COUNT(DISTINCT ticker) FROM returns_all))""")
+
+cte("weights", ("returns",), """
+SELECT ticker, variance, inv_var / SUM(inv_var) OVER () AS weight
+FROM (SELECT ticker, VAR_SAMP(ret) AS variance, 1.0 / NULLIF(VAR_SAMP(ret), 0) AS inv_var
+      FROM returns GROUP BY ticker)""")
+
+cte("port_daily", ("returns", "weights"), """
+SELECT r.date, SUM(r.ret * w.weight) AS port_ret FROM returns r JOIN weights w ON w.ticker = r.ticker
+GROUP BY r.date""")
