@@ -31,6 +31,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 @dataclass(frozen=True)
 class RankSpec:
@@ -53,7 +55,7 @@ def percent_rank_window(df: DataFrame, group: str, specs: list[RankSpec]) -> Dat
 
 
 def percent_rank_bucketed(df: DataFrame, key: str, group: str, specs: list[RankSpec],
-                          buckets: int = 128) -> DataFrame:
+                          buckets: int = 128, materialize: bool = True) -> DataFrame:
     """Skew-proof exact form; ``key`` must identify a row uniquely."""
     g = "_g"
     metrics = F.array(*[
@@ -61,6 +63,10 @@ def percent_rank_bucketed(df: DataFrame, key: str, group: str, specs: list[RankS
                  (_col(s.column) if s.ascending else -_col(s.column)).cast("double").alias("v"))
         for s in specs])
     long = (df.select(_col(key).alias("_key"), _col(group).alias(g), F.inline(metrics)))
+    if materialize:
+        # Several branches read ``long``; a checkpoint derives it once.
+        ensure_checkpoint_dir(df.sparkSession)
+        long = long.checkpoint(eager=True)
 
     hist = long.groupBy(g, "metric", "v").agg(F.count(F.lit(1)).alias("c"))
 
