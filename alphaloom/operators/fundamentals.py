@@ -121,7 +121,7 @@ CONVICTION_LEVELS = [(8.0, "Strong Buy"), (7.0, "Buy"), (5.0, "Hold"), (3.0, "Se
 CONVICTION_FLOOR = "Strong Sell"
 
 
-def sector_percentiles(df: DataFrame, method: str = "bucketed", key: str = "ticker",
+def sector_percentiles(df: DataFrame, method: str = "auto", key: str = "ticker",
                        group: str = "sector") -> DataFrame:
     """The 18 sector-relative percentiles, exact, for every company."""
     return grouped_percent_rank(df, key, group, ALL_RANKS, method=method)
@@ -185,7 +185,7 @@ def conviction_bucket(df: DataFrame) -> DataFrame:
     return df.withColumn("conviction", conviction_expr(_c("overall_alpha_score")))
 
 
-def factor_scores(cleaned: DataFrame, method: str = "bucketed") -> DataFrame:
+def factor_scores(cleaned: DataFrame, method: str = "auto") -> DataFrame:
     """W4 -> F1..F5 -> C7 on a cleaned fundamentals frame."""
     df = sector_percentiles(cleaned, method=method)
     for step in (value_score, growth_score, quality_score, risk_score, overall_alpha,

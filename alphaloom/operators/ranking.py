@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize as materialize_df
 
 
 @dataclass(frozen=True)
@@ -64,9 +64,8 @@ def percent_rank_bucketed(df: DataFrame, key: str, group: str, specs: list[RankS
         for s in specs])
     long = (df.select(_col(key).alias("_key"), _col(group).alias(g), F.inline(metrics)))
     if materialize:
-        # Several branches read ``long``; a checkpoint derives it once.
-        ensure_checkpoint_dir(df.sparkSession)
-        long = long.checkpoint(eager=True)
+        # Several branches read ``long``; one written copy derives it once.
+        long = materialize_df(long, "rank_long")
 
     hist = long.groupBy(g, "metric", "v").agg(F.count(F.lit(1)).alias("c"))
 
@@ -118,8 +117,26 @@ def percent_rank_bucketed(df: DataFrame, key: str, group: str, specs: list[RankS
     return df.join(wide, _col(key) == wide["_key"]).drop("_key")
 
 
+# Largest group the native window may hold in one task under ``auto``.
+WINDOW_MAX_GROUP_ROWS = 500_000
+
+
+def largest_group(df: DataFrame, group: str) -> int:
+    """Row count of the biggest group: one small aggregate, one number back."""
+    row = df.groupBy(_col(group)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
+    return int(row["m"] or 0)
+
+
 def grouped_percent_rank(df: DataFrame, key: str, group: str, specs: list[RankSpec],
-                         method: str = "bucketed", buckets: int = 128) -> DataFrame:
+                         method: str = "auto", buckets: int = 128,
+                         max_group_rows: int = WINDOW_MAX_GROUP_ROWS) -> DataFrame:
+    """``window``: native windows (a group per task); ``bucketed``: the
+    skew-proof form; ``auto``: checks the largest group first and uses the
+    native windows only while that group fits one task comfortably -- the
+    same size check that guards a broadcast, with the bucketed plan beyond
+    it.  Both plans give identical numbers."""
+    if method == "auto":
+        method = "window" if largest_group(df, group) <= max_group_rows else "bucketed"
     if method == "window":
         return percent_rank_window(df, group, specs)
     if method == "bucketed":

@@ -22,14 +22,14 @@ def cleaned(spark: SparkSession, base: str) -> DataFrame:
     return fu.clean_fundamentals(companies(spark, base))
 
 
-def scored(spark: SparkSession, base: str, method: str = "bucketed") -> DataFrame:
+def scored(spark: SparkSession, base: str, method: str = "auto") -> DataFrame:
     return fu.factor_scores(cleaned(spark, base), method=method)
 
 
-def standardized(spark: SparkSession, base: str, method: str = "bucketed") -> DataFrame:
+def standardized(spark: SparkSession, base: str, method: str = "auto") -> DataFrame:
     return fu.standardize(scored(spark, base, method))
 
 
-def anomalies(spark: SparkSession, base: str, method: str = "bucketed") -> DataFrame:
+def anomalies(spark: SparkSession, base: str, method: str = "auto") -> DataFrame:
     """The flagged company table (``yfin_with_anomalies`` shape)."""
     return fl.with_anomalies(standardized(spark, base, method))

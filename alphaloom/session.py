@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this library relies on.  AQE stays on so that the
 # planner can coalesce small shuffles, split skewed join partitions and pick
@@ -22,6 +23,7 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -60,3 +62,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for materialised intermediate tables inside the shared folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back.
+
+    This cuts the lineage like a reliable checkpoint (a lost executor never
+    replays the upstream work), computes the input once (an eager
+    ``checkpoint`` on an unpersisted plan runs it twice), stores it columnar
+    and compressed, and gives the planner real file sizes for its join
+    choices.  Each call writes a fresh folder, so frames built earlier keep
+    reading their own copy.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

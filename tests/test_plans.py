@@ -47,8 +47,9 @@ def test_text_features_stay_in_jvm(spark):
 
 
 def test_bucketed_percentiles_have_no_single_partition_window(spark):
-    p = plan(fu.sector_percentiles(st.cleaned(spark, SF_SMALL)))
+    p = plan(fu.sector_percentiles(st.cleaned(spark, SF_SMALL), method="bucketed"))
     assert "SinglePartition" not in p
+    assert "Window [percent_rank" not in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
@@ -61,3 +62,12 @@ def test_gold_reads_the_checkpoint_not_the_transactions(spark):
 def test_context_has_no_cross_join(spark):
     p = plan(E.queries()["company_context"](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_auto_switches_to_bucketed_for_big_groups(spark):
+    from alphaloom.operators import ranking as rk
+    cleaned = st.cleaned(spark, SF_SMALL)
+    small = plan(rk.grouped_percent_rank(cleaned, "ticker", "sector", fu.ALL_RANKS, "auto"))
+    big = plan(rk.grouped_percent_rank(cleaned, "ticker", "sector", fu.ALL_RANKS, "auto",
+                                       max_group_rows=10))
+    assert "percent_rank" in small and "percent_rank" not in big
