@@ -267,3 +267,20 @@ def q_conviction_distribution(spark, base):
           ctes=("standardized",))
 def q_required_columns(spark, base):
     return pf.required_columns(st.standardized(spark, base), pf.REQUIRED_COLUMNS)
+
+
+@register("completeness_band", "column_name, pct_complete:d, band",
+          _completeness_sql(), ctes=("company_profile",))
+def q_completeness_band(spark, base):
+    """The band of every profiled column."""
+    return pf.completeness(st.companies(spark, base), pf.CRITICAL_COLUMNS)
+
+
+@register("contradictions",
+          "ticker, company_name, overall_alpha_score:d, conviction, red_flag_count, red_flags_text",
+          f"""FROM (SELECT *, {FLAG_TEXT_SQL} AS red_flags_text FROM anomalies)
+              WHERE overall_alpha_score >= 7.0 AND red_flag_count >= 2""", ctes=("anomalies",))
+def q_contradictions(spark, base):
+    """C10 listing: high alpha but two or more red flags, best alpha first."""
+    return _flag_text(fl.flag_partition(st.anomalies(spark, base), "contradiction")
+                      .orderBy(F.col("overall_alpha_score").desc(), "ticker"))
