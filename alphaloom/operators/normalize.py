@@ -31,6 +31,22 @@ def minmax_bounds(stats_source: DataFrame, column: str) -> tuple[Column, Column]
     return agg.select("mn").scalar(), agg.select("mx").scalar()
 
 
+def bounds_struct(stats_source: DataFrame, columns: list[str]) -> Column:
+    """ONE scalar subquery returning a struct of ``<c>_min`` / ``<c>_max``
+    for every column of ``stats_source``."""
+    fields = []
+    for c in columns:
+        fields += [F.min(_c(c)).alias(f"{c}_min"), F.max(_c(c)).alias(f"{c}_max")]
+    return stats_source.agg(F.struct(*fields).alias("b")).scalar()
+
+
+def attach_bounds(df: DataFrame, name: str, stats_source: DataFrame, columns: list[str]) -> DataFrame:
+    """Add the bounds struct as column ``name``.  Kept as its own projected
+    column (a subquery is not cheap, so Catalyst does not inline it into each
+    use); normalisations then read plain struct fields."""
+    return df.withColumn(name, bounds_struct(stats_source, columns))
+
+
 def minmax_plain(x: Column, mn: Column, mx: Column) -> Column:
     """(x - min) / (max - min); a constant column gives NULL (the
     reference divides unguarded)."""
@@ -51,11 +67,10 @@ def minmax_zero(x: Column, mn: Column, mx: Column) -> Column:
 def normalize_columns(df: DataFrame, columns: list[str], kind: str,
                       stats_source: DataFrame | None = None, suffix: str = "_norm") -> DataFrame:
     """Add ``<c><suffix>`` for each column; statistics come from
-    ``stats_source`` (default ``df`` itself)."""
+    ``stats_source`` (default ``df`` itself) through one scalar subquery."""
     fn = {"plain": minmax_plain, "half": minmax_half, "zero": minmax_zero}[kind]
-    src = df if stats_source is None else stats_source
-    out = {}
-    for c in columns:
-        mn, mx = minmax_bounds(src.select(c), c)
-        out[f"{c}{suffix}"] = fn(_c(c), mn, mx)
-    return df.withColumns(out)
+    src = (df if stats_source is None else stats_source).select(*columns)
+    out = attach_bounds(df, "_bounds", src, columns)
+    b = F.col("_bounds")
+    return out.withColumns({f"{c}{suffix}": fn(_c(c), b[f"{c}_min"], b[f"{c}_max"])
+                            for c in columns}).drop("_bounds")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .normalize import minmax_bounds, minmax_zero
+from .normalize import attach_bounds, minmax_zero
 
 # Post-alpha weights.
 TWEET_WEIGHTS = [("sent_norm", 0.4), ("fear_norm", 0.3), ("keyword_norm", 0.2), ("volume_norm", 0.1)]
@@ -101,11 +101,13 @@ def tweet_features(posts: DataFrame, lexicon: DataFrame, lexicon_rows: int | Non
 
 def tweet_alpha(features: DataFrame) -> DataFrame:
     """N3 on the four features (constant column -> 0.0), then T5."""
-    out = {}
-    for src, dst in FEATURE_NORMS:
-        mn, mx = minmax_bounds(features.select(src), src)
-        out[dst] = minmax_zero(F.col(src).cast("double"), mn.cast("double"), mx.cast("double"))
-    feat = features.withColumns(out)
+    srcs = [src for src, _ in FEATURE_NORMS]
+    b = F.col("_bounds")
+    feat = attach_bounds(features, "_bounds", features.select(*srcs), srcs)
+    feat = feat.withColumns({
+        dst: minmax_zero(F.col(src).cast("double"), b[f"{src}_min"].cast("double"),
+                         b[f"{src}_max"].cast("double"))
+        for src, dst in FEATURE_NORMS}).drop("_bounds")
     score = None
     for c, w in TWEET_WEIGHTS:
         term = F.lit(w) * F.col(c)
