@@ -324,7 +324,7 @@ LEXICON_VALUES = ("('love', 3.0), ('great', 3.0), ('beat', 1.5), ('up', 0.5), ('
 cte("tweets", (), """
 SELECT doc_id,
        CASE WHEN doc_id % 97 = 0 THEN NULL
-            ELSE concat(substr(text, 1, 120), CASE doc_id % 5
+            ELSE concat(text, CASE doc_id % 5
               WHEN 0 THEN ' $TSLA Crash and PANIC selling'
               WHEN 1 THEN ' @desk Earnings beat, margins up &amp; revenue up! http://t.example/x'
               WHEN 2 THEN ' great profit   www.x.example love it'

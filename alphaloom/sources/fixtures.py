@@ -178,13 +178,14 @@ TWEET_SUFFIXES = [
 
 
 def tweets(spark: SparkSession, base: str) -> DataFrame:
+    """One post per document: the whole document text plus a tagged suffix
+    (every 97th post is NULL), the source as stock, a company name."""
     d = _read(spark, base, "documents", "doc_id", "text", "source")
     k = F.col("doc_id")
     suffix = F.lit("")
     for i, s in reversed(list(enumerate(TWEET_SUFFIXES))):
         suffix = F.when(k % 5 == i, F.lit(s)).otherwise(suffix)
-    tweet = F.when(k % 97 == 0, F.lit(None).cast("string")).otherwise(
-        F.concat(F.substring("text", 1, 120), suffix))
+    tweet = F.when(k % 97 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.col("text"), suffix))
     return d.select(k, tweet.alias("Tweet"), F.col("source").alias("Stock Name"),
                     F.concat(F.lit("Company "), F.col("source")).alias("Company Name"))
 
