@@ -1,11 +1,10 @@
 """Post features and the post alpha.
 
 Plan shape: cleaning and word-list scores are row expressions; the lexicon
-score explodes tokens, joins the lexicon (broadcast only when its size is
-known to be small) and folds back to one row per post with a grouped
-aggregate that combines map-side, so a post's tokens never leave its task
-before being reduced to one row.  Stock volume is aggregate-then-join, and
-every global statistic is a scalar subquery.
+score explodes (post key, token) pairs only, joins the lexicon (broadcast
+only when its size is known to be small), sums per post with map-side
+partial aggregation and joins the one-row-per-post sums back.  Stock volume
+is aggregate-then-join, and every global statistic is a scalar subquery.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize as materialize_df
 from .normalize import attach_bounds, minmax_zero
 
 # Post-alpha weights.
@@ -21,8 +21,10 @@ TWEET_WEIGHTS = [("sent_norm", 0.4), ("fear_norm", 0.3), ("keyword_norm", 0.2),
 FEATURE_NORMS = [("sentiment", "sent_norm"), ("fear_score", "fear_norm"),
                  ("finance_keyword_score", "keyword_norm"), ("volume_zscore", "volume_norm")]
 
-# A lexicon known to be at most this many rows is broadcast explicitly;
-# larger or unknown ones are left to the planner's size estimate.
+# A lexicon known to be at most this many rows is looked up in place (map
+# lookups scan the keys, so only for tiny lexicons); up to the second bound
+# it is broadcast explicitly; larger or unknown ones go to the planner.
+MAP_LOOKUP_ROWS = 64
 LEXICON_BROADCAST_ROWS = 100_000
 
 
@@ -43,20 +45,28 @@ def lexicon_sentiment(feat: DataFrame, lexicon: DataFrame, key: str = "doc_id",
                       lexicon_rows: int | None = None) -> DataFrame:
     """T4: compound polarity of the summed token valences; no hit -> 0.0.
 
-    ``lexicon_rows`` is the caller's known row count of ``lexicon``; with a
-    known small size the lexicon is broadcast, otherwise the planner chooses
-    from its own size estimate.  Case is ignored (tokens are lower case)."""
-    lex = lexicon.select(F.lower("token").alias("_tok"), F.col("valence").alias("_val"))
+    ``lexicon_rows`` is the caller's known row count of ``lexicon`` (case is
+    ignored; a token listed twice adds its valences).  A lexicon known to be
+    tiny is folded into one map value (a scalar subquery) and each post's
+    tokens are scored in place by a higher-order ``aggregate``: no explode,
+    no join, no shuffle, one pass over the text.  Otherwise only
+    ``(key, token)`` pairs are exploded (never the text), joined to the
+    lexicon (broadcast when known small enough, else the planner decides),
+    summed per post with map-side partial aggregation and joined back."""
+    lex = (lexicon.select(F.lower("token").alias("_tok"), F.col("valence").alias("_val"))
+           .groupBy("_tok").agg(F.sum("_val").alias("_val")))
+    if lexicon_rows is not None and lexicon_rows <= MAP_LOOKUP_ROWS:
+        lex_map = lex.agg(F.map_from_entries(F.collect_list(F.struct("_tok", "_val"))).alias("m")).scalar()
+        out = feat.withColumn("_lex", lex_map)
+        total = F.aggregate("tokens", F.lit(0.0), lambda acc, t: acc + F.coalesce(
+            F.try_element_at(F.col("_lex"), t), F.lit(0.0)))
+        return out.withColumn("sentiment", tx.compound(total)).drop("_lex")
     if lexicon_rows is not None and lexicon_rows <= LEXICON_BROADCAST_ROWS:
         lex = F.broadcast(lex)
-    others = [c for c in feat.columns if c != key]
-    exploded = feat.select("*", F.explode_outer("tokens").alias("_tok"))
-    summed = (exploded.join(lex, "_tok", "left")
-              .groupBy(key)
-              .agg(*[F.any_value(_c(c)).alias(c) for c in others],
-                   F.coalesce(F.sum("_val"), F.lit(0.0)).alias("_s")))
-    return (summed.withColumn("sentiment", tx.compound(F.col("_s"))).drop("_s")
-            .select(key, *others, "sentiment"))
+    pairs = feat.select(_c(key).alias("_k"), F.explode("tokens").alias("_tok"))
+    sums = (pairs.join(lex, "_tok").groupBy("_k").agg(F.sum("_val").alias("_s")))
+    out = feat.join(sums, _c(key) == F.col("_k"), "left").drop("_k")
+    return (out.withColumn("sentiment", tx.compound(F.coalesce(F.col("_s"), F.lit(0.0)))).drop("_s"))
 
 
 def stock_volume(posts: DataFrame, stock: str = "Stock Name", text_col: str = "Tweet") -> DataFrame:
@@ -92,11 +102,17 @@ def volume_zscore(posts: DataFrame, stock: str = "Stock Name", text_col: str = "
 
 
 def tweet_features(posts: DataFrame, lexicon: DataFrame, lexicon_rows: int | None = None,
-                   key: str = "doc_id", exact_entities: bool = False) -> DataFrame:
-    """T1-T4 + N4 on every post."""
+                   key: str = "doc_id", exact_entities: bool = False,
+                   materialize: bool = True) -> DataFrame:
+    """T1-T4 + N4 on every post.  The post alpha reads the features twice
+    (global min/max, then the rows); ``materialize`` writes them once (token
+    arrays dropped) to the shared checkpoint folder so the text is cleaned
+    and scored in one pass."""
     feat = word_features(posts, exact_entities=exact_entities)
-    feat = lexicon_sentiment(feat, lexicon, key, lexicon_rows)
-    return volume_zscore(feat)
+    feat = volume_zscore(lexicon_sentiment(feat, lexicon, key, lexicon_rows))
+    if materialize:
+        feat = materialize_df(feat.drop("tokens"), "post_features")
+    return feat
 
 
 def tweet_alpha(features: DataFrame) -> DataFrame:
