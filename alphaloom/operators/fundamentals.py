@@ -185,15 +185,39 @@ def conviction_bucket(df: DataFrame) -> DataFrame:
     return df.withColumn("conviction", conviction_expr(_c("overall_alpha_score")))
 
 
-def factor_scores(cleaned: DataFrame, method: str = "auto") -> DataFrame:
-    """W4 -> F1..F5 -> C7 on a cleaned fundamentals frame."""
+def factor_scores(cleaned: DataFrame, method: str = "auto", fixed: bool = False) -> DataFrame:
+    """W4 -> F1..F5 -> C7 on a cleaned fundamentals frame.
+
+    ``fixed=True`` is the corrected variant of the reference formulas: every
+    term is ``1 - p`` (the better value scores higher whichever direction
+    ranks it), a missing metric scores a neutral 0.5 instead of the last
+    rank, and the growth score keeps the 0-10 scale (no x10)."""
     df = sector_percentiles(cleaned, method=method)
-    for step in (value_score, growth_score, quality_score, risk_score, overall_alpha,
-                 conviction_bucket):
+    steps = (fixed_scores,) if fixed else (value_score, growth_score, quality_score, risk_score)
+    for step in (*steps, overall_alpha, conviction_bucket):
         df = step(df)
     return df
 
 
+def _fixed_term(spec: RankSpec) -> Column:
+    return F.when(_c(spec.column).isNull(), F.lit(0.5)).otherwise(F.lit(1.0) - _c(spec.name))
+
+
+def fixed_scores(df: DataFrame) -> DataFrame:
+    """F1-F4, fixed variant (see ``factor_scores``)."""
+    def two_each(specs):
+        total = None
+        for sp in specs:
+            term = _fixed_term(sp) * 2.0
+            total = term if total is None else total + term
+        return total
+
+    g = GROWTH_RANKS
+    growth = _fixed_term(g[0]) * 3.33 + _fixed_term(g[1]) * 3.33 + _fixed_term(g[2]) * 3.34
+    return df.withColumns({"value_score": two_each(VALUE_RANKS), "growth_score": growth,
+                           "quality_score": two_each(QUALITY_RANKS), "risk_score": two_each(RISK_RANKS)})
+
+
 # ---------------------------------------------------------------------------
 # C5, C6 naming and volatility proxies
 # ---------------------------------------------------------------------------

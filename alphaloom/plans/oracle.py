@@ -498,3 +498,45 @@ FROM (SELECT ticker, VAR_SAMP(ret) AS variance, 1.0 / NULLIF(VAR_SAMP(ret), 0) A
 cte("port_daily", ("returns", "weights"), """
 SELECT r.date, SUM(r.ret * w.weight) AS port_ret FROM returns r JOIN weights w ON w.ticker = r.ticker
 GROUP BY r.date""")
+
+
+# ---------------------------------------------------------------------------
+# Corrected ("fixed") variants
+# ---------------------------------------------------------------------------
+
+def _ft(metric: str, pct: str) -> str:
+    return f"(CASE WHEN {metric} IS NULL THEN 0.5 ELSE 1.0 - {pct} END)"
+
+
+cte("scored_fixed", ("percentiles",), f"""
+SELECT *, CASE WHEN overall_alpha_score >= 8.0 THEN 'Strong Buy' WHEN overall_alpha_score >= 7.0 THEN 'Buy'
+               WHEN overall_alpha_score >= 5.0 THEN 'Hold' WHEN overall_alpha_score >= 3.0 THEN 'Sell'
+               ELSE 'Strong Sell' END AS conviction
+FROM (SELECT *, value_score * 0.25 + growth_score * 0.30 + quality_score * 0.30 + risk_score * 0.15
+                AS overall_alpha_score
+      FROM (SELECT *,
+        {_ft('pe_ratio', 'pe_percentile')} * 2.0 + {_ft('pb_ratio', 'pb_percentile')} * 2.0
+          + {_ft('ps_ratio', 'ps_percentile')} * 2.0 + {_ft('ev_to_ebitda', 'ev_ebitda_percentile')} * 2.0
+          + {_ft('fcf_yield', 'fcf_yield_percentile')} * 2.0 AS value_score,
+        {_ft('quarterly_revenue_growth', 'rev_growth_percentile')} * 3.33
+          + {_ft('earnings_growth', 'earnings_growth_percentile')} * 3.33
+          + {_ft('quarterly_earnings_growth', 'qtr_earnings_percentile')} * 3.34 AS growth_score,
+        {_ft('roe', 'roe_percentile')} * 2.0 + {_ft('roa', 'roa_percentile')} * 2.0
+          + {_ft('profit_margin', 'profit_margin_percentile')} * 2.0
+          + {_ft('operating_margin', 'operating_margin_percentile')} * 2.0
+          + {_ft('fcf_to_revenue', 'fcf_quality_percentile')} * 2.0 AS quality_score,
+        {_ft('debt_to_equity', 'debt_eq_percentile')} * 2.0 + {_ft('current_ratio', 'current_ratio_percentile')} * 2.0
+          + {_ft('beta', 'beta_percentile')} * 2.0 + {_ft('price_volatility', 'volatility_percentile')} * 2.0
+          + {_ft('cash_to_debt', 'cash_debt_percentile')} * 2.0 AS risk_score
+      FROM percentiles))""")
+
+cte("daily_prod_calendar", ("rx",), """
+SELECT *, CAST(Items_7d - Items_30d AS DOUBLE) / NULLIF(CAST(Items_30d AS DOUBLE), 0) AS Demand_Momentum
+FROM (
+  SELECT DateOnly, Product, Daily_Items,
+         CAST(SUM(Daily_Items) OVER (PARTITION BY Product ORDER BY date_diff('day', DATE '1970-01-01', DateOnly)
+              RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS Items_7d,
+         CAST(SUM(Daily_Items) OVER (PARTITION BY Product ORDER BY date_diff('day', DATE '1970-01-01', DateOnly)
+              RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS Items_30d
+  FROM (SELECT DateOnly, Product, CAST(SUM(Total_Items) AS BIGINT) AS Daily_Items
+        FROM rx GROUP BY DateOnly, Product))""")

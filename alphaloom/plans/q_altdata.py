@@ -138,3 +138,11 @@ def q_minmax_half(spark, base):
           "FROM gold_scored", ctes=("gold_scored",))
 def q_retail_activity_score(spark, base):
     return signals(spark, base).scored()
+
+
+@register("demand_momentum_calendar",
+          "DateOnly, Product, Daily_Items, Items_7d, Items_30d, Demand_Momentum:d",
+          "FROM daily_prod_calendar", ctes=("daily_prod_calendar",))
+def q_demand_momentum_calendar(spark, base):
+    """W1 with calendar frames (last 7 and 30 days) instead of row frames."""
+    return ad.demand_momentum(ad.daily_product_items(_grain(spark, base)), calendar=True)

@@ -284,3 +284,11 @@ def q_contradictions(spark, base):
     """C10 listing: high alpha but two or more red flags, best alpha first."""
     return _flag_text(fl.flag_partition(st.anomalies(spark, base), "contradiction")
                       .orderBy(F.col("overall_alpha_score").desc(), "ticker"))
+
+
+@register("factor_scores_fixed",
+          "ticker, sector, value_score:d, growth_score:d, quality_score:d, risk_score:d, "
+          "overall_alpha_score:d, conviction", "FROM scored_fixed", ctes=("scored_fixed",))
+def q_factor_scores_fixed(spark, base):
+    """Corrected variant of F1-F5 and C7 (see ``factor_scores(fixed=True)``)."""
+    return st.scored(spark, base, fixed=True)

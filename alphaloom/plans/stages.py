@@ -22,8 +22,8 @@ def cleaned(spark: SparkSession, base: str) -> DataFrame:
     return fu.clean_fundamentals(companies(spark, base))
 
 
-def scored(spark: SparkSession, base: str, method: str = "auto") -> DataFrame:
-    return fu.factor_scores(cleaned(spark, base), method=method)
+def scored(spark: SparkSession, base: str, method: str = "auto", fixed: bool = False) -> DataFrame:
+    return fu.factor_scores(cleaned(spark, base), method=method, fixed=fixed)
 
 
 def standardized(spark: SparkSession, base: str, method: str = "auto") -> DataFrame:
