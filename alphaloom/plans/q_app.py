@@ -208,8 +208,8 @@ def q_memo_batch(spark, base):
 
 
 @register("batch_outcome", "successful, failed, total",
-          """FROM (SELECT count_if(NOT starts_with(investment_memo, 'Error')) AS successful,
-                          count_if(starts_with(investment_memo, 'Error')) AS failed,
+          """FROM (SELECT CAST(count_if(NOT starts_with(investment_memo, 'Error')) AS BIGINT) AS successful,
+                          CAST(count_if(starts_with(investment_memo, 'Error')) AS BIGINT) AS failed,
                           COUNT(*) AS total FROM memo_batch)""", ctes=("memo_batch",))
 def q_batch_outcome(spark, base):
     return cx.batch_outcome(cx.memo_batch(st.anomalies(spark, base), stub_model, top_n=10))

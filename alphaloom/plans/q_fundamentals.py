@@ -118,11 +118,11 @@ def q_rollup(spark, base):
 
 
 @register("flag_partitions", "n_any_flag, n_critical, n_high_risk, n_contradiction, n_clean",
-          """FROM (SELECT count_if(red_flag_count > 0) AS n_any_flag,
-                          count_if(red_flag_count >= 5) AS n_critical,
-                          count_if(red_flag_count >= 3 AND red_flag_count < 5) AS n_high_risk,
-                          count_if(overall_alpha_score >= 7.0 AND red_flag_count >= 2) AS n_contradiction,
-                          count_if(red_flag_count = 0) AS n_clean FROM anomalies)""",
+          """FROM (SELECT CAST(count_if(red_flag_count > 0) AS BIGINT) AS n_any_flag,
+                          CAST(count_if(red_flag_count >= 5) AS BIGINT) AS n_critical,
+                          CAST(count_if(red_flag_count >= 3 AND red_flag_count < 5) AS BIGINT) AS n_high_risk,
+                          CAST(count_if(overall_alpha_score >= 7.0 AND red_flag_count >= 2) AS BIGINT) AS n_contradiction,
+                          CAST(count_if(red_flag_count = 0) AS BIGINT) AS n_clean FROM anomalies)""",
           ctes=("anomalies",))
 def q_flag_partitions(spark, base):
     return fl.flag_partition_counts(st.anomalies(spark, base))
