@@ -7,7 +7,7 @@ unpivoted into rows afterwards.  The pass reads only the profiled columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The profiled columns in their named groups.

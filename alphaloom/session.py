@@ -78,3 +78,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a cluster run.
+
+    ``input_bytes`` is the compressed size of the largest scanned table set
+    of the job, ``total_cores`` the executor cores of the cluster.  Shuffle
+    partitions are chosen so that a partition holds about
+    ``target_partition_bytes`` of the largest input (at least two waves of
+    tasks); AQE then coalesces small partitions and splits skewed ones
+    around the same advisory size.  Example: 100 TB on 1000 executors x 8
+    cores gives about 400,000 shuffle partitions of 256 MB, 16 waves."""
+    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        **{k: v for k, v in BASE_CONF.items() if k.startswith("spark.sql.")},
+    }
