@@ -202,6 +202,35 @@ def memo_prompt(df: DataFrame) -> Column:
     return F.concat_ws("\n", *lines)
 
 
+# Context fields quoted in a scenario prompt, as (label, column).
+SCENARIO_FIELDS = [("value score", "value_score"), ("growth score", "growth_score"),
+                   ("quality score", "quality_score"), ("risk score", "risk_score"),
+                   ("overall alpha", "overall_alpha_score"), ("beta", "beta"),
+                   ("52-week volatility", "volatility_52w"), ("debt to equity", "debt_to_equity"),
+                   ("FCF yield", "fcf_yield")]
+
+
+def scenario_prompt(ctx: DataFrame, horizon: str = "the next 12-18 months") -> Column:
+    """M1 (scenario form): one qualitative bull/base/bear request per company
+    from its context row (flat fields plus the nested macro and flag structs)."""
+    def txt(c):
+        return F.coalesce(c.cast("string"), F.lit("N/A"))
+
+    facts = F.concat_ws("; ", *[F.concat(F.lit(f"{label} "), safe_value_text(_c(c)))
+                                for label, c in SCENARIO_FIELDS])
+    flags = flags_text(F.col("red_flags.red_flags"), empty="None")
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("Describe bull, base and bear cases for "), txt(_c("ticker")), F.lit(" ("),
+                 txt(_c("company_name")), F.lit(", "), txt(_c("sector")), F.lit(") over "),
+                 F.lit(horizon), F.lit(", without numeric forecasts.")),
+        F.concat(F.lit("Facts: "), facts, F.lit(".")),
+        F.concat(F.lit("Credit: spread "), safe_value_text(F.col("macro.spread_bps")),
+                 F.lit(" bps, bucket "), txt(F.col("macro.credit_risk_bucket")), F.lit(".")),
+        F.concat(F.lit("Red flags: "), flags, F.lit(".")),
+        F.lit("For each case give drivers, how the risk profile changes and who it suits."))
+
+
 MEMO_COLUMNS = ["ticker", "company_name", "sector", "overall_alpha_score", "conviction",
                 "value_score", "growth_score", "quality_score", "risk_score", "red_flag_count"]
 MEMO_SCHEMA = T.StructType([

@@ -192,6 +192,30 @@ def stub_model(prompt: str) -> str:
     return f"memo[{len(prompt)}] {prompt.splitlines()[0]}"
 
 
+_SCEN_FIELDS = [("value score", "value_score"), ("growth score", "growth_score"),
+                ("quality score", "quality_score"), ("risk score", "risk_score"),
+                ("overall alpha", "overall_alpha_score"), ("beta", "beta"),
+                ("52-week volatility", "volatility_52w"), ("debt to equity", "debt_to_equity"),
+                ("FCF yield", "fcf_yield")]
+_SCEN_SQL = f"""FROM (SELECT ticker, concat_ws(chr(10),
+  concat('Describe bull, base and bear cases for ', coalesce(ticker, 'N/A'), ' (', coalesce(company_name, 'N/A'),
+         ', ', coalesce(sector, 'N/A'), ') over the next 12-18 months, without numeric forecasts.'),
+  concat('Facts: ', concat_ws('; ', {", ".join(f"concat('{lab} ', {oracle.fmt(col)})" for lab, col in _SCEN_FIELDS)}), '.'),
+  concat('Credit: spread ', {oracle.fmt('spread_bps')}, ' bps, bucket ', coalesce(credit_risk_bucket, 'N/A'), '.'),
+  concat('Red flags: ', CASE WHEN len(flags) = 0 THEN 'None' ELSE array_to_string(flags, ', ') END, '.'),
+  'For each case give drivers, how the risk profile changes and who it suits.') AS prompt
+  FROM (SELECT c.*, list_transform(list_filter(a.red_flags, lambda f: f IS NOT NULL AND f <> ''),
+                                   lambda f: trim(replace(f, '_', ' '))) AS flags
+        FROM context c JOIN anomalies a ON a.ticker = c.ticker))"""
+
+
+@register("scenario_prompt", "ticker, prompt", _SCEN_SQL, ctes=("context", "anomalies"))
+def q_scenario_prompt(spark, base):
+    """M1 scenario form over every company's context."""
+    ctx = _context(spark, base)
+    return ctx.select("ticker", cx.scenario_prompt(ctx).alias("prompt"))
+
+
 @register("memo_prompt", "ticker, prompt", "FROM memo_prompts", ctes=("memo_prompts",))
 def q_memo_prompt(spark, base):
     a = st.anomalies(spark, base)
