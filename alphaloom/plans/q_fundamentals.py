@@ -292,3 +292,11 @@ def q_contradictions(spark, base):
 def q_factor_scores_fixed(spark, base):
     """Corrected variant of F1-F5 and C7 (see ``factor_scores(fixed=True)``)."""
     return st.scored(spark, base, fixed=True)
+
+
+@register("severity_distribution", "red_flag_severity, count",
+          "FROM (SELECT red_flag_severity, COUNT(*) AS count FROM anomalies GROUP BY red_flag_severity)",
+          ctes=("anomalies",))
+def q_severity_distribution(spark, base):
+    """P5 for the red-flag severity, ordered by name."""
+    return pf.category_distribution(st.anomalies(spark, base), "red_flag_severity", by_name=True)
