@@ -164,7 +164,7 @@ FROM (
 # Retail signals
 # ---------------------------------------------------------------------------
 
-cte("retail_silver", (), """
+cte("retail_transactions", (), """
 SELECT o.o_orderkey AS Transaction_ID, o.o_orderdate AS "Date",
        list_sort(array_agg(DISTINCT p.p_brand)) AS Product,
        CAST(SUM(l.l_quantity) AS INT) AS Total_Items, o.o_totalprice AS Total_Cost,
@@ -180,10 +180,10 @@ FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
      JOIN nation n ON n.n_nationkey = c.c_nationkey
 GROUP BY o.o_orderkey, o.o_orderdate, o.o_totalprice, n.n_name, o.o_orderpriority""")
 
-cte("rx", ("retail_silver",), """
+cte("rx", ("retail_transactions",), """
 SELECT unnest(Product) AS Product, CAST("Date" AS DATE) AS DateOnly, Total_Items, Total_Cost,
        City, Season, Promotion, Discount_Applied
-FROM retail_silver""")
+FROM retail_transactions""")
 
 cte("daily_prod", ("rx",), """
 SELECT *, CAST(Items_7d - Items_30d AS DOUBLE) / NULLIF(CAST(Items_30d AS DOUBLE), 0) AS Demand_Momentum

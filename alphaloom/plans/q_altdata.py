@@ -11,11 +11,11 @@ from .registry import register
 
 
 def signals(spark, base) -> ad.Signals:
-    return ad.Signals(fx.retail_silver(spark, base))
+    return ad.Signals(fx.retail_transactions(spark, base))
 
 
 def _grain(spark, base):
-    return ad.grain(fx.retail_silver(spark, base))
+    return ad.grain(fx.retail_transactions(spark, base))
 
 
 @register("daily_product_items", "DateOnly, Product, Daily_Items",

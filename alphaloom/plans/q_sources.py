@@ -46,7 +46,7 @@ def q_table_preview(spark, base):
 def q_save_table(spark, base):
     """Write the flagged company table and read it back."""
     ensure_checkpoint_dir(spark)
-    path = scratch_path(spark, "yfin_with_anomalies")
+    path = scratch_path(spark, "companies_flagged")
     sinks.save_table(st.anomalies(spark, base), path)
     return spark.read.parquet(path)
 

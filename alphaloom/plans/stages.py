@@ -31,5 +31,5 @@ def standardized(spark: SparkSession, base: str, method: str = "auto") -> DataFr
 
 
 def anomalies(spark: SparkSession, base: str, method: str = "auto") -> DataFrame:
-    """The flagged company table (``yfin_with_anomalies`` shape)."""
+    """The flagged company table: scores, names, volatility proxies and red flags."""
     return fl.with_anomalies(standardized(spark, base, method))

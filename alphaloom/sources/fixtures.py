@@ -83,7 +83,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def companies(spark: SparkSession, base: str) -> DataFrame:
-    """One row per company (``yfin_f_500`` shape), derived from ``part``."""
+    """One row per company with its fundamentals, derived from ``part``."""
     p = _read(spark, base, "part", "p_partkey", "p_name", "p_brand", "p_type",
               "p_size", "p_retailprice")
     k = F.col("p_partkey")
@@ -112,7 +112,7 @@ def companies(spark: SparkSession, base: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Retail transactions (``retail_silver`` shape)
+# Retail transactions: one row per basket
 # ---------------------------------------------------------------------------
 
 # Promotion per order priority, season per month.
@@ -124,7 +124,7 @@ OTHER_SEASON = "Fall"
 DISCOUNT_THRESHOLD = 0.07
 
 
-def retail_silver(spark: SparkSession, base: str) -> DataFrame:
+def retail_transactions(spark: SparkSession, base: str) -> DataFrame:
     """One row per order: basket of product brands, items, cost, city, flags.
 
     Plan shape: line items are joined to parts and pre-aggregated per order
@@ -165,7 +165,7 @@ def retail_silver(spark: SparkSession, base: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Short posts about stocks (``stock_tweets`` shape)
+# Short posts about stocks
 # ---------------------------------------------------------------------------
 
 # Text appended to each post by doc_id % 5 (0..3; 4 adds nothing).
@@ -213,7 +213,7 @@ def prices_wide(spark: SparkSession, base: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Credit macro series (``fred_credit_macro`` shape)
+# Credit macro series
 # ---------------------------------------------------------------------------
 
 # Fixture-only bucket thresholds on the percent rank of the spread.
