@@ -56,20 +56,41 @@ def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else html.unescape(t))
 
 
+def _only_if(t: Column, needles: list[str], step) -> Column:
+    """Apply ``step`` only to texts containing one of ``needles``: a cheap
+    substring test skips whole passes over the (usually large) majority of
+    texts that the step could not change."""
+    cond = None
+    for n in needles:
+        hit = F.instr(t, n) > 0
+        cond = hit if cond is None else cond | hit
+    return F.when(cond, step(t)).otherwise(t)
+
+
 def decode_basic_entities(c: Column) -> Column:
-    for ent, ch in BASIC_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    def decode(t):
+        for ent, ch in BASIC_ENTITIES:
+            t = F.replace(t, F.lit(ent), F.lit(ch))
+        return t
+    return _only_if(c, ["&"], decode)
+
+
+def _fix_quotes(t: Column) -> Column:
+    for bad, good in MOJIBAKE:
+        t = F.replace(t, F.lit(bad), F.lit(good))
+    return t
 
 
 def clean_post(c: Column, exact_entities: bool = False) -> Column:
     """Entities -> quote fixes -> drop URLs, $tags, @mentions -> collapse
-    whitespace -> trim -> lower.  NULL becomes the empty string."""
+    whitespace -> trim -> lower.  NULL becomes the empty string.  Each
+    literal or pattern step runs only on texts containing its trigger
+    characters (a pattern cannot match without them)."""
     t = html_unescape(c) if exact_entities else decode_basic_entities(c)
-    for bad, good in MOJIBAKE:
-        t = F.replace(t, F.lit(bad), F.lit(good))
-    for pat in (URL_PATTERN, CASHTAG_PATTERN, MENTION_PATTERN):
-        t = F.regexp_replace(t, pat, "")
+    t = _only_if(t, ["â"], _fix_quotes)
+    t = _only_if(t, ["http", "www."], lambda x: F.regexp_replace(x, URL_PATTERN, ""))
+    t = _only_if(t, ["$"], lambda x: F.regexp_replace(x, CASHTAG_PATTERN, ""))
+    t = _only_if(t, ["@"], lambda x: F.regexp_replace(x, MENTION_PATTERN, ""))
     t = F.regexp_replace(t, SPACE_RUN, " ")
     return F.coalesce(F.lower(F.trim(t)), F.lit(""))
 
@@ -80,8 +101,8 @@ def tokens(c: Column) -> Column:
 
 
 def _in_list(words: list[str]):
-    arr = F.array(*[F.lit(w) for w in words])
-    return lambda t: F.array_contains(arr, t)
+    # ``isin`` with more than ten literals becomes a hash-set lookup (InSet).
+    return lambda t: t.isin(*words)
 
 
 def fear_score(tok: Column) -> Column:
