@@ -17,14 +17,15 @@ def table_path(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}.parquet"
 
 
-def scan_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+def scan_table(spark: SparkSession, base: str | None, name: str) -> DataFrame:
     """Read a table by name.
 
-    A registered view or catalog table wins; otherwise the name resolves to
-    ``<base>/<name>.parquet``.  The scan stays lazy so that Catalyst prunes
-    columns and pushes filters into the parquet reader.
+    With a data folder the name resolves to ``<base>/<name>.parquet``;
+    without one (``base=None``) it is a catalog table or view.  The scan
+    stays lazy so that Catalyst prunes columns and pushes filters into the
+    parquet reader.
     """
-    if spark.catalog.tableExists(name):
+    if base is None:
         return spark.table(name)
     return spark.read.parquet(table_path(base, name))
 
