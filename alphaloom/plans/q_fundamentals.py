@@ -8,6 +8,7 @@ from ..operators import flags as fl
 from ..operators import fundamentals as fu
 from ..operators import profile as pf
 from ..sources import fixtures as fx
+from ..sources.tables import scan_table
 from . import oracle
 from . import stages as st
 from .registry import register
@@ -32,8 +33,10 @@ _KEPT_SPEC = ", ".join(f"{c}:d" if c in _DOUBLE_COMPANY_COLS else c for c in _KE
                                   for c in fx.COMPANY_COLUMNS),
           "FROM companies", ctes=("companies",))
 def q_scan_table(spark, base):
-    """The fundamentals table, read as a named table."""
-    return st.companies(spark, base)
+    """The fundamentals table registered in the session catalog and read
+    back by name."""
+    st.companies(spark, base).createOrReplaceTempView("company_fundamentals")
+    return scan_table(spark, None, "company_fundamentals")
 
 
 @register("drop_columns", _KEPT_SPEC,
