@@ -123,6 +123,36 @@ def hashed_normal(*parts: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 
+def _gbm_steps(inputs: DataFrame, days: int, n_paths: int, seed: int,
+               partitions: int | None) -> DataFrame:
+    """One row per (company, path, step) with its log-price change."""
+    dt = 1.0 / TRADING_DAYS
+    keys = COMPANY_KEYS
+    n = partitions or int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = inputs.select(*keys).repartition(n, *keys)
+    mu = F.col("exp_return_pct") / 100.0
+    sigma = F.col("vol_pct") / 100.0
+    steps = (base.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
+             .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(days)))))
+    z = hashed_normal(F.lit(seed), F.col("ticker"), F.col("path"), F.col("step"))
+    shock = F.when(F.col("step") == 0, F.lit(0.0)).otherwise(
+        (mu - F.lit(0.5) * sigma * sigma) * F.lit(dt) + sigma * F.lit(math.sqrt(dt)) * z)
+    return steps.withColumn("_shock", shock)
+
+
+def gbm_terminal_quantiles(inputs: DataFrame, days: int = TRADING_DAYS, n_paths: int = 200,
+                           seed: int = 7, partitions: int | None = None) -> DataFrame:
+    """R3, terminal form: 5/50/95 % quantiles of the price after ``days``.
+    Only the sum of each path's changes matters, so a clustered aggregate
+    replaces the running-sum window (no sort of the generated rows)."""
+    steps = _gbm_steps(inputs, days, n_paths, seed, partitions)
+    terminal = (steps.groupBy(*COMPANY_KEYS, "path").agg(F.sum("_shock").alias("_log"))
+                .withColumn("price", F.col("spot") * F.exp(F.col("_log"))))
+    q = _order_stat_quantiles(terminal, COMPANY_KEYS, "price", n_paths,
+                              SCENARIO_QUANTILES, ["p05", "p50", "p95"])
+    return q.select("ticker", "p05", "p50", "p95")
+
+
 def gbm_paths(inputs: DataFrame, days: int = TRADING_DAYS, n_paths: int = 200, seed: int = 7,
               partitions: int | None = None) -> DataFrame:
     """Geometric Brownian motion paths for every company.
@@ -133,24 +163,14 @@ def gbm_paths(inputs: DataFrame, days: int = TRADING_DAYS, n_paths: int = 200, s
     the (small) input by ticker; the running-sum window and the later
     per-(ticker, step) aggregate are clustered by ticker already, so neither
     adds a shuffle of the generated rows."""
-    dt = 1.0 / TRADING_DAYS
     # The company's whole input row is its partition key (the extra columns
     # depend on the ticker alone).  An explicit count on this key is never
     # dropped as redundant nor coalesced by AQE, so the generated rows are
     # spread over ``n`` tasks even when the company table is tiny.
     keys = COMPANY_KEYS
-    n = partitions or int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = inputs.select(*keys).repartition(n, *keys)
-    mu = F.col("exp_return_pct") / 100.0
-    sigma = F.col("vol_pct") / 100.0
-    steps = (base.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
-             .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(days)))))
-    z = hashed_normal(F.lit(seed), F.col("ticker"), F.col("path"), F.col("step"))
-    shock = F.when(F.col("step") == 0, F.lit(0.0)).otherwise(
-        (mu - F.lit(0.5) * sigma * sigma) * F.lit(dt) + sigma * F.lit(math.sqrt(dt)) * z)
+    steps = _gbm_steps(inputs, days, n_paths, seed, partitions)
     w = Window.partitionBy(*keys, "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return (steps.withColumn("_shock", shock)
-            .withColumn("price", F.col("spot") * F.exp(F.sum("_shock").over(w)))
+    return (steps.withColumn("price", F.col("spot") * F.exp(F.sum("_shock").over(w)))
             .select(*keys, "path", "step", "price"))
 
 

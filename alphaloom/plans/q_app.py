@@ -378,3 +378,27 @@ SELECT ticker, step, q[1] AS p05, q[2] AS p50, q[3] AS p95 FROM (
 def q_gbm_quantiles(spark, base):
     """R3 with the app's scenario size over every company."""
     return pt.gbm_quantiles(cx.scenario_inputs(_context(spark, base)), APP_DAYS, APP_PATHS, SEED)
+
+
+def _gbm_terminal_sql(days: int, paths: int, seed: int) -> str:
+    u = ("(CAST(('0x' || substr(md5(concat_ws('|', '{seed}', ticker, CAST(path AS VARCHAR), "
+         "CAST(step AS VARCHAR))), {o}, 13)) AS BIGINT) + 0.5) / 4503599627370496.0")
+    u1, u2 = u.format(seed=seed, o=1), u.format(seed=seed, o=14)
+    z = f"sqrt(-2.0 * ln({u1})) * cos(6.283185307179586 * {u2})"
+    shock = (f"CASE WHEN step = 0 THEN 0.0 ELSE (exp_return_pct / 100.0 - 0.5 * (vol_pct / 100.0) * "
+             f"(vol_pct / 100.0)) * (1.0 / 252.0) + (vol_pct / 100.0) * sqrt(1.0 / 252.0) * {z} END")
+    return f"""
+SELECT ticker, q[1] AS p05, q[2] AS p50, q[3] AS p95 FROM (
+  SELECT ticker, quantile_cont(price, [0.05, 0.5, 0.95]) AS q FROM (
+    SELECT ticker, path, any_value(spot) * exp(SUM(shock)) AS price
+    FROM (SELECT ticker, path, spot, {shock} AS shock
+          FROM scenario_inputs, range(0, {paths}) p(path), range(0, {days + 1}) s(step))
+    GROUP BY ticker, path)
+  GROUP BY ticker)"""
+
+
+@register("gbm_terminal_quantiles", "ticker, p05:d, p50:d, p95:d",
+          f"FROM ({_gbm_terminal_sql(APP_DAYS, APP_PATHS, SEED)})", ctes=("scenario_inputs",))
+def q_gbm_terminal(spark, base):
+    """R3 terminal form: price quantiles at the horizon for every company."""
+    return pt.gbm_terminal_quantiles(cx.scenario_inputs(_context(spark, base)), APP_DAYS, APP_PATHS, SEED)
