@@ -71,3 +71,14 @@ def test_auto_switches_to_bucketed_for_big_groups(spark):
     big = plan(rk.grouped_percent_rank(cleaned, "ticker", "sector", fu.ALL_RANKS, "auto",
                                        max_group_rows=10))
     assert "percent_rank" in small and "percent_rank" not in big
+
+
+def test_no_query_uses_cross_joins_or_python_rows(spark):
+    """Across every registered query: no Cartesian product or nested-loop
+    join, and Python only where the operator is a Python step by design."""
+    python_ok = {"memo_batch", "batch_outcome"}
+    for name, q in E.queries().items():
+        p = plan(q(spark, SF_SMALL))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+        if name not in python_ok:
+            assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p, name
