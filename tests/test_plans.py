@@ -82,3 +82,19 @@ def test_no_query_uses_cross_joins_or_python_rows(spark):
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
         if name not in python_ok:
             assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p, name
+
+
+def test_completeness_is_one_pass(spark):
+    """29 profiled columns in one aggregate: a constant number of jobs (AQE
+    runs the shuffle stage as its own job), not one job per column."""
+    from alphaloom.operators import profile as pf
+    sc = spark.sparkContext
+    df = pf.completeness(st.companies(spark, SF_SMALL), pf.CRITICAL_COLUMNS)
+    sc.setJobGroup("completeness-one-pass", "count jobs")
+    try:
+        rows = df.collect()
+    finally:
+        sc.setJobGroup("", "")
+    jobs = sc.statusTracker().getJobIdsForGroup("completeness-one-pass")
+    assert len(rows) == 29
+    assert 1 <= len(jobs) <= 3, jobs
