@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import altdata as ad
 from ..operators.normalize import global_minmax
