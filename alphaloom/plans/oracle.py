@@ -432,7 +432,7 @@ SELECT a.ticker, a.company_name, a.sector, a.industry, a.country, a.exchange, a.
        {r2('a.red_flag_score')} AS red_flag_score, a.red_flag_severity, a.red_flag_count,
        array_to_string(list_transform(list_filter(a.red_flags, lambda f: f IS NOT NULL AND f <> ''),
                                       lambda f: trim(replace(f, '_', ' '))), '|') AS red_flags_text,
-       0 AS n_peers
+       CAST(0 AS BIGINT) AS n_peers
 FROM anomalies a LEFT JOIN macro_one m ON TRUE""")
 
 

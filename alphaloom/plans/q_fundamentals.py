@@ -226,7 +226,7 @@ def _completeness_sql():
             i = _ALL_IDX[c]
             pct = f"CAST(c{i} AS DOUBLE) * 100.0 / CAST(NULLIF(n, 0) AS DOUBLE)"
             parts.append(
-                f"SELECT {pos} AS position, '{g}' AS column_group, '{c}' AS column_name, "
+                f"SELECT CAST({pos} AS BIGINT) AS position, '{g}' AS column_group, '{c}' AS column_name, "
                 f"'{_spark_type(c)}' AS data_type, c{i} AS non_null, n - c{i} AS null_count, "
                 f"{pct} AS pct_complete, CASE WHEN {pct} >= 80.0 THEN 'ok' WHEN {pct} >= 50.0 "
                 f"THEN 'warn' ELSE 'fail' END AS band FROM company_profile")

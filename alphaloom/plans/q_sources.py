@@ -18,7 +18,7 @@ _N_COLS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "o
 
 @register("table_stats", "table_name, n_rows, n_cols",
           "FROM (" + " UNION ALL ".join(
-              f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows, {_N_COLS[t]} AS n_cols FROM {t}"
+              f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows, CAST({_N_COLS[t]} AS BIGINT) AS n_cols FROM {t}"
               for t in TABLES) + ")")
 def q_table_stats(spark, base):
     """S8 over every given table."""

@@ -47,11 +47,14 @@ class Query:
         df = self.build(spark, base)
         if self.cols is None:
             return df
+        types = dict(df.dtypes)
         out = []
         for c, kind in self.cols:
             col = F.col(f"`{c}`")
             if kind == "d":
                 col = stable_round(col.cast("double"))
+            elif types.get(c) in ("int", "smallint", "tinyint"):
+                col = col.cast("bigint")          # one integer width on both sides
             out.append(col.alias(c))
         return df.select(*out)
 
