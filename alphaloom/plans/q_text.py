@@ -83,3 +83,10 @@ def q_clean_memo(spark, base):
     """T6 over whole documents (markdown markers and non-Latin-1 removed)."""
     d = scan_table(spark, base, "documents").select("doc_id", "text")
     return d.select("doc_id", tx.clean_memo(F.col("text")).alias("clean_text"))
+
+
+@register("clean_tweet_exact", "doc_id, clean", "FROM tweet_words", ctes=("tweet_words",))
+def q_clean_exact(spark, base):
+    """T1 with exact HTML entity decoding (Arrow-batched pandas UDF).  The
+    fixture's posts carry only basic entities, so the built-in oracle holds."""
+    return te.word_features(_posts(spark, base), exact_entities=True)
