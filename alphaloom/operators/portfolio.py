@@ -123,12 +123,19 @@ def hashed_normal(*parts: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 
+def _generation_partitions(spark: SparkSession) -> int:
+    """Tasks for generated rows: the session's shuffle partitions, capped at
+    four waves of the cluster's cores (more only adds scheduling)."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
+
+
 def _gbm_steps(inputs: DataFrame, days: int, n_paths: int, seed: int,
                partitions: int | None) -> DataFrame:
     """One row per (company, path, step) with its log-price change."""
     dt = 1.0 / TRADING_DAYS
     keys = COMPANY_KEYS
-    n = partitions or int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _generation_partitions(inputs.sparkSession)
     base = inputs.select(*keys).repartition(n, *keys)
     mu = F.col("exp_return_pct") / 100.0
     sigma = F.col("vol_pct") / 100.0
