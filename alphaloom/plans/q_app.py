@@ -16,8 +16,6 @@ from . import oracle
 from . import stages as st
 from .registry import register
 
-r2 = oracle.r2
-
 
 def _macro(spark, base):
     return fx.macro(spark, base)

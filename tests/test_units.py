@@ -218,3 +218,12 @@ def test_memo_batch_captures_errors(spark):
         assert r.investment_memo.startswith("memo[") or r.investment_memo.startswith(cx.ERROR_PREFIX)
     res = cx.batch_outcome(cx.memo_batch(df, stub_model, top_n=4)).first()
     assert res.successful + res.failed == res.total == 4
+
+
+def test_scale_conf_sizes_partitions():
+    from alphaloom.session import scale_conf
+    small = scale_conf(1 << 30, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"          # two waves floor
+    big = scale_conf(100 * 10 ** 12, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (256 << 20))
+    assert big["spark.sql.adaptive.enabled"] == "true"
