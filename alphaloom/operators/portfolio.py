@@ -132,7 +132,12 @@ def _generation_partitions(spark: SparkSession) -> int:
 
 def _gbm_steps(inputs: DataFrame, days: int, n_paths: int, seed: int,
                partitions: int | None) -> DataFrame:
-    """One row per (company, path, step) with its log-price change."""
+    """One row per (company, path, step) with its log-price change.
+
+    The company's whole input row is the partition key (the extra columns
+    depend on the ticker alone).  An explicit count on this key is never
+    dropped as redundant nor coalesced by AQE, so the generated rows are
+    spread over ``n`` tasks even when the company table is tiny."""
     dt = 1.0 / TRADING_DAYS
     keys = COMPANY_KEYS
     n = partitions or _generation_partitions(inputs.sparkSession)
@@ -167,13 +172,9 @@ def gbm_paths(inputs: DataFrame, days: int = TRADING_DAYS, n_paths: int = 200, s
     ``inputs`` has ``ticker, spot, vol_pct, exp_return_pct``.  Each step's
     log change is N((mu - sigma^2/2) dt, sigma sqrt(dt)) with dt = 1/252.
     Rows are generated next to their company after one hash repartition of
-    the (small) input by ticker; the running-sum window and the later
-    per-(ticker, step) aggregate are clustered by ticker already, so neither
+    the (small) company input; the running-sum window and the later
+    per-(company, step) aggregate are clustered by the same key, so neither
     adds a shuffle of the generated rows."""
-    # The company's whole input row is its partition key (the extra columns
-    # depend on the ticker alone).  An explicit count on this key is never
-    # dropped as redundant nor coalesced by AQE, so the generated rows are
-    # spread over ``n`` tasks even when the company table is tiny.
     keys = COMPANY_KEYS
     steps = _gbm_steps(inputs, days, n_paths, seed, partitions)
     w = Window.partitionBy(*keys, "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
@@ -213,9 +214,10 @@ def gbm_quantiles(inputs: DataFrame, days: int = TRADING_DAYS, n_paths: int = 20
     Each (ticker, step) group holds exactly ``n_paths`` prices; the ranking
     window and the aggregate are clustered by ticker like the paths, so the
     generated rows are never shuffled."""
-    paths = gbm_paths(inputs, days, n_paths, seed, partitions)
     if terminal_only:
-        paths = paths.where(F.col("step") == days)
+        t = gbm_terminal_quantiles(inputs, days, n_paths, seed, partitions)
+        return t.select("ticker", F.lit(days).alias("step"), "p05", "p50", "p95")
+    paths = gbm_paths(inputs, days, n_paths, seed, partitions)
     q = _order_stat_quantiles(paths, [*COMPANY_KEYS, "step"], "price", n_paths,
                               SCENARIO_QUANTILES, ["p05", "p50", "p95"])
     return q.select("ticker", "step", "p05", "p50", "p95")
