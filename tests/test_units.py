@@ -227,3 +227,15 @@ def test_scale_conf_sizes_partitions():
     big = scale_conf(100 * 10 ** 12, 8000)
     assert int(big["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (256 << 20))
     assert big["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_gbm_terminal_equals_last_step(spark):
+    inp = spark.createDataFrame([("A", 100.0, 30.0, 8.0), ("B", 50.0, 10.0, 2.0)],
+                                "ticker string, spot double, vol_pct double, exp_return_pct double")
+    full = {r.ticker: (r.p05, r.p50, r.p95)
+            for r in pt.gbm_quantiles(inp, days=12, n_paths=21, seed=3).where("step = 12").collect()}
+    term = {r.ticker: (r.p05, r.p50, r.p95)
+            for r in pt.gbm_terminal_quantiles(inp, days=12, n_paths=21, seed=3).collect()}
+    assert full.keys() == term.keys()
+    for k in full:
+        assert full[k] == pytest.approx(term[k], rel=1e-12)
