@@ -54,14 +54,20 @@ def percent_rank_window(df: DataFrame, group: str, specs: list[RankSpec]) -> Dat
     return df.withColumns(cols)
 
 
-def percent_rank_bucketed(df: DataFrame, key: str, group: str, specs: list[RankSpec],
+def percent_rank_bucketed(df: DataFrame, key: str | None, group: str, specs: list[RankSpec],
                           buckets: int = 128, materialize: bool = False) -> DataFrame:
-    """Skew-proof exact form; ``key`` must identify a row uniquely.
+    """Skew-proof exact form.  ``key`` must identify a row uniquely; with
+    ``key=None`` a row id is attached and the input is written once to the
+    checkpoint folder, so the id is stable for the join back.
 
     ``long`` is read by several branches.  By default each branch re-derives
     it (a columnar scan of the ranked columns, cheaper than writing 18 rows
     per company, and a short lineage to recompute); ``materialize=True``
     writes it once to the checkpoint folder instead."""
+    drop_key = key is None
+    if drop_key:
+        key = "_rid"
+        df = materialize_df(df.withColumn(key, F.monotonically_increasing_id()), "rank_input")
     g = "_g"
     metrics = F.array(*[
         F.struct(F.lit(s.name).alias("metric"),
@@ -118,11 +124,12 @@ def percent_rank_bucketed(df: DataFrame, key: str, group: str, specs: list[RankS
                      & lg["v"].eqNullSafe(ranks["v"]))
     wide = joined.groupBy(F.col("l._key").alias("_key")).agg(*[
         F.max(F.when(F.col("l.metric") == s.name, F.col("r.p"))).alias(s.name) for s in specs])
-    return df.join(wide, _col(key) == wide["_key"]).drop("_key")
+    out = df.join(wide, _col(key) == wide["_key"]).drop("_key")
+    return out.drop(key) if drop_key else out
 
 
 # Largest group the native window may hold in one task under ``auto``.
-WINDOW_MAX_GROUP_ROWS = 500_000
+WINDOW_MAX_GROUP_ROWS = 1_000_000
 
 
 def largest_group(df: DataFrame, group: str) -> int:
@@ -131,7 +138,7 @@ def largest_group(df: DataFrame, group: str) -> int:
     return int(row["m"] or 0)
 
 
-def grouped_percent_rank(df: DataFrame, key: str, group: str, specs: list[RankSpec],
+def grouped_percent_rank(df: DataFrame, key: str | None, group: str, specs: list[RankSpec],
                          method: str = "auto", buckets: int = 128,
                          max_group_rows: int = WINDOW_MAX_GROUP_ROWS) -> DataFrame:
     """``window``: native windows (a group per task); ``bucketed``: the

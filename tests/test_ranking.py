@@ -56,3 +56,13 @@ def test_percentiles_in_unit_interval(spark):
     for r in df.select(*[s.name for s in fu.ALL_RANKS]).collect():
         for v in r:
             assert v is not None and 0.0 <= v <= 1.0 and not math.isnan(v)
+
+
+def test_duplicate_rows_without_key(spark):
+    rows = [("g", 1.0), ("g", 1.0), ("g", 2.0), ("h", None), ("h", 5.0), ("g", None), ("g", 2.0)]
+    df = spark.createDataFrame(rows, "grp string, x double")
+    specs = [RankSpec("px", "x", True), RankSpec("qx", "x", False)]
+    a = grouped_percent_rank(df, None, "grp", specs, "window").collect()
+    b = grouped_percent_rank(df, None, "grp", specs, "bucketed", 2).collect()
+    assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
+    assert set(b[0].asDict()) == {"grp", "x", "px", "qx"}
