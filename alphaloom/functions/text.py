@@ -48,6 +48,25 @@ FINANCE_KEYWORDS = ["delivery", "deliveries", "estimate", "estimates",
 # Compound-score normalisation constant (s / sqrt(s^2 + alpha)).
 COMPOUND_ALPHA = 15.0
 
+# Own values for the optional negation rule: a valence is scaled by the
+# factor when one of the three preceding tokens is a negation word (factor
+# from the published description of lexicon-based compound scoring).
+NEGATION_WORDS = ["not", "no", "never", "none", "nothing", "nor", "neither", "without",
+                  "cannot", "nobody", "nowhere"]
+NEGATION_FACTOR = -0.74
+NEGATION_WINDOW = 3
+
+
+def negation_multipliers(tok: Column) -> Column:
+    """Per token: ``NEGATION_FACTOR`` when a negation word is among the
+    previous ``NEGATION_WINDOW`` tokens, else 1.0 (array in, array out)."""
+    def mult(_t, i):
+        start = F.greatest(i - (NEGATION_WINDOW - 1), F.lit(1))
+        before = F.slice(tok, start, i - start + 1)
+        hit = F.exists(before, lambda w: w.isin(*NEGATION_WORDS))
+        return F.when(hit, F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
+    return F.transform(tok, mult)
+
 
 @F.pandas_udf(T.StringType())
 def html_unescape(s: pd.Series) -> pd.Series:

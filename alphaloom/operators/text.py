@@ -42,7 +42,7 @@ def word_features(posts: DataFrame, text_col: str = "Tweet", exact_entities: boo
 
 
 def lexicon_sentiment(feat: DataFrame, lexicon: DataFrame, key: str = "doc_id",
-                      lexicon_rows: int | None = None) -> DataFrame:
+                      lexicon_rows: int | None = None, negation: bool = False) -> DataFrame:
     """T4: compound polarity of the summed token valences; no hit -> 0.0.
 
     ``lexicon_rows`` is the caller's known row count of ``lexicon`` (case is
@@ -52,19 +52,31 @@ def lexicon_sentiment(feat: DataFrame, lexicon: DataFrame, key: str = "doc_id",
     no join, no shuffle, one pass over the text.  Otherwise only
     ``(key, token)`` pairs are exploded (never the text), joined to the
     lexicon (broadcast when known small enough, else the planner decides),
-    summed per post with map-side partial aggregation and joined back."""
+    summed per post with map-side partial aggregation and joined back.
+    ``negation=True`` scales a valence by ``NEGATION_FACTOR`` when one of the
+    three preceding tokens is a negation word (computed inside the array,
+    before any explode)."""
     lex = (lexicon.select(F.lower("token").alias("_tok"), F.col("valence").alias("_val"))
            .groupBy("_tok").agg(F.sum("_val").alias("_val")))
     if lexicon_rows is not None and lexicon_rows <= MAP_LOOKUP_ROWS:
         lex_map = lex.agg(F.map_from_entries(F.collect_list(F.struct("_tok", "_val"))).alias("m")).scalar()
         out = feat.withColumn("_lex", lex_map)
-        total = F.aggregate("tokens", F.lit(0.0), lambda acc, t: acc + F.coalesce(
-            F.try_element_at(F.col("_lex"), t), F.lit(0.0)))
+        vals = F.transform("tokens", lambda t: F.coalesce(F.try_element_at(F.col("_lex"), t), F.lit(0.0)))
+        if negation:
+            vals = F.zip_with(vals, tx.negation_multipliers(F.col("tokens")), lambda v, m: v * m)
+        total = F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v)
         return out.withColumn("sentiment", tx.compound(total)).drop("_lex")
     if lexicon_rows is not None and lexicon_rows <= LEXICON_BROADCAST_ROWS:
         lex = F.broadcast(lex)
-    pairs = feat.select(_c(key).alias("_k"), F.explode("tokens").alias("_tok"))
-    sums = (pairs.join(lex, "_tok").groupBy("_k").agg(F.sum("_val").alias("_s")))
+    if negation:
+        zipped = F.arrays_zip(F.col("tokens").alias("_tok"),
+                              tx.negation_multipliers(F.col("tokens")).alias("_m"))
+        pairs = feat.select(_c(key).alias("_k"), F.inline(zipped))
+        weight = F.col("_val") * F.col("_m")
+    else:
+        pairs = feat.select(_c(key).alias("_k"), F.explode("tokens").alias("_tok"))
+        weight = F.col("_val")
+    sums = (pairs.join(lex, "_tok").groupBy("_k").agg(F.sum(weight).alias("_s")))
     out = feat.join(sums, _c(key) == F.col("_k"), "left").drop("_k")
     return (out.withColumn("sentiment", tx.compound(F.coalesce(F.col("_s"), F.lit(0.0)))).drop("_s"))
 

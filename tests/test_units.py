@@ -239,3 +239,21 @@ def test_gbm_terminal_equals_last_step(spark):
     assert full.keys() == term.keys()
     for k in full:
         assert full[k] == pytest.approx(term[k], rel=1e-12)
+
+
+def test_lexicon_negation_both_paths(spark):
+    rows = [(1, "not great at all", "S"), (2, "great", "S"), (3, "no way this is great", "S"),
+            (4, "never ever ever great", "S"), (5, "", "S")]
+    df = te.word_features(spark.createDataFrame(rows, "doc_id long, Tweet string, `Stock Name` string"))
+    lex = spark.createDataFrame([("great", 3.0)], "token string, valence double")
+    small = {r.doc_id: r.sentiment for r in te.lexicon_sentiment(df, lex, lexicon_rows=1, negation=True).collect()}
+    big = {r.doc_id: r.sentiment for r in te.lexicon_sentiment(df, lex, lexicon_rows=None, negation=True).collect()}
+    plain = {r.doc_id: r.sentiment for r in te.lexicon_sentiment(df, lex, lexicon_rows=1).collect()}
+    neg = -0.74 * 3.0 / math.sqrt((0.74 * 3.0) ** 2 + 15)
+    assert small[1] == pytest.approx(neg)
+    assert plain[2] > 0 and small[2] == pytest.approx(plain[2])
+    assert small[3] == pytest.approx(plain[3])          # "no" four tokens back: outside the window
+    assert small[4] == pytest.approx(neg)               # "never" three tokens back: inside
+    assert small[5] == 0.0
+    for k in small:
+        assert small[k] == pytest.approx(big[k])
