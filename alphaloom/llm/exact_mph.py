@@ -197,17 +197,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows that ``exact_dedup`` keeps, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(id_key().alias("_key"), F.col("text_sha256").alias("_digest"))
-    return keep_rows(docs.withColumn("_digest", F.sha2(text_of().cast("binary"), 256)), kept)
+    kept = exact_dedup(docs).where("kept").select(id_key().alias("__al_key"), F.col("text_sha256").alias("__al_digest"))
+    return keep_rows(docs.withColumn("__al_digest", F.sha2(text_of().cast("binary"), 256)), kept)
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (with ``_digest``) named in ``kept`` (_key, _digest),
+    """Rows of ``docs`` (with ``__al_digest``) named in ``kept`` (__al_key, __al_digest),
     one for each pair: repeats of a row are cut to the first by lang and source."""
     from pyspark.sql import Window
 
-    columns = [c for c in docs.columns if c != "_digest"]
+    columns = [c for c in docs.columns if c != "__al_digest"]
     ties = [F.col(c) for c in ("lang", "source") if c in columns]
-    once = Window.partitionBy("_key", "_digest").orderBy(*ties or [F.lit(0)])
-    rows = docs.withColumn("_key", id_key()).join(kept, ["_key", "_digest"], "left_semi")
-    return rows.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*columns)
+    once = Window.partitionBy("__al_key", "__al_digest").orderBy(*ties or [F.lit(0)])
+    rows = docs.withColumn("__al_key", id_key()).join(kept, ["__al_key", "__al_digest"], "left_semi")
+    return rows.withColumn("__al_copy", F.row_number().over(once)).where("__al_copy = 1").select(*columns)

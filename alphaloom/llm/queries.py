@@ -6,8 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_mph, simhash
+from . import exact_mph, mixing, packing, quality, simhash, token_binary
 from .common import table
+from .tokens import vocabulary_path
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +36,21 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), with_ids=False)
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_token_binary": op2_token_binary,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op8_mixing": op8_mixing,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}

@@ -200,8 +200,8 @@ def one_of_each(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> Dat
     document of each group stays.  Of rows that share that id, the one whose
     text has the least digest stays."""
     found = simhash_components(docs, shingle, max_distance)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("_key")).distinct()
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("__al_key")).distinct()
     digest = F.sha2(text_of().cast("binary"), 256)
-    first = docs.select(id_key().alias("_key"), digest.alias("_digest")).join(kept, "_key", "left_semi")
-    first = first.groupBy("_key").agg(F.min("_digest").alias("_digest"))
-    return keep_rows(docs.withColumn("_digest", digest), first)
+    first = docs.select(id_key().alias("__al_key"), digest.alias("__al_digest")).join(kept, "__al_key", "left_semi")
+    first = first.groupBy("__al_key").agg(F.min("__al_digest").alias("__al_digest"))
+    return keep_rows(docs.withColumn("__al_digest", digest), first)

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaloom.llm import exact_mph, simhash
+from alphaloom.llm import exact_mph, mixing, packing, quality, simhash
 from alphaloom.llm.common import materialize, table
+from alphaloom.llm.tokens import vocabulary_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: rows scored below 0.5 go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +24,22 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: every row as often, and as much of it, as the mix takes."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: one row per piece, with its ids."""
+    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
     ("simhash near-dedup", near_stage),
+    ("mixing to target weights", mix_stage),
+    ("packing", pack_stage),
 ]
 
 ORACLE_SQL = None
