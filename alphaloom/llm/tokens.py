@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 
 from .common import worker_cache
 
-CACHE_PIECES = 2_000_000        # pieces kept per worker process (about 80 MB of Arrow and numpy arrays)
-CHUNK_BYTES = 24 << 20          # text encoded at once
+CACHE_PIECES = 1_200_000        # pieces kept per worker process (about 50 MB of Arrow and numpy arrays)
+CHUNK_BYTES = 24 << 20          # text whose pieces are numbered at once
+PIECES_AT_ONCE = 500_000        # pieces whose ids are laid out at once
 GROUP = 1000                    # pieces joined into one call of the library
 _WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNSAFE = f"(?:{_WS}{{2}})|(?:^{_WS})|(?:{_WS}$)"
@@ -103,41 +104,55 @@ class PieceEncoder:
             self.starts = np.r_[self.starts, self.starts[-1] + new_starts[1:len(kept) + 1]]
         return flat, starts, sizes
 
-    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts end to end, and the count of each."""
+    def _chunk(self, texts: pa.Array):
+        """(first row, ids, counts) for runs of rows; distinct pieces of all the
+        texts are looked up at once, ids are laid out for PIECES_AT_ONCE at a time."""
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
         n = len(texts)
-        counts = np.zeros(n, np.int64)
         safe = np.flatnonzero(~unsafe)
-        split = pc.split_pattern(texts.take(pa.array(safe)), " ")
-        offsets = split.offsets.to_numpy().astype(np.int64)
+        split = pc.split_pattern(texts.take(pa.array(safe)) if unsafe.any() else texts, " ")
+        offsets = split.offsets.to_numpy()
         pieces = split.flatten()
         offsets = offsets - offsets[0]
+        firsts = pieces.take(pa.array(offsets[:-1])).to_pylist() if self.spaced else None
         coded = pieces.dictionary_encode()
+        del split, pieces
+        index = coded.indices.to_numpy(zero_copy_only=False)
         flat, starts, sizes = self._lookup(coded.dictionary)
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         if self.spaced:                         # a text's first piece has no space before it
-            firsts = self.whole(pieces.take(pa.array(offsets[:-1])).to_pylist())
+            firsts = self.whole(firsts)
             lengths = np.fromiter(map(len, firsts), np.int64, len(firsts))
+            index = index.copy()
             index[offsets[:-1]] = len(starts) + np.arange(len(firsts))
             starts = np.r_[starts, len(flat) + np.r_[0, np.cumsum(lengths)][:-1]]
             sizes = np.r_[sizes, lengths]
             flat = np.concatenate([flat, *firsts])
-        span = sizes[index]
-        ends = np.cumsum(span)
-        total = int(ends[-1]) if len(ends) else 0
-        shift = (starts[index] - ends + span).astype(np.int32)
-        ids = flat[np.repeat(shift, span) + np.arange(total, dtype=np.int32)]
-        bounds = np.r_[0, ends][offsets]
-        counts[safe] = np.diff(bounds)
-        odd = np.flatnonzero(unsafe)
-        if not len(odd):
-            return ids, counts
-        whole = dict(zip(odd.tolist(), self.whole(texts.take(pa.array(odd)).to_pylist())))
-        where = dict(zip(safe.tolist(), range(len(safe))))
-        parts = [whole[i] if i in whole else ids[bounds[where[i]]:bounds[where[i] + 1]] for i in range(n)]
-        counts[odd] = [len(whole[i]) for i in odd]
-        return np.concatenate(parts), counts
+        ends = np.r_[0, np.cumsum(np.where(unsafe, 0, np.diff(offsets)[np.cumsum(~unsafe) - 1] if len(safe) else 0))]
+        at = 0
+        while at < n:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECES_AT_ONCE, side="right")) - 1)
+            s, e = np.searchsorted(safe, (at, stop))
+            part = index[offsets[s]:offsets[e]]
+            span = sizes[part]
+            out_ends = np.cumsum(span)
+            total = int(out_ends[-1]) if len(out_ends) else 0
+            shift = (starts[part] - out_ends + span).astype(np.int32)
+            ids = flat[np.repeat(shift, span) + np.arange(total, dtype=np.int32)]
+            bounds = np.r_[0, out_ends][offsets[s:e + 1] - offsets[s]]
+            counts = np.zeros(stop - at, np.int64)
+            counts[safe[s:e] - at] = np.diff(bounds)
+            odd = np.flatnonzero(unsafe[at:stop])
+            if len(odd):
+                whole = self.whole(texts.take(pa.array(at + odd)).to_pylist())
+                parts: list = [None] * (stop - at)
+                for i, p in zip(odd, whole):
+                    parts[i] = p
+                for k, i in enumerate(safe[s:e] - at):
+                    parts[i] = ids[bounds[k]:bounds[k + 1]]
+                counts[odd] = [len(p) for p in whole]
+                ids = np.concatenate(parts)
+            yield at, ids, counts
+            at = stop
 
     def encode(self, texts: pa.Array):
         """Yields (first row, ids, counts) for runs of rows of bounded text size."""
@@ -147,7 +162,8 @@ class PieceEncoder:
         while at < len(texts):
             limit = (ends[at - 1] if at else 0) + CHUNK_BYTES
             stop = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
-            yield (at, *self._chunk(texts.slice(at, stop - at)))
+            for row, ids, counts in self._chunk(texts.slice(at, stop - at)):
+                yield at + row, ids, counts
             at = stop
 
 
