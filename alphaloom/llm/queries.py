@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_mph, mixing, packing, quality, simhash, token_binary
+from . import exact_mph, mixing, packing, quality, secrets, simhash, token_binary, toxicity
 from .common import table
 from .tokens import vocabulary_path
 
@@ -36,6 +36,15 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
+    return found.drop("spans").withColumnRenamed("spans_text", "spans")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -49,7 +58,9 @@ QUERIES = {
     "op2_token_binary": op2_token_binary,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
 }
 

@@ -57,3 +57,53 @@ def test_discriminant_matches_direct_log_densities():
         want.append(np.log(len(xs[k]) / 700) - 0.5 * np.linalg.slogdet(cov)[1]
                     - 0.5 * np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff))
     assert np.allclose(m.log_odds(xs[1][:20]), want[1] - want[0])
+
+
+def test_toxicity_held_out_accuracy(spark):
+    from alphaloom.llm import toxicity
+    docs, labels = table(spark, SF_CHECK.replace("0.01", "0.1"), "documents"), table(spark, SF_CHECK.replace("0.01", "0.1"), "labels")
+    rows = toxicity.score_documents(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in rows]) >= 0.98
+    caught = [r.predicted for r in rows if r.toxic == 1]
+    assert np.mean(caught) >= 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+
+
+def test_toxicity_never_reads_held_out_labels(spark):
+    from pyspark.sql import functions as F
+    from alphaloom.llm import toxicity
+    from alphaloom.llm.common import held_out
+    docs, labels = table(spark, SF_CHECK, "documents"), table(spark, SF_CHECK, "labels")
+    flipped = labels.withColumn("toxic", F.when(held_out(5, 0), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.score_documents(docs, x).orderBy("doc_id").collect() for x in (labels, flipped))
+    assert np.allclose([r.score for r in a], [r.score for r in b], atol=1e-9)
+
+
+def test_toxicity_edge_tables(spark):
+    from alphaloom.llm import toxicity
+    none = spark.createDataFrame([], LABELS)
+    some = spark.createDataFrame([(i, 0, i % 2) for i in range(100, 180)] + [(None, 1, 0), (101, None, None)], LABELS)
+    for labels in (none, some):
+        rows = toxicity.score_documents(clashing(awkward(spark)), labels).collect()
+        assert len(rows) == awkward(spark).count()
+        assert all(0 <= r.score <= 1 for r in rows)
+        assert all(r.held_out for r in rows if r.doc_id is None)
+    bad = spark.createDataFrame([(1, "you idiot", "en", "s", 9), (2, "a kind word", "en", "s", 11)], SCHEMA)
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(bad, none).collect()}
+    assert got == {1: 1, 2: 0}
+    assert toxicity.score_documents(spark.createDataFrame([], SCHEMA), some).collect() == []
+
+
+def test_label_model_recovers_accuracies_and_discounts_copies():
+    from alphaloom.llm import toxicity
+    rng = np.random.default_rng(0)
+    y = rng.random(6000) < 0.2
+    def voter(p_toxic, p_clean):
+        return np.where(rng.random(6000) < np.where(y, p_toxic, p_clean), 1, 0)
+    a, b, weak = voter(0.9, 0.02), voter(0.7, 0.05), voter(0.5, 0.3)
+    annotator = np.where(y, 1, -1)
+    votes = np.stack([annotator, a, b, weak, weak, weak], axis=1).astype(float)
+    model, q = toxicity.fit_label_model(votes, np.ones(6000))
+    assert np.mean((q > 0.5) == y) > 0.98
+    assert abs(model.tables[1][1, 2] - 0.9) < 0.05 and abs(model.tables[0][1, 2] - 0.02) < 0.02
+    assert np.allclose(model.correlations[3, 4:], 1, atol=0.01) and abs(model.correlations[1, 2]) < 0.1
