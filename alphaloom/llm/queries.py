@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_mph, mixing, packing, quality, secrets, simhash, token_binary, toxicity
+from . import exact_mph, graph_ann, mixing, packing, quality, secrets, simhash, token_binary, toxicity
 from .common import table
 from .tokens import vocabulary_path
 
@@ -36,6 +36,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_token_binary": op2_token_binary,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_graph_ann": op6_graph_ann,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,
