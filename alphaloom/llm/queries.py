@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_mph, graph_ann, mixing, packing, quality, secrets, simhash, token_binary, toxicity
+from . import edit_counts, exact_mph, graph_ann, mixing, packing, quality, secrets, simhash, token_binary, toxicity
 from .common import table
 from .tokens import vocabulary_path
 
@@ -19,6 +19,12 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits of its own."""
+    return edit_counts.edited_counts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"),
+                                     edit_counts.own_edits())
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_mph.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_binary": op2_token_binary,
+    "op3_edit_counts": op3_edit_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_graph_ann": op6_graph_ann,
