@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import RankSpec, grouped_percent_rank
 
@@ -28,6 +29,17 @@ DROPPED_COLUMNS = ("peg_ratio", "roic", "next_earnings_date")
 CORE_COLUMNS = ("ticker", "market_cap", "sector", "current_price")
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN compares greater than every number in Spark; cleaning turns it into
+    NULL so that thresholds and rankings treat it as missing."""
+    doubles = [f.name for f in df.schema.fields
+               if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if not doubles:
+        return df
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double"))
+                           for c in doubles})
+
+
 def drop_columns(df: DataFrame, columns=DROPPED_COLUMNS) -> DataFrame:
     """Drop columns; names that are absent are ignored."""
     return df.drop(*columns)
@@ -73,8 +85,8 @@ def coalesce_fill(df: DataFrame) -> DataFrame:
 
 
 def clean_fundamentals(df: DataFrame) -> DataFrame:
-    """C1 -> C2 -> C3 -> C4."""
-    return coalesce_fill(guarded_ratios(core_not_null(drop_columns(df))))
+    """NaN to NULL, then C1 -> C2 -> C3 -> C4."""
+    return coalesce_fill(guarded_ratios(core_not_null(drop_columns(nan_to_null(df)))))
 
 
 # ---------------------------------------------------------------------------
@@ -121,10 +133,9 @@ CONVICTION_LEVELS = [(8.0, "Strong Buy"), (7.0, "Buy"), (5.0, "Hold"), (3.0, "Se
 CONVICTION_FLOOR = "Strong Sell"
 
 
-def sector_percentiles(df: DataFrame, method: str = "auto", key: str = "ticker",
-                       group: str = "sector") -> DataFrame:
-    """The 18 sector-relative percentiles, exact, for every company."""
-    return grouped_percent_rank(df, key, group, ALL_RANKS, method=method)
+def sector_percentiles(df: DataFrame, group: str = "sector") -> DataFrame:
+    """The 18 sector-relative percentiles, exact, for every row."""
+    return grouped_percent_rank(df, group, ALL_RANKS)
 
 
 def _inv(name: str) -> Column:
@@ -185,14 +196,14 @@ def conviction_bucket(df: DataFrame) -> DataFrame:
     return df.withColumn("conviction", conviction_expr(_c("overall_alpha_score")))
 
 
-def factor_scores(cleaned: DataFrame, method: str = "auto", fixed: bool = False) -> DataFrame:
+def factor_scores(cleaned: DataFrame, fixed: bool = False) -> DataFrame:
     """W4 -> F1..F5 -> C7 on a cleaned fundamentals frame.
 
     ``fixed=True`` is the corrected variant of the reference formulas: every
     term is ``1 - p`` (the better value scores higher whichever direction
     ranks it), a missing metric scores a neutral 0.5 instead of the last
     rank, and the growth score keeps the 0-10 scale (no x10)."""
-    df = sector_percentiles(cleaned, method=method)
+    df = sector_percentiles(cleaned)
     steps = (fixed_scores,) if fixed else (value_score, growth_score, quality_score, risk_score)
     for step in (*steps, overall_alpha, conviction_bucket):
         df = step(df)

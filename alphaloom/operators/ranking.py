@@ -1,27 +1,24 @@
-"""Exact ``percent_rank`` within groups, for many columns at once.
+"""Exact ``percent_rank`` within groups, for many columns at once, in one plan.
 
-``percent_rank().over(partitionBy(g).orderBy(x))`` sends a whole group to one
-task.  Groups here are sectors: few values, and one may hold a third of all
-rows.  The ``bucketed`` method computes the same numbers without any
-per-group task:
+A native ``percent_rank`` window sends a whole group to one task.  Groups here
+are sectors: few values, and one may hold a third of all rows.  This plan
+never does, at any size, and needs no key and no job while it is built:
 
-1. unpivot the ranked columns to ``(key, g, metric, v)``; a descending order
-   ranks ``-x`` ascending, so every metric is ranked ascending, NULLs last;
-2. histogram ``(g, metric, v) -> c`` (map-side combined, so a hot value
+1. every row becomes one narrow row per ranked column ``(g, metric, v)``; a
+   descending order ranks ``-x`` ascending, NULLs last.  The first of them
+   carries the row itself;
+2. a histogram ``(g, metric, v) -> c`` (map-side combined, so a hot value
    collapses before the shuffle);
-3. per ``(g, metric)``: row count, non-NULL count and ``B-1`` approximate
-   quantile boundaries of the distinct values (mergeable sketches);
-4. each distinct value falls in bucket ``#(boundaries < v)``; a bucket's
-   offset is the running sum of earlier bucket counts (a window over at most
-   ``B`` rows per group) and the rank inside the bucket is a running sum over
-   the bucket's distinct values, so every window partition holds about
-   ``1/B`` of a group's distinct values;
-5. ``p = rank / (n - 1)`` (0 when ``n = 1``); NULLs rank after all values;
-6. join the ranks back on ``(g, metric, v)`` (AQE splits a skewed value) and
-   fold the metrics back to one row per key with a single aggregate.
-
-The boundaries only have to be monotone, so the approximation never changes
-a result: both methods agree exactly (tests/test_ranking.py).
+3. a value falls in bucket ``floor(sign(v) * ln(1 + |v|) * RESOLUTION)``, a
+   monotone function, so a bucket's offset is the running sum of the earlier
+   buckets' counts (one row per bucket) and the rank inside it a running sum over
+   its distinct values; NULLs are the last bucket;
+4. ``p = rank / (n - 1)`` (0 when ``n = 1``);
+5. the ranks are joined back on ``(g, metric, v)`` (adaptive execution splits a
+   hot value) and the narrow rows are folded by the id they were given together.
+
+Rows that repeat, NULL groups and NULL keys rank like any other.  NaN ranks above
+every number in ascending and below in descending order; loaders turn it to NULL.
 """
 
 from __future__ import annotations
@@ -31,7 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize as materialize_df
+RESOLUTION = 1024           # buckets per factor of e
+NULL_BUCKET = (1 << 62)
 
 
 @dataclass(frozen=True)
@@ -45,111 +43,44 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def percent_rank_window(df: DataFrame, group: str, specs: list[RankSpec]) -> DataFrame:
-    """Native form: one window per spec over ``partitionBy(group)``."""
-    cols = {}
-    for s in specs:
-        order = _col(s.column).asc_nulls_last() if s.ascending else _col(s.column).desc_nulls_last()
-        cols[s.name] = F.percent_rank().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumns(cols)
-
-
-def percent_rank_bucketed(df: DataFrame, key: str | None, group: str, specs: list[RankSpec],
-                          buckets: int = 128, materialize: bool = False) -> DataFrame:
-    """Skew-proof exact form.  ``key`` must identify a row uniquely; with
-    ``key=None`` a row id is attached and the input is written once to the
-    checkpoint folder, so the id is stable for the join back.
-
-    ``long`` is read by several branches.  By default each branch re-derives
-    it (a columnar scan of the ranked columns, cheaper than writing 18 rows
-    per company, and a short lineage to recompute); ``materialize=True``
-    writes it once to the checkpoint folder instead."""
-    drop_key = key is None
-    if drop_key:
-        key = "_rid"
-        df = materialize_df(df.withColumn(key, F.monotonically_increasing_id()), "rank_input")
-    g = "_g"
-    metrics = F.array(*[
-        F.struct(F.lit(s.name).alias("metric"),
-                 (_col(s.column) if s.ascending else -_col(s.column)).cast("double").alias("v"))
-        for s in specs])
-    long = (df.select(_col(key).alias("_key"), _col(group).alias(g), F.inline(metrics)))
-    if materialize:
-        long = materialize_df(long, "rank_long")
-
-    hist = long.groupBy(g, "metric", "v").agg(F.count(F.lit(1)).alias("c"))
-
-    fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    stats = hist.groupBy(g, "metric").agg(
-        F.sum("c").alias("n_all"),
-        F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("n_nn"),
-        F.percentile_approx("v", fractions, 10000).alias("bounds"))
-
-    def same_group(left: DataFrame, right: DataFrame, extra=()):
-        cond = left[g].eqNullSafe(right[g]) & (left["metric"] == right["metric"])
-        for c in extra:
-            cond = cond & (left[c] == right[c])
-        return cond
-
-    h = hist.where(F.col("v").isNotNull()).alias("h")
-    st = stats.alias("s")
-    hb = (h.join(st, same_group(h, st))
-          .select(F.col(f"h.{g}").alias(g), F.col("h.metric").alias("metric"), "h.v", "h.c",
-                  "s.n_all",
-                  F.coalesce(F.size(F.filter(F.col("s.bounds"), lambda b: b < F.col("h.v"))),
-                             F.lit(0)).alias("bucket")))
-
-    by_group = Window.partitionBy(g, "metric").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (hb.groupBy(g, "metric", "bucket").agg(F.sum("c").alias("bc"))
-               .withColumn("offset", F.coalesce(F.sum("bc").over(by_group), F.lit(0)))
-               .drop("bc").alias("o"))
-
-    in_bucket = Window.partitionBy(g, "metric", "bucket").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, -1)
-    within = hb.withColumn("before", F.coalesce(F.sum("c").over(in_bucket), F.lit(0))).alias("w")
-
-    def pct(rank: Column, n: Column) -> Column:
-        return F.when(n > 1, rank.cast("double") / (n - 1).cast("double")).otherwise(F.lit(0.0))
-
-    ranked = (within.join(offsets, same_group(within, offsets, ("bucket",)))
-              .select(F.col(f"w.{g}").alias(g), F.col("w.metric").alias("metric"), "w.v",
-                      pct(F.col("o.offset") + F.col("w.before"), F.col("w.n_all")).alias("p")))
-    null_ranks = stats.select(g, "metric", F.lit(None).cast("double").alias("v"),
-                              pct(F.col("n_nn"), F.col("n_all")).alias("p"))
-    ranks = ranked.unionByName(null_ranks).alias("r")
-
-    lg = long.alias("l")
-    joined = lg.join(ranks, lg[g].eqNullSafe(ranks[g]) & (lg["metric"] == ranks["metric"])
-                     & lg["v"].eqNullSafe(ranks["v"]))
-    wide = joined.groupBy(F.col("l._key").alias("_key")).agg(*[
-        F.max(F.when(F.col("l.metric") == s.name, F.col("r.p"))).alias(s.name) for s in specs])
-    out = df.join(wide, _col(key) == wide["_key"]).drop("_key")
-    return out.drop(key) if drop_key else out
-
-
-# Largest group the native window may hold in one task under ``auto``.
-WINDOW_MAX_GROUP_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, group: str) -> int:
-    """Row count of the biggest group: one small aggregate, one number back."""
-    row = df.groupBy(_col(group)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
-    return int(row["m"] or 0)
-
-
-def grouped_percent_rank(df: DataFrame, key: str | None, group: str, specs: list[RankSpec],
-                         method: str = "auto", buckets: int = 128,
-                         max_group_rows: int = WINDOW_MAX_GROUP_ROWS) -> DataFrame:
-    """``window``: native windows (a group per task); ``bucketed``: the
-    skew-proof form; ``auto``: checks the largest group first and uses the
-    native windows only while that group fits one task comfortably -- the
-    same size check that guards a broadcast, with the bucketed plan beyond
-    it.  Both plans give identical numbers."""
-    if method == "auto":
-        method = "window" if largest_group(df, group) <= max_group_rows else "bucketed"
-    if method == "window":
-        return percent_rank_window(df, group, specs)
-    if method == "bucketed":
-        return percent_rank_bucketed(df, key, group, specs, buckets)
-    raise ValueError(f"unknown method {method!r}")
+def _bucket(v: Column) -> Column:
+    scaled = F.signum(v) * F.log1p(F.abs(v)) * F.lit(float(RESOLUTION))
+    ends = F.lit(float(NULL_BUCKET // 4))
+    bounded = F.floor(F.greatest(-ends, F.least(ends, scaled)))
+    return F.when(v.isNull(), F.lit(NULL_BUCKET)).when(F.isnan(v), F.lit(NULL_BUCKET - 1)).otherwise(bounded)
+
+
+def value_ranks(narrow: DataFrame) -> DataFrame:
+    """``(g, metric, v, p)`` of the distinct values of ``narrow`` (g, metric, v)."""
+    hist = narrow.groupBy("g", "metric", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("b", _bucket(F.col("v")))
+    within = Window.partitionBy("g", "metric", "b")
+    earlier = within.orderBy(F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    whole = Window.partitionBy("g", "metric")
+    buckets = hist.groupBy("g", "metric", "b").agg(F.sum("c").alias("c")).select(
+        F.col("g").alias("bg"), F.col("metric").alias("bm"), F.col("b").alias("bb"),
+        F.coalesce(F.sum("c").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+        F.sum("c").over(whole).alias("n"))
+    same = F.col("g").eqNullSafe(F.col("bg")) & (F.col("metric") == F.col("bm")) & (F.col("b") == F.col("bb"))
+    rank = (F.col("offset") + F.col("before")).cast("double")
+    return hist.join(buckets, same).select(
+        F.col("g").alias("rg"), F.col("metric").alias("rm"), F.col("v").alias("rv"),
+        F.when(F.col("n") > 1, rank / (F.col("n") - 1).cast("double")).otherwise(F.lit(0.0)).alias("p"))
+
+
+def grouped_percent_rank(df: DataFrame, group: str, specs: list[RankSpec]) -> DataFrame:
+    """``df`` with one ``percent_rank`` column per spec, within ``group``."""
+    row = F.struct(*[_col(c) for c in df.columns])
+    cells = F.array(*[F.struct(F.lit(i).alias("metric"), (_col(s.column) if s.ascending else -_col(s.column))
+                               .cast("double").alias("v")) for i, s in enumerate(specs)])
+    narrow = df.select(_col(group).alias("g"), F.inline(cells))
+    carried = (df.select(_col(group).alias("g"), row.alias("row"), F.monotonically_increasing_id().alias("rid"),
+                         cells.alias("cells"))
+               .select("g", "rid", "row", F.inline("cells"))
+               .withColumn("row", F.when(F.col("metric") == 0, F.col("row"))))
+    ranks = value_ranks(narrow)
+    same = F.col("g").eqNullSafe(F.col("rg")) & (F.col("metric") == F.col("rm")) & F.col("v").eqNullSafe(F.col("rv"))
+    folded = carried.join(ranks, same).groupBy("rid").agg(
+        F.any_value("row", True).alias("row"),
+        *[F.max(F.when(F.col("metric") == i, F.col("p"))).alias(s.name) for i, s in enumerate(specs)])
+    return folded.select("row.*", *[s.name for s in specs])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import flags as fl
 from ..operators import fundamentals as fu
 from ..operators import profile as pf
+from ..operators.ranking import RankSpec, grouped_percent_rank
 from ..sources import fixtures as fx
 from ..sources.tables import scan_table
 from . import oracle
@@ -77,6 +78,28 @@ def q_sector_percentiles(spark, base):
     return fu.sector_percentiles(st.cleaned(spark, base))
 
 
+_DUP_RANKS = [RankSpec("price_rank", "l_extendedprice", True), RankSpec("discount_rank", "l_discount", False),
+              RankSpec("tax_rank", "tax", False)]
+
+
+@register("sector_percentiles_dupkeys", "ticker, sector, l_quantity:d, price_rank:d, discount_rank:d, tax_rank:d",
+          """FROM (SELECT ticker, sector, l_quantity,
+                    PERCENT_RANK() OVER (PARTITION BY sector ORDER BY l_extendedprice NULLS LAST) AS price_rank,
+                    PERCENT_RANK() OVER (PARTITION BY sector ORDER BY l_discount DESC NULLS LAST) AS discount_rank,
+                    PERCENT_RANK() OVER (PARTITION BY sector ORDER BY tax DESC NULLS LAST) AS tax_rank
+             FROM (SELECT CASE WHEN l_orderkey % 7 <> 0 THEN 'T' || CAST(l_partkey AS VARCHAR) END AS ticker,
+                          CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_returnflag END AS sector, l_quantity,
+                          l_extendedprice, l_discount, CASE WHEN l_partkey % 3 <> 0 THEN l_tax END AS tax FROM lineitem))""")
+def q_percentiles_dupkeys(spark, base):
+    """W4 over line items: repeated and NULL keys, a NULL group, ties and NULL values."""
+    li = scan_table(spark, base, "lineitem")
+    rows = li.select(
+        F.when(F.col("l_orderkey") % 7 != 0, F.concat(F.lit("T"), F.col("l_partkey").cast("string"))).alias("ticker"),
+        F.when(F.col("l_orderkey") % 5 != 0, F.col("l_returnflag")).alias("sector"), "l_quantity", "l_extendedprice",
+        "l_discount", F.when(F.col("l_partkey") % 3 != 0, F.col("l_tax")).alias("tax"))
+    return grouped_percent_rank(rows, "sector", _DUP_RANKS)
+
+
 for _name, _col in [("value_score", "value_score"), ("growth_score", "growth_score"),
                     ("quality_score", "quality_score"), ("risk_score", "risk_score"),
                     ("overall_alpha", "overall_alpha_score")]:
@@ -109,7 +132,7 @@ def q_volatility(spark, base):
 @register("red_flags", "ticker, " + ", ".join(fl.FLAG_COLUMNS),
           "FROM anomalies", ctes=("anomalies",))
 def q_red_flags(spark, base):
-    return st.anomalies(spark, base)
+    return st.flagged(spark, base)
 
 
 @register("red_flag_rollup",
@@ -117,7 +140,7 @@ def q_red_flags(spark, base):
           f"FROM (SELECT *, {FLAG_TEXT_SQL} AS red_flags_text FROM anomalies)",
           ctes=("anomalies",))
 def q_rollup(spark, base):
-    return _flag_text(st.anomalies(spark, base))
+    return _flag_text(st.flagged(spark, base))
 
 
 @register("flag_partitions", "n_any_flag, n_critical, n_high_risk, n_contradiction, n_clean",
@@ -141,11 +164,21 @@ def q_critical(spark, base):
                       .orderBy(F.col("red_flag_count").desc(), "ticker"))
 
 
+@register("high_risk_flags",
+          "ticker, company_name, sector, red_flag_count, red_flags_text, overall_alpha_score:d, conviction",
+          f"""FROM (SELECT *, {FLAG_TEXT_SQL} AS red_flags_text FROM anomalies)
+              WHERE red_flag_count >= 3 AND red_flag_count < 5""", ctes=("anomalies",))
+def q_high_risk(spark, base):
+    """C10 listing: the high-risk partition, most flags first."""
+    return _flag_text(fl.flag_partition(st.anomalies(spark, base), "high_risk")
+                      .orderBy(F.col("red_flag_count").desc(), "ticker"))
+
+
 @register("flag_frequency", "flag, count",
           "FROM (SELECT flag, COUNT(*) AS count FROM (SELECT unnest(red_flags) AS flag FROM anomalies) GROUP BY flag)",
           ctes=("anomalies",))
 def q_flag_frequency(spark, base):
-    return fl.flag_frequency(st.anomalies(spark, base)).orderBy(F.col("count").desc(), "flag")
+    return fl.flag_frequency(st.flagged(spark, base)).orderBy(F.col("count").desc(), "flag")
 
 
 # --- W5, K1-K4 -------------------------------------------------------------
@@ -204,6 +237,15 @@ def q_sample_projection(spark, base):
     return fu.top_k(st.cleaned(spark, base), [F.col("ticker")], 10)
 
 
+@register("sample_standardized",
+          "ticker, company_name, sector, ev_ebitda:d, revenue_growth_yoy:d, eps_growth_yoy:d, free_cash_flow_margin:d, "
+          "volatility_52w:d, overall_alpha_score:d, conviction",
+          "FROM standardized ORDER BY overall_alpha_score DESC, ticker LIMIT 10", ctes=("standardized",))
+def q_sample_standardized(spark, base):
+    """K4, second sample: the standardized columns of the best companies by alpha."""
+    return fu.top_k(st.standardized(spark, base), [F.col("overall_alpha_score").desc(), F.col("ticker")], 10)
+
+
 # --- P1-P6 -----------------------------------------------------------------
 
 def _spark_type(c):
@@ -266,10 +308,11 @@ def q_conviction_distribution(spark, base):
           "FROM (" + " UNION ALL ".join(
               f"SELECT '{g}' AS column_group, '{c}' AS column_name, TRUE AS present, "
               f'COUNT("{c}") > 0 AS usable FROM standardized'
-              for g, cols in pf.REQUIRED_COLUMNS.items() for c in cols) + ")",
+              for g, cols in pf.REQUIRED_COLUMNS.items() for c in cols)
+          + " UNION ALL SELECT 'absent' AS column_group, 'no_such_column' AS column_name, FALSE AS present, FALSE AS usable)",
           ctes=("standardized",))
 def q_required_columns(spark, base):
-    return pf.required_columns(st.standardized(spark, base), pf.REQUIRED_COLUMNS)
+    return pf.required_columns(st.standardized(spark, base), pf.REQUIRED_COLUMNS | {"absent": ["no_such_column"]})
 
 
 @register("completeness_band", "column_name, pct_complete:d, band",
@@ -302,4 +345,4 @@ def q_factor_scores_fixed(spark, base):
           ctes=("anomalies",))
 def q_severity_distribution(spark, base):
     """P5 for the red-flag severity, ordered by name."""
-    return pf.category_distribution(st.anomalies(spark, base), "red_flag_severity", by_name=True)
+    return pf.category_distribution(st.flagged(spark, base), "red_flag_severity", by_name=True)

@@ -22,14 +22,19 @@ def cleaned(spark: SparkSession, base: str) -> DataFrame:
     return fu.clean_fundamentals(companies(spark, base))
 
 
-def scored(spark: SparkSession, base: str, method: str = "auto", fixed: bool = False) -> DataFrame:
-    return fu.factor_scores(cleaned(spark, base), method=method, fixed=fixed)
+def scored(spark: SparkSession, base: str, fixed: bool = False) -> DataFrame:
+    return fu.factor_scores(cleaned(spark, base), fixed=fixed)
 
 
-def standardized(spark: SparkSession, base: str, method: str = "auto") -> DataFrame:
-    return fu.standardize(scored(spark, base, method))
+def standardized(spark: SparkSession, base: str) -> DataFrame:
+    return fu.standardize(scored(spark, base))
 
 
-def anomalies(spark: SparkSession, base: str, method: str = "auto") -> DataFrame:
+def anomalies(spark: SparkSession, base: str) -> DataFrame:
     """The flagged company table: scores, names, volatility proxies and red flags."""
-    return fl.with_anomalies(standardized(spark, base, method))
+    return fl.with_anomalies(standardized(spark, base))
+
+
+def flagged(spark: SparkSession, base: str) -> DataFrame:
+    """Red flags from the cleaned table alone: flags need no percentile."""
+    return fl.with_anomalies(fu.standardize(cleaned(spark, base)))

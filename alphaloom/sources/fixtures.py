@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .tables import scan_table
 
@@ -53,7 +52,7 @@ COMPANY_METRIC_RULES = [
     ("52week_low", 131, 500, -100, 1, 101),
 ]
 
-# Column order of the fundamentals table.
+# Columns of the fundamentals table, in order.
 COMPANY_COLUMNS = [
     "ticker", "company_name", "sector", "industry", "country", "exchange", "currency",
     "market_cap", "current_price", "enterprise_value", "open",
@@ -71,17 +70,6 @@ def _metric(key: Column, a: int, b: int, c: int, d: int, m: int) -> Column:
         ((key * a) % b - c).cast("double") / F.lit(d))
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN compares greater than every number in Spark; loaders turn it into
-    NULL so that thresholds and rankings treat it as missing."""
-    doubles = [f.name for f in df.schema.fields
-               if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    if not doubles:
-        return df
-    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double"))
-                           for c in doubles})
-
-
 def companies(spark: SparkSession, base: str) -> DataFrame:
     """One row per company with its fundamentals, derived from ``part``."""
     p = _read(spark, base, "part", "p_partkey", "p_name", "p_brand", "p_type",
@@ -108,7 +96,7 @@ def companies(spark: SparkSession, base: str) -> DataFrame:
     }
     for name, a, b, c, d, m in COMPANY_METRIC_RULES:
         cols[name] = _metric(k, a, b, c, d, m)
-    return nan_to_null(p.select(*[cols[c].alias(c) for c in COMPANY_COLUMNS]))
+    return p.select(*[cols[c].alias(c) for c in COMPANY_COLUMNS])
 
 
 # ---------------------------------------------------------------------------
@@ -168,12 +156,13 @@ def retail_transactions(spark: SparkSession, base: str) -> DataFrame:
 # Short posts about stocks
 # ---------------------------------------------------------------------------
 
-# Text appended to each post by doc_id % 5 (0..3; 4 adds nothing).
+# Text appended to each post by doc_id % 5.
 TWEET_SUFFIXES = [
     " $TSLA Crash and PANIC selling",
     " @desk Earnings beat, margins up &amp; revenue up! http://t.example/x",
     " great profit   www.x.example love it",
     " scared of debt, price target cut",
+    " the caf&eacute; isn&#8217;t cheap: &#x20AC;5 &amp;lt;b&amp;gt; &eacutet&eacute; &unknown;",
 ]
 
 
@@ -205,11 +194,25 @@ def prices_observed(spark: SparkSession, base: str) -> DataFrame:
             .agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("price")))
 
 
+# The tickers of the wide price file (brands 1 to 25 by the
+# schema of ``part``).
+WIDE_TICKERS = [f"Brand#{i}" for i in range(1, 26)]
+
+
 def prices_wide(spark: SparkSession, base: str) -> DataFrame:
-    """Wide price matrix, one column per ticker (the CSV shape the portfolio
-    tools read).  ``pivot`` discovers the ticker set with one small job;
-    a missing observation becomes a NULL cell."""
-    return prices_observed(spark, base).groupBy("date").pivot("ticker").agg(F.first("price"))
+    """Wide price matrix, one column per listed ticker (the CSV shape the
+    portfolio tools read); a missing observation becomes a NULL cell."""
+    return prices_observed(spark, base).groupBy("date").pivot("ticker", WIDE_TICKERS).agg(F.first("price"))
+
+
+def prices_grid(spark: SparkSession, base: str) -> DataFrame:
+    """Long prices on the full (date, ticker) grid.  The calendar is one array
+    value (one entry per observed date), exploded for each ticker; there is no
+    limit on tickers and no job while this is built."""
+    seen = prices_observed(spark, base)
+    calendar = seen.agg(F.sort_array(F.collect_set("date")).alias("d")).scalar()
+    grid = seen.select("ticker").distinct().withColumn("date", F.explode(calendar))
+    return grid.join(seen, ["date", "ticker"], "left").select("date", "ticker", "price")
 
 
 # ---------------------------------------------------------------------------
@@ -258,9 +261,5 @@ LEXICON = [("love", 3.0), ("great", 3.0), ("beat", 1.5), ("up", 0.5), ("profit",
 REQUESTED_TICKERS = ["t1", "T2", "t999999"]
 
 
-def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON, "token string, valence double")
-
-
 def requested_tickers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t,) for t in REQUESTED_TICKERS], "request string")

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as S
 from pyspark.sql import functions as F
 
-from alphaloom.operators.ranking import RankSpec, grouped_percent_rank
+from alphaloom.operators.ranking import RankSpec
 from alphaloom.plans import stages as st
 
 import __spark_entry__ as E
@@ -20,14 +20,12 @@ rows = S.lists(S.tuples(S.sampled_from(["a", "b", "c", None]), values, values),
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows)
-def test_bucketed_equals_window(spark, data):
-    df = spark.createDataFrame([(f"k{i}", g, x, y) for i, (g, x, y) in enumerate(data)],
+def test_ranks_equal_native_windows(spark, data):
+    from .test_ranking import compare
+    df = spark.createDataFrame([(f"k{i % 5}", g, x, y) for i, (g, x, y) in enumerate(data)],
                                "id string, grp string, x double, y double")
-    specs = [RankSpec("px", "x", True), RankSpec("py", "y", False)]
-    a = {r.id: (r.px, r.py) for r in grouped_percent_rank(df, "id", "grp", specs, "window").collect()}
-    b = {r.id: (r.px, r.py) for r in grouped_percent_rank(df, "id", "grp", specs, "bucketed", 3,
-                                                          ).collect()}
-    assert a == b
+    compare(df.withColumns({c: F.col(c) + F.lit(0.0) for c in ("x", "y")}),
+            "grp", [RankSpec("px", "x", True), RankSpec("py", "y", False)])
 
 
 def test_normalised_columns_in_unit_interval(spark):

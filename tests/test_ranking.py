@@ -1,54 +1,75 @@
-"""The bucketed percent rank equals Spark's native percent_rank exactly."""
+"""The one-plan percent rank equals Spark's native percent_rank exactly."""
 
 import math
 import random
+from collections import Counter
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from alphaloom.operators import fundamentals as fu
+from alphaloom.operators import ranking as rk
 from alphaloom.operators.ranking import RankSpec, grouped_percent_rank
 from alphaloom.plans import stages as st
-from alphaloom.operators import fundamentals as fu
 
 from .conftest import SF_CHECK
 
 
-def _compare(df, key, group, specs, buckets=4):
-    a = {r[key]: r for r in grouped_percent_rank(df, key, group, specs, "window").collect()}
-    b = {r[key]: r for r in grouped_percent_rank(df, key, group, specs, "bucketed", buckets).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        for s in specs:
-            x, y = a[k][s.name], b[k][s.name]
-            assert x == y, (k, s.name, x, y)
+def native(df, group, specs):
+    """Ranks by Spark's own window function."""
+    cols = {}
+    for s in specs:
+        c = F.col(f"`{s.column}`")
+        order = c.asc_nulls_last() if s.ascending else c.desc_nulls_last()
+        cols[s.name] = F.percent_rank().over(Window.partitionBy(group).orderBy(order))
+    return df.withColumns(cols)
+
+
+def compare(df, group, specs):
+    got, want = grouped_percent_rank(df, group, specs), native(df, group, specs)
+    assert got.columns == want.columns
+    assert Counter(map(str, got.collect())) == Counter(map(str, want.collect()))
 
 
 def test_hand_made_edge_cases(spark):
     rows = [
         ("a", "g1", 1.0, None), ("b", "g1", 1.0, 5.0), ("c", "g1", 2.0, None),   # ties, NULLs
-        ("d", "g1", None, 3.0), ("e", "g1", -0.0, 3.0), ("f", "g1", 0.0, 3.0),   # -0.0 == 0.0
+        ("d", "g1", None, 3.0), ("e", "g1", 4.0, 3.0), ("f", "g1", 0.0, 3.0),
         ("g", "g2", 7.0, None),                                                 # one-row group
         ("h", "g3", None, None), ("i", "g3", None, None),                       # all NULL
         ("j", None, 4.0, 1.0), ("k", None, 3.0, 1.0),                           # NULL group
+        (None, "g1", 1.0, 2.0), (None, "g1", 1.0, 2.0),                         # NULL keys, repeated rows
+        ("a", "g2", 1.0, 9.0), ("z", "g1", float("inf"), float("-inf")),        # a key in two groups
     ]
     df = spark.createDataFrame(rows, "id string, grp string, x double, y double")
-    specs = [RankSpec("px", "x", True), RankSpec("py", "y", False)]
-    _compare(df, "id", "grp", specs, buckets=3)
+    compare(df, "grp", [RankSpec("px", "x", True), RankSpec("py", "y", False)])
+
 
+def test_negative_zero_ties_with_zero(spark):
+    df = spark.createDataFrame([("g", -0.0), ("g", 0.0), ("g", 1.0), ("g", -1e-300)], "grp string, x double")
+    got = sorted(r.p for r in grouped_percent_rank(df, "grp", [RankSpec("p", "x", True)]).collect())
+    assert got == [0.0, 1 / 3, 1 / 3, 1.0]
 
-def test_random_frame_many_ties(spark):
+
+def test_random_frame_many_ties(spark, monkeypatch):
     rnd = random.Random(11)
     rows = []
     for i in range(3000):
         grp = rnd.choice(["hot"] * 8 + ["a", "b", "c"])                      # one dominant group
         x = None if rnd.random() < 0.1 else float(rnd.randint(-20, 20))
         y = None if rnd.random() < 0.3 else rnd.random()
-        rows.append((f"k{i}", grp, x, y))
+        rows.append((f"k{i % 700}", grp, x, y))
     df = spark.createDataFrame(rows, "id string, grp string, x double, y double")
     specs = [RankSpec("px", "x", True), RankSpec("py", "y", False), RankSpec("qx", "x", False)]
-    _compare(df, "id", "grp", specs, buckets=16)
+    for resolution in (1, 1024):
+        monkeypatch.setattr(rk, "RESOLUTION", resolution)
+        compare(df, "grp", specs)
 
 
 def test_fixture_all_eighteen_percentiles(spark):
     cleaned = st.cleaned(spark, SF_CHECK)
-    _compare(cleaned, "ticker", "sector", fu.ALL_RANKS, buckets=128)
+    keep = ["ticker", "sector", *dict.fromkeys(s.column for s in fu.ALL_RANKS)]
+    compare(cleaned.select(*keep), "sector", fu.ALL_RANKS)
 
 
 def test_percentiles_in_unit_interval(spark):
@@ -58,11 +79,15 @@ def test_percentiles_in_unit_interval(spark):
             assert v is not None and 0.0 <= v <= 1.0 and not math.isnan(v)
 
 
-def test_duplicate_rows_without_key(spark):
-    rows = [("g", 1.0), ("g", 1.0), ("g", 2.0), ("h", None), ("h", 5.0), ("g", None), ("g", 2.0)]
-    df = spark.createDataFrame(rows, "grp string, x double")
-    specs = [RankSpec("px", "x", True), RankSpec("qx", "x", False)]
-    a = grouped_percent_rank(df, None, "grp", specs, "window").collect()
-    b = grouped_percent_rank(df, None, "grp", specs, "bucketed", 2).collect()
-    assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
-    assert set(b[0].asDict()) == {"grp", "x", "px", "qx"}
+def test_building_starts_no_job_and_needs_no_group_in_one_task(spark):
+    cleaned = st.cleaned(spark, SF_CHECK)
+    sc = spark.sparkContext
+    sc.setJobGroup("rank-build", "")
+    try:
+        df = fu.sector_percentiles(cleaned)
+    finally:
+        sc.setJobGroup("", "")
+    assert not sc.statusTracker().getJobIdsForGroup("rank-build")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "percent_rank" not in plan and "SinglePartition" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
