@@ -8,12 +8,11 @@ Unicode ``\\w`` / ``\\s`` semantics.
 
 from __future__ import annotations
 
-import html
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Character classes.
 WORD = r"[\p{L}\p{N}_]"
@@ -30,10 +29,14 @@ MENTION_PATTERN = f"@{WORD}+"
 # Mis-decoded quote sequences and their replacements, in order.
 MOJIBAKE = [("â€œ", '"'), ("â€\u009d", '"'), ("â€™", "'")]
 
-# Entities decoded by the built-in form (ampersand last, so a
-# single decoding pass is reproduced).
-BASIC_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-                  ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+# Character references: decimal, hexadecimal, named with a semicolon, and the
+# names that HTML also allows without one (both sets as the standard library
+# lists them).
+_BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+ENTITY_PATTERN = (r"&(?:#[0-9]{1,8};?|#[xX][0-9a-fA-F]{1,7};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:"
+                  + "|".join(_BARE_NAMES) + "))")
+# Numbers 128-159 stand for the characters of that byte in Windows-1252.
+_WINDOWS_1252 = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
 
 # Word lists.
 FEAR_WORDS = ["crash", "fear", "panic", "worried", "scared", "scary",
@@ -68,29 +71,47 @@ def negation_multipliers(tok: Column) -> Column:
     return F.transform(tok, mult)
 
 
-@F.pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
-    """Exact HTML entity decoding (all named and numeric entities), Arrow
-    batched.  Only used when ``exact_entities=True``."""
-    return s.map(lambda t: None if t is None else html.unescape(t))
-
-
 def _only_if(t: Column, needles: list[str], step) -> Column:
     """Apply ``step`` only to texts containing one of ``needles``: a cheap
     substring test skips whole passes over the (usually large) majority of
-    texts that the step could not change."""
-    cond = None
-    for n in needles:
-        hit = F.instr(t, n) > 0
-        cond = hit if cond is None else cond | hit
-    return F.when(cond, step(t)).otherwise(t)
-
-
-def decode_basic_entities(c: Column) -> Column:
-    def decode(t):
-        for ent, ch in BASIC_ENTITIES:
-            t = F.replace(t, F.lit(ent), F.lit(ch))
-        return t
+    texts that the step could not change.  The text is bound once, as the variable
+    of a one-element transform, so chained steps do not repeat each other."""
+    def chosen(x: Column) -> Column:
+        cond = None
+        for n in needles:
+            hit = F.instr(x, n) > 0
+            cond = hit if cond is None else cond | hit
+        return F.when(cond, step(x)).otherwise(x)
+    return F.get(F.transform(F.array(t), chosen), F.lit(0))
+
+
+def _numbered(code: Column) -> Column:
+    """The character of a numeric reference, by the HTML rules for numbers that
+    are no characters."""
+    own = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    dropped = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+               | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
+    return (F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd"))
+             .when(code.between(128, 159), F.substr(F.lit(_WINDOWS_1252), (code - 127).cast("int"), F.lit(1)))
+             .when(dropped, F.lit("")).otherwise(own))
+
+
+def decode_entities(c: Column) -> Column:
+    """Numeric and named character references, each decoded once, with built-in
+    expressions: the text is split at the references and joined again with what
+    they stand for.  An unknown name stays as it is."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def one(e: Column) -> Column:
+        digits = F.regexp_replace(e, "[&#;xX]", "")
+        number = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        named = F.coalesce(F.try_element_at(names, F.substring(e, 2, 64)), e)
+        return F.when(F.startswith(e, F.lit("&#")), _numbered(number)).otherwise(named)
+
+    def decode(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(ENTITY_PATTERN), 0)
+        meant = F.concat(F.transform(found, one), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(t, ENTITY_PATTERN, -1), meant, lambda a, b: F.concat(a, b)), "")
     return _only_if(c, ["&"], decode)
 
 
@@ -100,12 +121,12 @@ def _fix_quotes(t: Column) -> Column:
     return t
 
 
-def clean_post(c: Column, exact_entities: bool = False) -> Column:
+def clean_post(c: Column) -> Column:
     """Entities -> quote fixes -> drop URLs, $tags, @mentions -> collapse
     whitespace -> trim -> lower.  NULL becomes the empty string.  Each
     literal or pattern step runs only on texts containing its trigger
     characters (a pattern cannot match without them)."""
-    t = html_unescape(c) if exact_entities else decode_basic_entities(c)
+    t = decode_entities(c)
     t = _only_if(t, ["â"], _fix_quotes)
     t = _only_if(t, ["http", "www."], lambda x: F.regexp_replace(x, URL_PATTERN, ""))
     t = _only_if(t, ["$"], lambda x: F.regexp_replace(x, CASHTAG_PATTERN, ""))

@@ -1,10 +1,8 @@
 """Post features and the post alpha.
 
-Plan shape: cleaning and word-list scores are row expressions; the lexicon
-score explodes (post key, token) pairs only, joins the lexicon (broadcast
-only when its size is known to be small), sums per post with map-side
-partial aggregation and joins the one-row-per-post sums back.  Stock volume
-is aggregate-then-join, and every global statistic is a scalar subquery.
+Plan shape: cleaning, word-list and lexicon scores are row expressions over the
+token array, so posts are never joined, shuffled or keyed.  Stock volume is
+aggregate-then-join, and every global statistic is a scalar subquery.
 """
 
 from __future__ import annotations
@@ -13,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import materialize as materialize_df
 from .normalize import attach_bounds, minmax_zero
 
 # Post-alpha weights.
@@ -21,64 +18,41 @@ TWEET_WEIGHTS = [("sent_norm", 0.4), ("fear_norm", 0.3), ("keyword_norm", 0.2),
 FEATURE_NORMS = [("sentiment", "sent_norm"), ("fear_score", "fear_norm"),
                  ("finance_keyword_score", "keyword_norm"), ("volume_zscore", "volume_norm")]
 
-# A lexicon known to be at most this many rows is looked up in place (map
-# lookups scan the keys, so only for tiny lexicons); up to the second bound
-# it is broadcast explicitly; larger or unknown ones go to the planner.
-MAP_LOOKUP_ROWS = 64
-LEXICON_BROADCAST_ROWS = 100_000
-
-
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def word_features(posts: DataFrame, text_col: str = "Tweet", exact_entities: bool = False) -> DataFrame:
+def word_features(posts: DataFrame, text_col: str = "Tweet") -> DataFrame:
     """T1-T3 as columns ``clean``, ``tokens``, ``fear_score``,
     ``finance_keyword_score``."""
-    return (posts.withColumn("clean", tx.clean_post(_c(text_col), exact_entities))
+    return (posts.withColumn("clean", tx.clean_post(_c(text_col)))
                  .withColumn("tokens", tx.tokens(F.col("clean")))
                  .withColumn("fear_score", tx.fear_score(F.col("tokens")))
                  .withColumn("finance_keyword_score", tx.keyword_score(F.col("tokens"))))
 
 
-def lexicon_sentiment(feat: DataFrame, lexicon: DataFrame, key: str = "doc_id",
-                      lexicon_rows: int | None = None, negation: bool = False) -> DataFrame:
+def lexicon_sentiment(feat: DataFrame, lexicon: dict[str, float], negation: bool = False) -> DataFrame:
     """T4: compound polarity of the summed token valences; no hit -> 0.0.
 
-    ``lexicon_rows`` is the caller's known row count of ``lexicon`` (case is
-    ignored; a token listed twice adds its valences).  A lexicon known to be
-    tiny is folded into one map value (a scalar subquery) and each post's
-    tokens are scored in place by a higher-order ``aggregate``: no explode,
-    no join, no shuffle, one pass over the text.  Otherwise only
-    ``(key, token)`` pairs are exploded (never the text), joined to the
-    lexicon (broadcast when known small enough, else the planner decides),
-    summed per post with map-side partial aggregation and joined back.
-    ``negation=True`` scales a valence by ``NEGATION_FACTOR`` when one of the
-    three preceding tokens is a negation word (computed inside the array,
-    before any explode)."""
-    lex = (lexicon.select(F.lower("token").alias("_tok"), F.col("valence").alias("_val"))
-           .groupBy("_tok").agg(F.sum("_val").alias("_val")))
-    if lexicon_rows is not None and lexicon_rows <= MAP_LOOKUP_ROWS:
-        lex_map = lex.agg(F.map_from_entries(F.collect_list(F.struct("_tok", "_val"))).alias("m")).scalar()
-        out = feat.withColumn("_lex", lex_map)
-        vals = F.transform("tokens", lambda t: F.coalesce(F.try_element_at(F.col("_lex"), t), F.lit(0.0)))
-        if negation:
-            vals = F.zip_with(vals, tx.negation_multipliers(F.col("tokens")), lambda v, m: v * m)
-        total = F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v)
-        return out.withColumn("sentiment", tx.compound(total)).drop("_lex")
-    if lexicon_rows is not None and lexicon_rows <= LEXICON_BROADCAST_ROWS:
-        lex = F.broadcast(lex)
+    ``lexicon`` is a word list like the others (word -> valence, case ignored):
+    a constant of the plan.  Tokens are tested against a hash set of its words,
+    and only hits are looked up, so the cost does not grow with the list.  NULL
+    tokens are ignored; posts need no key.  ``negation=True`` scales a valence by
+    ``NEGATION_FACTOR`` when one of the three preceding tokens is a negation word."""
+    values: dict[str, float] = {}
+    for word, value in lexicon.items():
+        values[word.lower()] = values.get(word.lower(), 0.0) + float(value)
+    if not values:
+        return feat.withColumn("sentiment", F.lit(0.0))
+    table = F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])
+
+    def valence(t: Column) -> Column:
+        return F.when(t.isin(*values), F.try_element_at(table, t)).otherwise(F.lit(0.0))
+    scores = F.transform("tokens", valence)
     if negation:
-        zipped = F.arrays_zip(F.col("tokens").alias("_tok"),
-                              tx.negation_multipliers(F.col("tokens")).alias("_m"))
-        pairs = feat.select(_c(key).alias("_k"), F.inline(zipped))
-        weight = F.col("_val") * F.col("_m")
-    else:
-        pairs = feat.select(_c(key).alias("_k"), F.explode("tokens").alias("_tok"))
-        weight = F.col("_val")
-    sums = (pairs.join(lex, "_tok").groupBy("_k").agg(F.sum(weight).alias("_s")))
-    out = feat.join(sums, _c(key) == F.col("_k"), "left").drop("_k")
-    return (out.withColumn("sentiment", tx.compound(F.coalesce(F.col("_s"), F.lit(0.0)))).drop("_s"))
+        scores = F.zip_with(scores, tx.negation_multipliers(F.col("tokens")), lambda v, m: v * m)
+    total = F.aggregate(scores, F.lit(0.0), lambda acc, v: acc + v)
+    return feat.withColumn("sentiment", tx.compound(F.coalesce(total, F.lit(0.0))))
 
 
 def stock_volume(posts: DataFrame, stock: str = "Stock Name", text_col: str = "Tweet") -> DataFrame:
@@ -113,22 +87,14 @@ def volume_zscore(posts: DataFrame, stock: str = "Stock Name", text_col: str = "
     return out.withColumn("volume_zscore", F.try_divide(F.col("volume") - mean, F.nullif(std, F.lit(0.0))))
 
 
-def tweet_features(posts: DataFrame, lexicon: DataFrame, lexicon_rows: int | None = None,
-                   key: str = "doc_id", exact_entities: bool = False,
-                   materialize: bool = True) -> DataFrame:
-    """T1-T4 + N4 on every post.  The post alpha reads the features twice
-    (global min/max, then the rows); ``materialize`` writes them once (token
-    arrays dropped) to the shared checkpoint folder so the text is cleaned
-    and scored in one pass."""
-    feat = word_features(posts, exact_entities=exact_entities)
-    feat = volume_zscore(lexicon_sentiment(feat, lexicon, key, lexicon_rows))
-    if materialize:
-        feat = materialize_df(feat.drop("tokens"), "post_features")
-    return feat
+def tweet_features(posts: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+    """T1-T4 + N4 on every post."""
+    return volume_zscore(lexicon_sentiment(word_features(posts), lexicon)).drop("tokens")
 
 
 def tweet_alpha(features: DataFrame) -> DataFrame:
-    """N3 on the four features (constant column -> 0.0), then T5."""
+    """N3 on the four features (constant column -> 0.0), then T5.  The bounds
+    come from a pass over the feature columns alone; no text is written."""
     srcs = [src for src, _ in FEATURE_NORMS]
     b = F.col("_bounds")
     feat = attach_bounds(features, "_bounds", features.select(*srcs), srcs)

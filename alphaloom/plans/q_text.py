@@ -16,7 +16,7 @@ def _posts(spark, base):
 
 
 def _features(spark, base):
-    return te.tweet_features(_posts(spark, base), fx.lexicon(spark), lexicon_rows=len(fx.LEXICON))
+    return te.tweet_features(_posts(spark, base), dict(fx.LEXICON))
 
 
 @register("clean_tweet", "doc_id, clean", "FROM tweet_words", ctes=("tweet_words",))
@@ -38,7 +38,7 @@ def q_keywords(spark, base):
 @register("lexicon_sentiment", "doc_id, sentiment:d", "FROM tweet_sent", ctes=("tweet_sent",))
 def q_sentiment(spark, base):
     feat = te.word_features(_posts(spark, base))
-    return te.lexicon_sentiment(feat, fx.lexicon(spark), lexicon_rows=len(fx.LEXICON))
+    return te.lexicon_sentiment(feat, dict(fx.LEXICON))
 
 
 @register("stock_volume", "doc_id, volume",
@@ -83,10 +83,3 @@ def q_clean_memo(spark, base):
     """T6 over whole documents (markdown markers and non-Latin-1 removed)."""
     d = scan_table(spark, base, "documents").select("doc_id", "text")
     return d.select("doc_id", tx.clean_memo(F.col("text")).alias("clean_text"))
-
-
-@register("clean_tweet_exact", "doc_id, clean", "FROM tweet_words", ctes=("tweet_words",))
-def q_clean_exact(spark, base):
-    """T1 with exact HTML entity decoding (Arrow-batched pandas UDF).  The
-    fixture's posts carry only basic entities, so the built-in oracle holds."""
-    return te.word_features(_posts(spark, base), exact_entities=True)

@@ -15,10 +15,13 @@ from ..operators.text import word_features
 POST_SCHEMA = "doc_id long, Tweet string, `Stock Name` string, `Company Name` string"
 
 
-def post_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """Posts arriving as parquet files under ``path``."""
-    return (spark.readStream.schema(POST_SCHEMA).option("maxFilesPerTrigger", max_files)
-            .parquet(path))
+def post_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Posts arriving as parquet files under ``path``; ``max_files`` bounds a
+    micro-batch and is unset by default."""
+    reader = spark.readStream.schema(POST_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
 def post_features(stream: DataFrame) -> DataFrame:
