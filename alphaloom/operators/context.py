@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flags import flags_or_fallback, flags_text
-from .macro import latest_one
+from .macro import beta_band, latest_one, macro_trend
 
 
 def _c(name: str) -> Column:
@@ -91,26 +91,34 @@ def company_context(companies: DataFrame, macro: DataFrame | None) -> DataFrame:
 # C11 lookups
 # ---------------------------------------------------------------------------
 
-def company_lookup(companies: DataFrame, requests: DataFrame, request_col: str = "request") -> DataFrame:
-    """C11 in batch form: one row per request with the matching company
-    (``upper(request) = ticker``; the stored side is not upper-cased) and a
-    ``found`` flag.  The request list is broadcast when the caller knows it
-    is small; one match per request is kept, lowest ticker first."""
-    r = requests.select(F.col(request_col).alias("request"))
-    j = r.join(companies, F.upper(F.col("request")) == _c("ticker"), "left")
-    w = Window.partitionBy("request").orderBy(_c("ticker").asc_nulls_last())
-    return (j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-             .withColumn("found", _c("ticker").isNotNull()))
+def company_lookup(companies: DataFrame, requests: DataFrame, request_col: str = "request",
+                   few_requests: bool = False) -> DataFrame:
+    """C11 in batch form: one row per request row (repeats included) with the
+    matching company (``upper(request) = ticker``; the stored side is not
+    upper-cased) and a ``found`` flag.  The distinct requests select the few
+    matching companies, which then meet the request rows, so the company table is
+    scanned and never shuffled when ``few_requests`` says that the list is
+    short.  Of companies that share a ticker the first by name is taken."""
+    r = requests.select(F.col(request_col).alias("request")).withColumn("_want", F.upper("request"))
+    wanted = r.select("_want").distinct()
+    if few_requests:
+        wanted = F.broadcast(wanted)
+    first = Window.partitionBy("_want").orderBy(*[_c(c).asc_nulls_last() for c in ("company_name",) if c in companies.columns]
+                                                or [F.lit(0)])
+    hits = companies.join(wanted, _c("ticker") == F.col("_want"))
+    hits = hits.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    return r.join(hits, "_want", "left").drop("_want").withColumn("found", _c("ticker").isNotNull())
 
 
 def lookup_one(spark: SparkSession, view: str, ticker: str) -> DataFrame:
     """C11 for one ticker, with parameter binding (never string splicing).
     Raises ``LookupError`` when nothing matches."""
-    df = spark.sql(f"SELECT * FROM `{view}` WHERE ticker = upper(:t) ORDER BY ticker LIMIT 1",
-                   args={"t": ticker})
-    if not df.take(1):
+    name = view.replace("`", "``")
+    rows = spark.sql(f"SELECT * FROM `{name}` WHERE ticker = upper(:t) ORDER BY ticker LIMIT 1", args={"t": ticker})
+    found = rows.collect()                      # at most one row
+    if not found:
         raise LookupError(f"No data found for ticker {ticker}")
-    return df
+    return spark.createDataFrame(found, rows.schema)
 
 
 # ---------------------------------------------------------------------------
@@ -231,6 +239,36 @@ def scenario_prompt(ctx: DataFrame, horizon: str = "the next 12-18 months") -> C
         F.lit("For each case give drivers, how the risk profile changes and who it suits."))
 
 
+def app_memo_prompt(ctx: DataFrame, question: str) -> Column:
+    """M1 (app form): a question about one company with its scores, risk
+    figures with the beta band, credit regime with its trend, and flags."""
+    def txt(c, missing="N/A"):
+        return F.coalesce(c.cast("string"), F.lit(missing))
+
+    def num(c):
+        return safe_value_text(c if isinstance(c, Column) else _c(c))
+
+    def line(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    m, red = F.col("macro"), F.col("red_flags")
+    return F.concat_ws(
+        "\n",
+        line("Assess ", txt(_c("ticker")), " (", txt(_c("company_name")), ", ", txt(_c("sector")), ", ", txt(_c("country")),
+             ") for this question: ", question),
+        line("Scores: value ", num("value_score"), ", growth ", num("growth_score"), ", quality ", num("quality_score"),
+             ", risk ", num("risk_score"), ", alpha ", num("overall_alpha_score"), "; rated ", txt(_c("conviction_rating")), "."),
+        line("Risk: beta ", num("beta"), " (", txt(beta_band(_c("beta")), "unknown"), " sensitivity), volatility 30d ",
+             num("volatility_30d"), ", 90d ", num("volatility_90d"), ", 52w ", num("volatility_52w"), "; D/E ",
+             num("debt_to_equity"), ", current ratio ", num("current_ratio"), ", cash to debt ", num("cash_to_debt"),
+             ", FCF yield ", num("fcf_yield"), ", FCF margin ", num("free_cash_flow_margin"), "."),
+        line("Credit: spread ", num(m["spread_bps"]), " bps, three-month change ", num(m["spread_3m_change"]), " (",
+             txt(macro_trend(m["spread_3m_change"]), "unknown"), "), bucket ", txt(m["credit_risk_bucket"]), "."),
+        line("Red flags: score ", num(red["red_flag_score"]), ", severity ", txt(red["red_flag_severity"]), ", ",
+             txt(red["red_flag_count"], "0"), " found: ", flags_text(red["red_flags"]), "."),
+        F.lit("Use only these facts, name what is missing and give no numeric forecast."),
+        F.lit("Answer with a summary, strengths, risks, the effect of wider credit spreads, and a verdict that fits the rating."))
+
+
 MEMO_COLUMNS = ["ticker", "company_name", "sector", "overall_alpha_score", "conviction",
                 "value_score", "growth_score", "quality_score", "risk_score", "red_flag_count"]
 MEMO_SCHEMA = T.StructType([

@@ -11,24 +11,18 @@ BETA_LOW = 0.8
 BETA_HIGH = 1.2
 
 
-def latest_rows(macro: DataFrame, date_col: str = "date") -> DataFrame:
-    """Every row at the newest date (ties kept).  The newest date is
-    an uncorrelated scalar subquery, computed once."""
-    newest = macro.agg(F.max(date_col).alias("d")).scalar()
-    return macro.where(F.col(date_col) == newest)
-
-
 def create_latest_view(spark: SparkSession, source_view: str, view: str,
                        date_col: str = "date") -> DataFrame:
     """S7 in SQL form: a temp view holding the rows at the newest date."""
-    spark.sql(f"CREATE OR REPLACE TEMP VIEW `{view}` AS SELECT * FROM `{source_view}` "
-              f"WHERE `{date_col}` = (SELECT max(`{date_col}`) FROM `{source_view}`)")
+    new, old, day = (f"`{x.replace('`', '``')}`" for x in (view, source_view, date_col))
+    spark.sql(f"CREATE OR REPLACE TEMP VIEW {new} AS SELECT * FROM {old} WHERE {day} = (SELECT max({day}) FROM {old})")
     return spark.table(view)
 
 
 def history_top(macro: DataFrame, n: int = 5, date_col: str = "date") -> DataFrame:
-    """The newest ``n`` rows (top-k)."""
-    return macro.orderBy(F.col(date_col).desc()).limit(n)
+    """The newest ``n`` rows (top-k), ties broken by the other columns."""
+    others = [F.col(c) for c in macro.columns if c != date_col]
+    return macro.orderBy(F.col(date_col).desc(), *others).limit(n)
 
 
 def latest_one(macro: DataFrame, date_col: str = "date") -> DataFrame:

@@ -25,12 +25,6 @@ def global_minmax(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def minmax_bounds(stats_source: DataFrame, column: str) -> tuple[Column, Column]:
-    """Scalar-subquery columns for min and max of ``column``."""
-    agg = stats_source.agg(F.min(_c(column)).alias("mn"), F.max(_c(column)).alias("mx"))
-    return agg.select("mn").scalar(), agg.select("mx").scalar()
-
-
 def bounds_struct(stats_source: DataFrame, columns: list[str]) -> Column:
     """ONE scalar subquery returning a struct of ``<c>_min`` / ``<c>_max``
     for every column of ``stats_source``."""
@@ -62,15 +56,3 @@ def minmax_zero(x: Column, mn: Column, mx: Column) -> Column:
     """Scaler semantics: a constant column maps to 0.0, NULL stays NULL."""
     return F.when(x.isNull(), F.lit(None).cast("double")).when(mx == mn, F.lit(0.0)).otherwise(
         (x - mn) / (mx - mn))
-
-
-def normalize_columns(df: DataFrame, columns: list[str], kind: str,
-                      stats_source: DataFrame | None = None, suffix: str = "_norm") -> DataFrame:
-    """Add ``<c><suffix>`` for each column; statistics come from
-    ``stats_source`` (default ``df`` itself) through one scalar subquery."""
-    fn = {"plain": minmax_plain, "half": minmax_half, "zero": minmax_zero}[kind]
-    src = (df if stats_source is None else stats_source).select(*columns)
-    out = attach_bounds(df, "_bounds", src, columns)
-    b = F.col("_bounds")
-    return out.withColumns({f"{c}{suffix}": fn(_c(c), b[f"{c}_min"], b[f"{c}_max"])
-                            for c in columns}).drop("_bounds")

@@ -1,5 +1,5 @@
-"""Portfolio tools: returns, inverse-variance weights, portfolio statistics
-and price scenarios (S3, W7, W8, A12, A13, R1-R3).
+"""Portfolio tools: returns, inverse-variance weights and portfolio statistics
+(S3, W7, W8, A12, A13, R1, R2).
 
 Prices are a long table ``(date, ticker, price)``; a missing observation is
 a NULL price on a (date, ticker) row of the full grid, which is what a wide
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,126 +98,3 @@ def cumulative_return(daily: DataFrame) -> DataFrame:
     length of the history, not the volume of any table."""
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return daily.withColumn("cum_return", F.sum("port_ret").over(w))
-
-
-# ---------------------------------------------------------------------------
-# R3 price scenarios
-# ---------------------------------------------------------------------------
-
-TWO_POW_52 = float(2 ** 52)
-COMPANY_KEYS = ["ticker", "spot", "vol_pct", "exp_return_pct"]
-
-
-def hashed_uniform(*parts: Column, offset: int = 1) -> Column:
-    """A uniform in (0, 1) from 52 bits of md5 of the parts: independent of
-    partitioning and reproducible anywhere md5 is available."""
-    h = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    bits = F.conv(F.substring(h, offset, 13), 16, 10).cast("double")
-    return (bits + F.lit(0.5)) / F.lit(TWO_POW_52)
-
-
-def hashed_normal(*parts: Column) -> Column:
-    """Standard normal by Box-Muller from two hashed uniforms."""
-    u1 = hashed_uniform(*parts, offset=1)
-    u2 = hashed_uniform(*parts, offset=14)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
-
-
-def _generation_partitions(spark: SparkSession) -> int:
-    """Tasks for generated rows: the session's shuffle partitions, capped at
-    four waves of the cluster's cores (more only adds scheduling)."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
-
-
-def _gbm_steps(inputs: DataFrame, days: int, n_paths: int, seed: int,
-               partitions: int | None) -> DataFrame:
-    """One row per (company, path, step) with its log-price change.
-
-    The company's whole input row is the partition key (the extra columns
-    depend on the ticker alone).  An explicit count on this key is never
-    dropped as redundant nor coalesced by AQE, so the generated rows are
-    spread over ``n`` tasks even when the company table is tiny."""
-    dt = 1.0 / TRADING_DAYS
-    keys = COMPANY_KEYS
-    n = partitions or _generation_partitions(inputs.sparkSession)
-    base = inputs.select(*keys).repartition(n, *keys)
-    mu = F.col("exp_return_pct") / 100.0
-    sigma = F.col("vol_pct") / 100.0
-    steps = (base.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
-             .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(days)))))
-    z = hashed_normal(F.lit(seed), F.col("ticker"), F.col("path"), F.col("step"))
-    shock = F.when(F.col("step") == 0, F.lit(0.0)).otherwise(
-        (mu - F.lit(0.5) * sigma * sigma) * F.lit(dt) + sigma * F.lit(math.sqrt(dt)) * z)
-    return steps.withColumn("_shock", shock)
-
-
-def gbm_terminal_quantiles(inputs: DataFrame, days: int = TRADING_DAYS, n_paths: int = 200,
-                           seed: int = 7, partitions: int | None = None) -> DataFrame:
-    """R3, terminal form: 5/50/95 % quantiles of the price after ``days``.
-    Only the sum of each path's changes matters, so a clustered aggregate
-    replaces the running-sum window (no sort of the generated rows)."""
-    steps = _gbm_steps(inputs, days, n_paths, seed, partitions)
-    terminal = (steps.groupBy(*COMPANY_KEYS, "path").agg(F.sum("_shock").alias("_log"))
-                .withColumn("price", F.col("spot") * F.exp(F.col("_log"))))
-    q = _order_stat_quantiles(terminal, COMPANY_KEYS, "price", n_paths,
-                              SCENARIO_QUANTILES, ["p05", "p50", "p95"])
-    return q.select("ticker", "p05", "p50", "p95")
-
-
-def gbm_paths(inputs: DataFrame, days: int = TRADING_DAYS, n_paths: int = 200, seed: int = 7,
-              partitions: int | None = None) -> DataFrame:
-    """Geometric Brownian motion paths for every company.
-
-    ``inputs`` has ``ticker, spot, vol_pct, exp_return_pct``.  Each step's
-    log change is N((mu - sigma^2/2) dt, sigma sqrt(dt)) with dt = 1/252.
-    Rows are generated next to their company after one hash repartition of
-    the (small) company input; the running-sum window and the later
-    per-(company, step) aggregate are clustered by the same key, so neither
-    adds a shuffle of the generated rows."""
-    keys = COMPANY_KEYS
-    steps = _gbm_steps(inputs, days, n_paths, seed, partitions)
-    w = Window.partitionBy(*keys, "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return (steps.withColumn("price", F.col("spot") * F.exp(F.sum("_shock").over(w)))
-            .select(*keys, "path", "step", "price"))
-
-
-# Reported scenario quantiles.
-SCENARIO_QUANTILES = [0.05, 0.5, 0.95]
-
-
-def _order_stat_quantiles(values: DataFrame, keys: list[str], value: str, n: int,
-                          quantiles: list[float], names: list[str]) -> DataFrame:
-    """Exact linear-interpolation quantiles when every group holds exactly
-    ``n`` values: rank inside the group, then pick the two order statistics
-    around position ``q (n - 1)`` with plain conditional aggregates.  Same
-    arithmetic as Spark's ``percentile``; no object-typed aggregation
-    buffers, so it stays a fast hash aggregate at any number of groups."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = values.withColumn("_rn", F.row_number().over(w))
-    aggs, outs = [], []
-    for q, name in zip(quantiles, names):
-        pos = (n - 1) * q
-        lo, hi = math.floor(pos), math.ceil(pos)
-        aggs += [F.max(F.when(F.col("_rn") == lo + 1, F.col(value))).alias(f"_{name}_lo"),
-                 F.max(F.when(F.col("_rn") == hi + 1, F.col(value))).alias(f"_{name}_hi")]
-        vlo, vhi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        outs.append((vlo if lo == hi else
-                     F.when(vlo == vhi, vlo).otherwise(F.lit(hi - pos) * vlo + F.lit(pos - lo) * vhi))
-                    .alias(name))
-    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
-
-
-def gbm_quantiles(inputs: DataFrame, days: int = TRADING_DAYS, n_paths: int = 200, seed: int = 7,
-                  terminal_only: bool = False, partitions: int | None = None) -> DataFrame:
-    """Per company and step, the 5/50/95 % price quantiles across paths.
-    Each (ticker, step) group holds exactly ``n_paths`` prices; the ranking
-    window and the aggregate are clustered by ticker like the paths, so the
-    generated rows are never shuffled."""
-    if terminal_only:
-        t = gbm_terminal_quantiles(inputs, days, n_paths, seed, partitions)
-        return t.select("ticker", F.lit(days).alias("step"), "p05", "p50", "p95")
-    paths = gbm_paths(inputs, days, n_paths, seed, partitions)
-    q = _order_stat_quantiles(paths, [*COMPANY_KEYS, "step"], "price", n_paths,
-                              SCENARIO_QUANTILES, ["p05", "p50", "p95"])
-    return q.select("ticker", "step", "p05", "p50", "p95")

@@ -4,7 +4,7 @@ The reference asks a language model to write SQL from a request and runs
 whatever comes back.  Here (Q1) a fixed rule table maps request phrases to
 filters and orderings that are composed into one DataFrame plan, and (Q2)
 caller-written SQL runs against a registered view with bound parameters,
-accepted only as a single SELECT/WITH statement.  Both end in a top-k.
+accepted only if it parses to a single query.  Both end in a top-k.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ class ScreenRule:
     columns: tuple[str, ...]
     direction: str = "desc"        # order rules: "asc" / "desc"
     value: str | None = None       # filter rules: required value
+    exact: tuple[str, ...] = ()    # phrases matched with their case ("US" is no pronoun)
 
 
 # The screening rules, in priority order.
@@ -31,23 +32,27 @@ SCREEN_RULES = [
     ScreenRule(("high growth",), "order", ("growth_score",), "desc"),
     ScreenRule(("high quality",), "order", ("quality_score",), "desc"),
     ScreenRule(("low risk",), "order", ("risk_score", "volatility_52w", "beta", "debt_to_equity"), "asc"),
-    ScreenRule(("united states", "us"), "filter", ("country",), value="United States"),
+    ScreenRule(("united states",), "filter", ("country",), value="United States", exact=("US", "USA", "U.S.")),
 ]
 
 
 def _matches(request: str, phrase: str) -> bool:
-    return re.search(rf"(?<![a-z]){re.escape(phrase)}(?![a-z])", request.lower()) is not None
+    return re.search(rf"(?<![A-Za-z]){re.escape(phrase)}(?![A-Za-z])", request) is not None
 
 
 def rules_for(request: str, rules=SCREEN_RULES) -> list[ScreenRule]:
-    return [r for r in rules if any(_matches(request, p) for p in r.phrases)]
+    return [r for r in rules if any(_matches(request.lower(), p) for p in r.phrases)
+            or any(_matches(request, p) for p in r.exact)]
 
 
 def screen_rules(companies: DataFrame, request: str, max_rows: int = 10,
                  key: str = "ticker", rules=SCREEN_RULES) -> DataFrame:
     """Q1 + K5: filters and orderings from the matched rules, key as final
-    tie-break, capped at ``max_rows`` (a top-k: each task keeps ``max_rows``)."""
+    tie-break, capped at ``max_rows`` (a top-k: each task keeps ``max_rows``).
+    A request that no rule matches raises ``ValueError``."""
     matched = rules_for(request, rules)
+    if not matched:
+        raise ValueError(f"no screening rule matches {request!r}")
     df = companies
     order: list[Column] = []
     for r in matched:
@@ -62,15 +67,41 @@ def screen_rules(companies: DataFrame, request: str, max_rows: int = 10,
     return df.orderBy(*order).limit(max_rows)
 
 
-_SINGLE_SELECT = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
+_STARTS = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
+# Parsed nodes of queries.  Anything else (commands, writes, DDL) is refused.
+QUERY_NODES = frozenset("""
+    Aggregate CTERelationDef Distinct Except Expand Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit
+    LocalRelation Offset OneRowRelation Pivot Project RelationTimeTravel Sort SubqueryAlias Tail Union Unpivot
+    UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases
+    UnresolvedTVFAliases UnresolvedTableValuedFunction UnresolvedWith Window WithWindowDefinition""".split())
 
 
-def validate_select(sql: str) -> str:
-    """Accept one SELECT/WITH statement (a trailing ';' is dropped)."""
+def _nodes(plan):
+    """Names of a parsed plan's nodes, common table expressions included."""
+    yield plan.getClass().getSimpleName()
+    for children in (plan.children(), plan.innerChildren()):
+        for i in range(children.size()):
+            child = children.apply(i)
+            if hasattr(child, "innerChildren"):
+                yield from _nodes(child)
+
+
+def validate_select(sql: str, spark: SparkSession | None = None) -> str:
+    """Accept one query (a trailing ';' is dropped).  The statement is parsed, not
+    run, and every node of the parsed plan must belong to a query, so writes
+    behind a WITH or a FROM are refused."""
+    spark = spark or SparkSession.active()
     body = sql.strip().rstrip(";").strip()
-    stripped = re.sub(r"'(?:[^']|'')*'", "''", body)   # ignore ';' inside literals
-    if not _SINGLE_SELECT.match(body) or ";" in stripped:
-        raise ValueError("screen SQL must be a single SELECT or WITH statement")
+    message = "screen SQL must be a single SELECT or WITH query"
+    if not _STARTS.match(body):
+        raise ValueError(message)
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
+    except Exception as e:      # the parser's own error says where
+        raise ValueError(f"{message}: {e}") from None
+    odd = sorted(set(_nodes(plan)) - QUERY_NODES)
+    if odd:
+        raise ValueError(f"{message}: {', '.join(odd)}")
     return body
 
 
@@ -78,8 +109,9 @@ def screen_sql(spark: SparkSession, companies: DataFrame, sql: str, view: str =
                args: dict | None = None, max_rows: int = 10) -> DataFrame:
     """Q2 + K5: run caller SQL on ``companies`` registered as ``view``;
     values go in through named parameters (``:name``)."""
+    body = validate_select(sql, spark)
     companies.createOrReplaceTempView(view)
-    return spark.sql(validate_select(sql), args=args or {}).limit(max_rows)
+    return spark.sql(body, args=args or {}).limit(max_rows)
 
 
 def value_risk_points(screen: DataFrame, key: str = "ticker") -> DataFrame:

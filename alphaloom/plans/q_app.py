@@ -11,7 +11,7 @@ from ..operators import portfolio as pt
 from ..operators import screen as sc
 from ..operators.flags import parse_flags_text, prettify_flags
 from ..sources import fixtures as fx
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import fresh_path
 from . import oracle
 from . import stages as st
 from .registry import register
@@ -69,8 +69,7 @@ def q_beta_band(spark, base):
                    FROM (VALUES ('t1'), ('T2'), ('t999999')) r(request)
                    LEFT JOIN anomalies a ON a.ticker = upper(r.request))""", ctes=("anomalies",))
 def q_company_lookup(spark, base):
-    requests = F.broadcast(fx.requested_tickers(spark))   # literal list: size known
-    return cx.company_lookup(st.anomalies(spark, base), requests)
+    return cx.company_lookup(st.flagged(spark, base), fx.requested_tickers(spark), few_requests=True)   # a literal list
 
 
 _CTX_COLS = ("ticker, company_name, sector, industry, country, exchange, currency, market_cap:d, "
@@ -214,6 +213,36 @@ def q_scenario_prompt(spark, base):
     return ctx.select("ticker", cx.scenario_prompt(ctx).alias("prompt"))
 
 
+_APP_SQL = f"""FROM (SELECT ticker, concat_ws(chr(10),
+  concat('Assess ', coalesce(ticker, 'N/A'), ' (', coalesce(company_name, 'N/A'), ', ', coalesce(sector, 'N/A'), ', ',
+         coalesce(country, 'N/A'), ') for this question: Is this stock attractive for a long-term investor?'),
+  concat('Scores: value ', {oracle.fmt('value_score')}, ', growth ', {oracle.fmt('growth_score')}, ', quality ',
+         {oracle.fmt('quality_score')}, ', risk ', {oracle.fmt('risk_score')}, ', alpha ', {oracle.fmt('overall_alpha_score')},
+         '; rated ', coalesce(conviction_rating, 'N/A'), '.'),
+  concat('Risk: beta ', {oracle.fmt('beta')}, ' (',
+         CASE WHEN beta < 0.8 THEN 'low' WHEN beta <= 1.2 THEN 'market-like' WHEN beta > 1.2 THEN 'high' ELSE 'unknown' END,
+         ' sensitivity), volatility 30d ', {oracle.fmt('volatility_30d')}, ', 90d ', {oracle.fmt('volatility_90d')}, ', 52w ',
+         {oracle.fmt('volatility_52w')}, '; D/E ', {oracle.fmt('debt_to_equity')}, ', current ratio ', {oracle.fmt('current_ratio')},
+         ', cash to debt ', {oracle.fmt('cash_to_debt')}, ', FCF yield ', {oracle.fmt('fcf_yield')}, ', FCF margin ',
+         {oracle.fmt('free_cash_flow_margin')}, '.'),
+  concat('Credit: spread ', {oracle.fmt('spread_bps')}, ' bps, three-month change ', {oracle.fmt('spread_3m_change')}, ' (',
+         CASE WHEN spread_3m_change < 0 THEN 'improving' WHEN spread_3m_change > 0 THEN 'worsening'
+              WHEN spread_3m_change = 0 THEN 'unchanged' ELSE 'unknown' END, '), bucket ', coalesce(credit_risk_bucket, 'N/A'), '.'),
+  concat('Red flags: score ', {oracle.fmt('red_flag_score')}, ', severity ', coalesce(red_flag_severity, 'N/A'), ', ',
+         coalesce(CAST(red_flag_count AS VARCHAR), '0'), ' found: ',
+         CASE WHEN red_flags_text = '' THEN 'None detected' ELSE replace(red_flags_text, '|', ', ') END, '.'),
+  'Use only these facts, name what is missing and give no numeric forecast.',
+  'Answer with a summary, strengths, risks, the effect of wider credit spreads, and a verdict that fits the rating.') AS prompt
+  FROM context)"""
+
+
+@register("app_memo_prompt", "ticker, prompt", _APP_SQL, ctes=("context",))
+def q_app_memo_prompt(spark, base):
+    """M1, app form: macro trend, beta band and volatility in the prompt."""
+    ctx = _context(spark, base)
+    return ctx.select("ticker", cx.app_memo_prompt(ctx, "Is this stock attractive for a long-term investor?").alias("prompt"))
+
+
 @register("memo_prompt", "ticker, prompt", "FROM memo_prompts", ctes=("memo_prompts",))
 def q_memo_prompt(spark, base):
     a = st.anomalies(spark, base)
@@ -292,20 +321,18 @@ def q_value_risk(spark, base):
     return sc.value_risk_points(sc.screen_rules(st.anomalies(spark, base), SCREEN_REQUEST, max_rows=10))
 
 
-# --- S3, W7, A12, R1, R2, A13, W8, R3 ----------------------------------------
+# --- S3, W7, A12, R1, R2, A13, W8 ----------------------------------------
 
 def _prices(spark, base):
-    wide = fx.prices_wide(spark, base)
-    return pt.wide_to_long(wide, "date")
+    return fx.prices_grid(spark, base)
 
 
 @register("prices_csv_long", "date, ticker, price:d", "FROM prices_grid", ctes=("prices_grid",))
 def q_prices_csv_long(spark, base):
     """S3: the wide price matrix written as CSV to the shared scratch folder
     and read back into the long form."""
-    ensure_checkpoint_dir(spark)
-    path = scratch_path(spark, "prices_wide_csv")
-    fx.prices_wide(spark, base).orderBy("date").write.mode("overwrite").option("header", True).csv(path)
+    path = fresh_path(spark, "prices_wide_csv")
+    fx.prices_wide(spark, base).orderBy("date").write.option("header", True).csv(path)
     return pt.prices_csv_long(spark, path)
 
 
@@ -348,55 +375,3 @@ def q_portfolio_stats(spark, base):
           ctes=("port_daily",))
 def q_cumulative(spark, base):
     return pt.cumulative_return(_daily(spark, base))
-
-
-# Scenario size used by the app (steps, paths) and the seed.
-APP_DAYS, APP_PATHS, SEED = 126, 50, 7
-
-
-def _gbm_sql(days: int, paths: int, seed: int) -> str:
-    u = ("(CAST(('0x' || substr(md5(concat_ws('|', '{seed}', ticker, CAST(path AS VARCHAR), "
-         "CAST(step AS VARCHAR))), {o}, 13)) AS BIGINT) + 0.5) / 4503599627370496.0")
-    u1, u2 = u.format(seed=seed, o=1), u.format(seed=seed, o=14)
-    z = f"sqrt(-2.0 * ln({u1})) * cos(6.283185307179586 * {u2})"
-    shock = (f"CASE WHEN step = 0 THEN 0.0 ELSE (exp_return_pct / 100.0 - 0.5 * (vol_pct / 100.0) * "
-             f"(vol_pct / 100.0)) * (1.0 / 252.0) + (vol_pct / 100.0) * sqrt(1.0 / 252.0) * {z} END")
-    return f"""
-SELECT ticker, step, q[1] AS p05, q[2] AS p50, q[3] AS p95 FROM (
-  SELECT ticker, step, quantile_cont(price, [0.05, 0.5, 0.95]) AS q FROM (
-    SELECT ticker, path, step, spot * exp(SUM(shock) OVER (PARTITION BY ticker, path ORDER BY step
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS price
-    FROM (SELECT ticker, path, step, spot, {shock} AS shock
-          FROM scenario_inputs, range(0, {paths}) p(path), range(0, {days + 1}) s(step)))
-  GROUP BY ticker, step)"""
-
-
-@register("gbm_quantiles", "ticker, step, p05:d, p50:d, p95:d",
-          f"FROM ({_gbm_sql(APP_DAYS, APP_PATHS, SEED)})", ctes=("scenario_inputs",))
-def q_gbm_quantiles(spark, base):
-    """R3 with the app's scenario size over every company."""
-    return pt.gbm_quantiles(cx.scenario_inputs(_context(spark, base)), APP_DAYS, APP_PATHS, SEED)
-
-
-def _gbm_terminal_sql(days: int, paths: int, seed: int) -> str:
-    u = ("(CAST(('0x' || substr(md5(concat_ws('|', '{seed}', ticker, CAST(path AS VARCHAR), "
-         "CAST(step AS VARCHAR))), {o}, 13)) AS BIGINT) + 0.5) / 4503599627370496.0")
-    u1, u2 = u.format(seed=seed, o=1), u.format(seed=seed, o=14)
-    z = f"sqrt(-2.0 * ln({u1})) * cos(6.283185307179586 * {u2})"
-    shock = (f"CASE WHEN step = 0 THEN 0.0 ELSE (exp_return_pct / 100.0 - 0.5 * (vol_pct / 100.0) * "
-             f"(vol_pct / 100.0)) * (1.0 / 252.0) + (vol_pct / 100.0) * sqrt(1.0 / 252.0) * {z} END")
-    return f"""
-SELECT ticker, q[1] AS p05, q[2] AS p50, q[3] AS p95 FROM (
-  SELECT ticker, quantile_cont(price, [0.05, 0.5, 0.95]) AS q FROM (
-    SELECT ticker, path, any_value(spot) * exp(SUM(shock)) AS price
-    FROM (SELECT ticker, path, spot, {shock} AS shock
-          FROM scenario_inputs, range(0, {paths}) p(path), range(0, {days + 1}) s(step))
-    GROUP BY ticker, path)
-  GROUP BY ticker)"""
-
-
-@register("gbm_terminal_quantiles", "ticker, p05:d, p50:d, p95:d",
-          f"FROM ({_gbm_terminal_sql(APP_DAYS, APP_PATHS, SEED)})", ctes=("scenario_inputs",))
-def q_gbm_terminal(spark, base):
-    """R3 terminal form: price quantiles at the horizon for every company."""
-    return pt.gbm_terminal_quantiles(cx.scenario_inputs(_context(spark, base)), APP_DAYS, APP_PATHS, SEED)
