@@ -4,8 +4,8 @@ import sys as _sys
 
 __version__ = "0.1.0"
 
-# Python functions this package hands to Spark (the memo batch's mapInPandas
-# body, the exact entity decoder) are shipped to the workers by value, so
+# Python functions this package hands to Spark (such as the memo batch's mapInPandas
+# body) are shipped to the workers by value, so
 # executors need no copy of the package on their path.
 try:  # pragma: no cover - depends on the installed PySpark
     from pyspark import cloudpickle as _cloudpickle

@@ -203,7 +203,7 @@ FROM (
   SELECT City, DateOnly, CAST(spend AS DOUBLE) AS Daily_Spend,
          CAST(SUM(spend) OVER w7 AS DOUBLE) / COUNT(spend) OVER w7 AS Spend_7d,
          CAST(SUM(spend) OVER w30 AS DOUBLE) / COUNT(spend) OVER w30 AS Spend_30d
-  FROM (SELECT City, DateOnly, SUM(CAST(Total_Cost AS DECIMAL(18, 2))) AS spend
+  FROM (SELECT City, DateOnly, fsum(Total_Cost) AS spend
         FROM rx GROUP BY City, DateOnly)
   WINDOW w7 AS (PARTITION BY City ORDER BY DateOnly ROWS BETWEEN 7 PRECEDING AND CURRENT ROW),
          w30 AS (PARTITION BY City ORDER BY DateOnly ROWS BETWEEN 30 PRECEDING AND CURRENT ROW))""")
@@ -225,7 +225,7 @@ FROM rx GROUP BY Product, Promotion""")
 
 cte("promo_lift", ("promo",), """
 SELECT p.Product, p.Promotion, p.Avg_Items, b.Avg_Items AS Baseline_Avg_Items,
-       (p.Avg_Items - b.Avg_Items) / NULLIF(b.Avg_Items, 0) AS Promo_Lift
+       p.Avg_Items / NULLIF(b.Avg_Items, 0) - 1.0 AS Promo_Lift
 FROM promo p LEFT JOIN (SELECT * FROM promo WHERE Promotion = 'None') b ON p.Product = b.Product""")
 
 cte("promo_lift_prod", ("promo_lift",), """
@@ -240,7 +240,7 @@ FROM (SELECT Product, Season, CAST(SUM(Total_Items) AS BIGINT) AS Season_Items
 
 cte("city", ("rx",), """
 SELECT City, CAST(SUM(Total_Items) AS BIGINT) AS City_Items,
-       CAST(SUM(CAST(Total_Cost AS DECIMAL(18, 2))) AS DOUBLE) / COUNT(Total_Cost) AS Avg_Spend,
+       fsum(Total_Cost) / COUNT(Total_Cost) AS Avg_Spend,
        CAST(SUM(CAST(Discount_Applied AS INT)) AS DOUBLE) / COUNT(Discount_Applied) AS Discount_Rate,
        COUNT(*) AS Transaction_Count
 FROM rx GROUP BY City""")
@@ -312,6 +312,7 @@ cte("gold_fixed_scored", ("gold_fixed",), _scored("gold_fixed"))
 
 _WS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\p{Z}"
 _W = r"[\p{L}\p{N}_]"
+# Word lists and lexicon of the reference semantics, as SQL.
 _FEAR = ("['crash','fear','panic','worried','scared','scary','dump','tank','plunge','collapse',"
          "'bleeding','nervous']")
 _KEYWORDS = ("['delivery','deliveries','estimate','estimates','earnings','guidance','margin','margins',"
@@ -328,7 +329,8 @@ SELECT doc_id,
               WHEN 0 THEN ' $TSLA Crash and PANIC selling'
               WHEN 1 THEN ' @desk Earnings beat, margins up &amp; revenue up! http://t.example/x'
               WHEN 2 THEN ' great profit   www.x.example love it'
-              WHEN 3 THEN ' scared of debt, price target cut' ELSE '' END) END AS Tweet,
+              WHEN 3 THEN ' scared of debt, price target cut'
+              ELSE ' the caf&eacute; isn&#8217;t cheap: &#x20AC;5 &amp;lt;b&amp;gt; &eacutet&eacute; &unknown;' END) END AS Tweet,
        source AS "Stock Name", concat('Company ', source) AS "Company Name"
 FROM documents""")
 
@@ -336,7 +338,8 @@ FROM documents""")
 def _clean_sql(col: str) -> str:
     t = col
     for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"),
-                 ("&#x27;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
+                 ("&#x27;", "''"), ("&nbsp;", " "), ("&eacute;", "é"), ("&eacute", "é"),
+                 ("&#8217;", "\u2019"), ("&#x20AC;", "€"), ("&amp;", "&")]:
         t = f"replace({t}, '{a}', '{b}')"
     for a, b in [("â€œ", '"'), ("â€\u009d", '"'), ("â€™", "''")]:
         t = f"replace({t}, '{a}', '{b}')"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import fresh_path
 from ..sources import sinks
 from ..sources.tables import TABLES, scan_format, scan_table, table_path, table_preview, table_stats
 from . import stages as st
@@ -25,13 +27,22 @@ def q_table_stats(spark, base):
     return table_stats({t: scan_table(spark, base, t) for t in TABLES})
 
 
-@register("scan_format", "o_orderkey, o_orderdate, o_totalprice:d",
-          "FROM orders WHERE o_orderpriority = '1-URGENT'")
+_ORDER_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice:d, o_orderdate, o_orderpriority"
+
+
+@register("scan_format", _ORDER_COLS, "FROM orders")
 def q_scan_format(spark, base):
-    """Format-qualified read; the filter and the 3-column projection
-    reach the parquet scan (PushedFilters / ReadSchema)."""
-    o = scan_format(spark, table_path(base, "orders"), "parquet")
-    return o.where(F.col("o_orderpriority") == "1-URGENT")
+    """Format-qualified read of a catalog table (registered over the given
+    files, nothing is copied)."""
+    name = f"orders_{uuid.uuid4().hex}"
+    spark.catalog.createTable(name, path=table_path(base, "orders"), source="parquet")
+    return scan_format(spark, fmt="parquet", table=name)
+
+
+@register("scan_format_path", _ORDER_COLS, "FROM orders")
+def q_scan_format_path(spark, base):
+    """Format-qualified read of a path."""
+    return scan_format(spark, table_path(base, "orders"), "parquet")
 
 
 @register("table_preview", "o_orderkey, o_custkey, o_orderstatus, o_totalprice:d",
@@ -44,20 +55,34 @@ def q_table_preview(spark, base):
 @register("save_table", "ticker, red_flag_count, red_flag_severity, overall_alpha_score:d",
           "FROM anomalies", ctes=("anomalies",))
 def q_save_table(spark, base):
-    """Write the flagged company table and read it back."""
-    ensure_checkpoint_dir(spark)
-    path = scratch_path(spark, "companies_flagged")
-    sinks.save_table(st.anomalies(spark, base), path)
-    return spark.read.parquet(path)
+    """Write the flagged company table into the catalog and read it back by name."""
+    name = f"companies_flagged_{uuid.uuid4().hex}"
+    sinks.save_table(st.anomalies(spark, base), fresh_path(spark, name), table=name)
+    return spark.table(name)
+
 
+def _round_trip(spark, df, name):
+    path = fresh_path(spark, name)
+    sinks.export_csv(df, path)
+    return sinks.read_csv(spark, path, sinks.arrays_to_text(df).schema)
 
-@register("export_csv", "ticker, red_flags, red_flag_count",
-          "FROM (SELECT ticker, array_to_string(red_flags, ', ') AS red_flags, red_flag_count FROM anomalies)",
-          ctes=("anomalies",))
+
+_EXPORT_COLS = ("ticker, company_name, sector, industry, country, market_cap:d, current_price:d, pe_ratio:d, value_score:d, "
+                "growth_score:d, quality_score:d, risk_score:d, overall_alpha_score:d, conviction, beta:d, red_flags, "
+                "red_flag_count, red_flag_severity")
+
+
+@register("export_csv", _EXPORT_COLS,
+          """FROM (SELECT * REPLACE (CASE WHEN len(red_flags) = 0 THEN '' ELSE array_to_string(red_flags, ', ') END AS red_flags)
+                   FROM anomalies)""", ctes=("anomalies",))
 def q_export_csv(spark, base):
-    """Export with arrays as text and read the CSV back."""
-    ensure_checkpoint_dir(spark)
-    path = scratch_path(spark, "anomalies_csv")
-    sinks.export_csv(st.anomalies(spark, base).select("ticker", "red_flags", "red_flag_count"), path)
-    return sinks.read_csv(spark, path, "ticker string, red_flags string, red_flag_count int") \
-        .withColumn("red_flags", F.coalesce("red_flags", F.lit("")))
+    """Export the whole flagged table with arrays as text and read the CSV back."""
+    return _round_trip(spark, st.anomalies(spark, base), "anomalies_csv")
+
+
+@register("export_csv_texts", "doc_id, text, lang, source, n_chars",
+          "FROM (SELECT * REPLACE (text || chr(10) || '\"q\", ' || source AS text) FROM documents)")
+def q_export_csv_texts(spark, base):
+    """S5 over whole texts with line breaks, quotes and commas."""
+    d = scan_table(spark, base, "documents")
+    return _round_trip(spark, d.withColumn("text", F.concat("text", F.lit('\n"q", '), "source")), "documents_csv")

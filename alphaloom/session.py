@@ -7,7 +7,9 @@ command-line entry points.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,14 +47,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a folder every executor can reach and is
-    left untouched.  Only when it is unset (tests, local runs) do we create a
-    fresh scratch folder and register it.
+    left untouched.  Only in a local session where it is unset (tests) do we
+    create a fresh scratch folder, removed when the process ends; on a cluster an unset
+    folder is an error, since executors could not see a local one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        # Local runs only: a cluster always names a shared folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="alphaloom-ckpt-", dir="/tmp")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
@@ -64,7 +69,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path for one write: no later call writes it again, so frames that
+    read it stay valid."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session's folder (frames that read
+    them are invalid afterwards).  Long-lived sessions call it between jobs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, ""))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back.
 
@@ -75,9 +93,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     choices.  Each call writes a fresh folder, so frames built earlier keep
     reading their own copy.
     """
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    path = fresh_path(df.sparkSession, name)
+    df.write.partitionBy(*partition_by or []).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:

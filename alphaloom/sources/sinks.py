@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Quotes are doubled inside quoted values, so quotes, commas and line breaks
+# survive; white space at the edges is kept and an empty text is not a NULL.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "nullValue": "",
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+
+EMPTY_MARK = "\x00empty"     # what the reader puts for a quoted empty text, which it would else take for a NULL
+
+
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                partition_by: list[str] | None = None, table: str | None = None) -> None:
     """Overwrite a table.  ``table`` registers it in the session catalog
@@ -43,8 +51,12 @@ def export_csv(df: DataFrame, path: str, sep: str = ", ", single_file: bool = Fa
     out = arrays_to_text(df, sep)
     if single_file:
         out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").options(**CSV_OPTIONS, emptyValue='""').csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+    """Read what ``export_csv`` wrote.  ``multiLine`` keeps a file in one task,
+    so exports should be written in files of moderate size."""
+    df = spark.read.options(**CSV_OPTIONS, emptyValue=EMPTY_MARK, multiLine=True).schema(schema).csv(path)
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.when(F.col(f"`{c}`") == EMPTY_MARK, F.lit("")).otherwise(F.col(f"`{c}`")) for c in texts})

@@ -30,16 +30,13 @@ def scan_table(spark: SparkSession, base: str | None, name: str) -> DataFrame:
     return spark.read.parquet(table_path(base, name))
 
 
-def scan_format(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+def scan_format(spark: SparkSession, path: str | None = None, fmt: str = "parquet", table: str | None = None,
+                **options) -> DataFrame:
     """Format-qualified read (``parquet``, ``orc``, ``json``, ``csv`` or an
-    installed table format such as ``delta``)."""
-    return spark.read.format(fmt).options(**options).load(path)
-
-
-def register_views(spark: SparkSession, base: str, names=TABLES) -> None:
-    """Expose the given tables as temp views so SQL can name them."""
-    for n in names:
-        spark.read.parquet(table_path(base, n)).createOrReplaceTempView(n)
+    installed table format such as ``delta``) of a path, or of a catalog table
+    by name."""
+    reader = spark.read.format(fmt).options(**options)
+    return reader.table(table) if table else reader.load(path)
 
 
 def table_stats(frames: dict[str, DataFrame]) -> DataFrame:

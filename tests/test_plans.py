@@ -4,7 +4,9 @@ path, no single-partition windows over unaggregated data, one scan."""
 from alphaloom.plans import stages as st
 from alphaloom.operators import fundamentals as fu
 from alphaloom.operators import text as te
+from alphaloom.plans.catalog import all_queries
 from alphaloom.sources import fixtures as fx
+from alphaloom.sources.tables import scan_format, table_path
 
 import __spark_entry__ as E
 
@@ -16,11 +18,11 @@ def plan(df) -> str:
 
 
 def test_scan_pushdown_and_pruning(spark):
-    p = plan(E.queries()["scan_format"](spark, SF_SMALL))
+    o = scan_format(spark, table_path(SF_SMALL, "orders"), "parquet")
+    p = plan(o.where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice"))
     assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,1-URGENT)]" in p
     schema = p.split("ReadSchema: struct<", 1)[1].split(">", 1)[0]
-    assert {f.split(":")[0] for f in schema.split(",")} == \
-        {"o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority"}
+    assert {f.split(":")[0] for f in schema.split(",")} == {"o_orderkey", "o_totalprice", "o_orderpriority"}
 
 
 def test_core_filter_reaches_scan(spark):
@@ -40,17 +42,30 @@ def test_top_per_sector_uses_group_limit(spark):
         "WindowGroupLimit" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_text_features_stay_in_jvm(spark):
-    feat = te.tweet_features(fx.tweets(spark, SF_SMALL), fx.lexicon(spark), lexicon_rows=len(fx.LEXICON))
+def test_text_features_stay_in_jvm_and_are_not_written(spark):
+    feat = te.tweet_features(fx.tweets(spark, SF_SMALL), dict(fx.LEXICON))
     p = plan(te.tweet_alpha(feat))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+    assert "documents.parquet" in p                     # lazily from the posts, no written copy
 
 
-def test_bucketed_percentiles_have_no_single_partition_window(spark):
-    p = plan(fu.sector_percentiles(st.cleaned(spark, SF_SMALL), method="bucketed"))
-    assert "SinglePartition" not in p
-    assert "Window [percent_rank" not in p
-    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+def test_price_chain_builds_without_a_job(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("prices-build", "")
+    try:
+        for name in ("daily_returns", "return_variance", "inverse_variance_weights", "portfolio_stats", "cumulative_return"):
+            all_queries()[name].build(spark, SF_SMALL)
+        schema_jobs = len(sc.statusTracker().getJobIdsForGroup("prices-build"))
+    finally:
+        sc.setJobGroup("", "")
+    sc.setJobGroup("prices-schemas", "")
+    try:
+        for _ in range(5):
+            for t in ("lineitem", "part"):
+                spark.read.parquet(table_path(SF_SMALL, t))
+        assert schema_jobs <= len(sc.statusTracker().getJobIdsForGroup("prices-schemas"))     # only schemas are read
+    finally:
+        sc.setJobGroup("", "")
 
 
 def test_gold_reads_the_checkpoint_not_the_transactions(spark):
@@ -64,21 +79,12 @@ def test_context_has_no_cross_join(spark):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_auto_switches_to_bucketed_for_big_groups(spark):
-    from alphaloom.operators import ranking as rk
-    cleaned = st.cleaned(spark, SF_SMALL)
-    small = plan(rk.grouped_percent_rank(cleaned, "ticker", "sector", fu.ALL_RANKS, "auto"))
-    big = plan(rk.grouped_percent_rank(cleaned, "ticker", "sector", fu.ALL_RANKS, "auto",
-                                       max_group_rows=10))
-    assert "percent_rank" in small and "percent_rank" not in big
-
-
 def test_no_query_uses_cross_joins_or_python_rows(spark):
     """Across every registered query: no Cartesian product or nested-loop
     join, and Python only where the operator is a Python step by design."""
-    python_ok = {"memo_batch", "batch_outcome", "clean_tweet_exact"}
-    for name, q in E.queries().items():
-        p = plan(q(spark, SF_SMALL))
+    python_ok = {"memo_batch", "batch_outcome"}
+    for name, q in all_queries().items():
+        p = plan(q.spark(spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
         if name not in python_ok:
             assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p, name
