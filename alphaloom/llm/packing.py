@@ -32,6 +32,7 @@ WINDOW = 2048
 END_ID = 1
 TOP_LENGTHS = 64            # lengths from which combinations of three are built
 NNLS_STEPS = 1500
+ROWS_AT_ONCE = 500          # documents whose pieces are cut at once
 
 
 def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
@@ -211,7 +212,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     joined = tokens.join(plan, ["part", "row"]).select("part", "doc_id", "n", "ids", "rest", "rank", "spill", "windows", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             out = []
             blobs = batch.column(3)
             columns = [batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6, 7, 8)]

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 from .common import worker_cache
 
-CACHE_PIECES = 1_200_000        # pieces kept per worker process (about 50 MB of Arrow and numpy arrays)
-CHUNK_BYTES = 24 << 20          # text whose pieces are numbered at once
+CACHE_PIECES = 800_000          # pieces kept per worker process (about 35 MB of Arrow and numpy arrays)
+CHUNK_BYTES = 16 << 20          # text whose pieces are numbered at once
 PIECES_AT_ONCE = 500_000        # pieces whose ids are laid out at once
 GROUP = 1000                    # pieces joined into one call of the library
 _WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
