@@ -82,7 +82,8 @@ def clear_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None,
+                compression: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back.
 
@@ -94,7 +95,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     reading their own copy.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by or []).parquet(path)
+    df.write.partitionBy(*partition_by or []).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
