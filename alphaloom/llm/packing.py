@@ -176,7 +176,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     and empty texts are the end id alone.  Rows that repeat an id are documents
     each.  Other columns are ignored; an empty table gives no rows."""
     kind = id_type(vocabulary)
-    tokens = materialize(token_table(docs, vocabulary, end_id, kind), "pack-tokens")
+    tokens = materialize(token_table(docs, vocabulary, end_id, kind), "pack-tokens", compression="zstd")
     rest = F.col("n") % F.lit(window)
     sizes = tokens.select("part", "row", "n", F.floor(F.col("n") / F.lit(window)).alias("whole"), rest.alias("rest"))
     by_part = materialize(sizes.where("rest > 0").groupBy("part", "rest").agg(F.count(F.lit(1)).alias("c")), "pack-hist")

@@ -180,7 +180,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     spark = docs.sparkSession
     kind = id_type(vocabulary)
     parts = shuffle_partitions(spark)
-    tokens = materialize(token_table(docs, vocabulary, end_id, range_bounds(docs, parts), kind), "token-ids")
+    tokens = materialize(token_table(docs, vocabulary, end_id, range_bounds(docs, parts), kind), "token-ids",
+                         compression="zstd")
     lengths = code_lengths(id_counts(tokens, kind))
     codes = canonical_codes(lengths)
     starts, run_total = {}, 0
