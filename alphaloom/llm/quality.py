@@ -196,9 +196,10 @@ def check_losses(rows: DataFrame, models: list[Discriminant]) -> list[float]:
 
 
 def train(feature_table: DataFrame, labels: DataFrame, learn: Column, target: str = "quality") -> Discriminant:
-    """Fit on all rows of ``labels`` where ``learn`` holds and the label is 0 or 1."""
+    """Fit on all rows of ``labels`` where ``learn`` holds and the label is 0 or 1
+    (repeated label rows count once)."""
     wanted = labels.where(learn & F.col(target).isin(0, 1)).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("int").alias("label"))
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("int").alias("label")).distinct()
     rows = feature_table.join(wanted, "doc_id")
     check = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).cast("int")
     rows = materialize(rows.select("label", check.alias("part"), "x"), "quality-train")

@@ -69,10 +69,10 @@ def pattern_votes(text: str, words: set[str]) -> list[int]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, label, half, text) of sampled training rows, and the number of
-    all training rows by label.  The sampled ids number about sum(SAMPLE) at
+    all training ids by label (repeated label rows count once).  The sampled ids number about sum(SAMPLE) at
     most, so the join broadcasts them."""
     rows = labels.where(~held_out(5, 0) & F.col("toxic").isin(0, 1)).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label")).distinct()
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0)
     for y, n in counts.items():
