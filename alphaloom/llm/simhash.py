@@ -61,15 +61,18 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int.from_bytes(packed.tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, digest: bool = False) -> DataFrame:
+    """(doc_id, fp): one row per document row; with ``digest`` also its text's SHA-256."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column(1).cast(pa.binary())
             fps = [fingerprint(x.as_py(), shingle) for x in data]
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]],
+                                  names=["doc_id", "fp", "digest"][:batch.num_columns])
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")]
+    if digest:
+        columns.append(F.sha2(text_of().cast("binary"), 256).alias("digest"))
+    return docs.select(*columns).mapInArrow(run, "doc_id bigint, fp bigint" + (", digest string" if digest else ""))
 
 
 def posting_keys(max_distance: int) -> list[tuple[int, ...]]:
@@ -175,6 +178,12 @@ def near_links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
     return dealt.mapInArrow(_link_lists(max_distance), "a bigint, b bigint")
 
 
+def rooted(distinct: DataFrame, max_distance: int) -> DataFrame:
+    """``distinct`` (one row per fingerprint ``fp``) with the root of its component."""
+    roots = components(near_links(distinct.select("fp"), max_distance))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """One row per document row: doc_id, fp, component_id (smallest doc_id
     reachable over links).  Null, empty and wordless texts have fingerprint
@@ -183,11 +192,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_distance: int = 3)
     unless a component has no other.  Other columns are ignored."""
     rows = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fp")
-    roots = components(near_links(distinct.select("fp"), max_distance))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    named = rooted(distinct, max_distance)
+    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = named.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -196,12 +203,13 @@ def hex_fingerprint(column: str = "fp"):
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
-    """The rows whose id is their component's smallest, with all columns: one
-    document of each group stays.  Of rows that share that id, the one whose
-    text has the least digest stays."""
-    found = simhash_components(docs, shingle, max_distance)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("__al_key")).distinct()
-    digest = F.sha2(text_of().cast("binary"), 256)
-    first = docs.select(id_key().alias("__al_key"), digest.alias("__al_digest")).join(kept, "__al_key", "left_semi")
-    first = first.groupBy("__al_key").agg(F.min("__al_digest").alias("__al_digest"))
-    return keep_rows(docs.withColumn("__al_digest", digest), first)
+    """One row of each component, with all columns: that of the smallest doc_id
+    (null ids last), and of rows that share it the one whose text has the least
+    digest.  Components are told apart by their fingerprints, not by ids, so
+    unrelated texts that repeat an id or have none all stay."""
+    rows = materialize(fingerprints(docs, shingle, digest=True), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fp")
+    first = rooted(distinct, max_distance).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    kept = first.select(id_key().alias("__al_key"), F.col("digest").alias("__al_digest"))
+    return keep_rows(docs.withColumn("__al_digest", F.sha2(text_of().cast("binary"), 256)), kept)

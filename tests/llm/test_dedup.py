@@ -111,6 +111,24 @@ def test_simhash_empty_table_and_one_of_each(spark):
     assert sorted((r.doc_id for r in kept), key=repr) == sorted(groups, key=repr)
 
 
+def test_one_of_each_keeps_every_component_of_null_and_repeated_ids(spark):
+    def prose(i):
+        return " ".join(random.Random(i).choices([f"w{n}" for n in range(5000)], k=40))
+    rows = [(None, prose(i)) for i in range(40)] + [(i % 5, prose(100 + i)) for i in range(40)]
+    rows += [(2, prose(200)), (9, prose(200).upper()), (None, prose(200)), (9, prose(201)), (None, prose(300)), (None, prose(300))]
+    rows = [(d, t, "en", "s", len(t)) for d, t in rows]
+    roots = py_components(py_simhash(t) for _, t, *_ in rows)
+    best = {}
+    for d, t, *_ in rows:
+        order = (d is None, d or 0, py_sha(t), t)
+        best[roots[py_simhash(t)]] = min(order, best.get(roots[py_simhash(t)], order))
+    want = sorted((None if none else d, t) for none, d, _, t in best.values() if not none) + \
+        sorted((None, t) for none, _, _, t in best.values() if none)
+    got = [(r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    assert len(want) == 83
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("list_rows", [8, 1024])
 def test_near_links_lose_no_connection(spark, list_rows, monkeypatch):
     monkeypatch.setattr(simhash, "LIST_ROWS", list_rows)
