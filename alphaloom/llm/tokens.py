@@ -4,12 +4,14 @@ Both vocabularies never merge across a single space between two characters that
 not white space, so a text can be split there and each distinct piece of a
 batch encoded once.  Arrow splits and numbers the pieces; only pieces that are
 new to the worker's bounded cache go through the library.  Texts in which
-white space stands at an edge or beside other white space are encoded whole.
+white space stands at an edge or beside other white space, and texts that hold an
+added token's string (the library makes it that token), are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path}: added tokens are looked for in normalized text")
+        self.unsafe = "|".join([UNSAFE, *map(re.escape, added)])
         bare, spaced = self.whole(["a", " a"])
         self.spaced = list(bare) != list(spaced)        # a space before a piece belongs to it
         if self.spaced:
@@ -107,7 +112,7 @@ class PieceEncoder:
     def _chunk(self, texts: pa.Array):
         """(first row, ids, counts) for runs of rows; distinct pieces of all the
         texts are looked up at once, ids are laid out for PIECES_AT_ONCE at a time."""
-        unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        unsafe = pc.match_substring_regex(texts, self.unsafe).to_numpy(zero_copy_only=False)
         n = len(texts)
         safe = np.flatnonzero(~unsafe)
         split = pc.split_pattern(texts.take(pa.array(safe)) if unsafe.any() else texts, " ")

@@ -29,6 +29,39 @@ def test_pieces_encode_like_the_whole_text(path, texts):
     assert got == [x.tolist() for x in coder.whole(texts)]
 
 
+def library_ids(path, text):
+    """The contract's call on a tokenizer of its own."""
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+
+
+SPECIAL = ["one <|endoftext|> two", "<|endoftext|>", "a<|startoftext|>b c", "x <|endoftext|>", "<|endoftext|><|startoftext|> y z",
+           "plain words here", "<|EndOfText|> in capitals", "<|endof text|>", "a  <|endoftext|>\n", "endoftext <| |>", ""]
+
+
+def test_special_token_strings_give_the_library_s_ids(spark):
+    for path in (BYTE, WORDS):
+        got = []
+        for _, ids, counts in encoder(path).encode(pa.array(SPECIAL, pa.string())):
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [library_ids(path, t) for t in SPECIAL]
+    assert library_ids(BYTE, SPECIAL[0]) == [505, 220, 50256, 734]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(SPECIAL)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    want = [np.r_[library_ids(BYTE, t), 2].astype("<u4") for t in SPECIAL]
+    tokens = sorted(token_binary.round_trip(docs, BYTE).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids_crc32) for r in tokens] == [(len(i), zlib.crc32(i)) for i in want]
+    assert [r.start for r in tokens] == np.r_[0, np.cumsum([len(i) for i in want])][:-1].tolist()
+    want = [np.r_[library_ids(WORDS, t), 1].astype("<u4") for t in SPECIAL]
+    pieces = packing.pack(docs, WORDS).collect()
+    covered = Counter()
+    for r in pieces:
+        ids = want[r.doc_id]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length])
+        covered[r.doc_id] += r.length
+    assert covered == {i: len(ids) for i, ids in enumerate(want)}
+
+
 def plain_ids(path, text, end):
     return np.r_[encoder(path).whole([text or ""])[0], end].astype("<u4")
 
