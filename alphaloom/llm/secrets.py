@@ -3,7 +3,11 @@
 A byte-pair vocabulary writes ordinary words and names in few tokens and random
 strings in many.  Runs of key-like characters whose characters per token fall
 below a threshold are spans of kind ``random``, unless they are known digests
-(hex of a hash's length), UUIDs, plain numbers or have no mix of character classes.
+(hex of a hash's length), UUIDs or plain numbers.  Readable text joined to a key
+raises the mean of the whole run, so where that passes the threshold the parts
+between = / + - _ are tested alone, and so are stretches of the token sequence with
+low means; what is found side by side is one span.  Separated words without digits
+or changing case are short tokens too, so letters alone count only as one part.
 The base kinds (assign, access, hex) are always reported.  Offsets are code
 points, ends exclusive.  The scan is one map over the rows, no shuffle.
 """
@@ -30,14 +34,20 @@ KINDS = ("assign", "access", "hex", "random")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 MIN_VALUE, MIN_ACCESS = 8, 16
-MIN_RUN = 20                    # characters of a run that is tested
+MIN_RUN = 20                    # characters of a run, part or stretch that is tested
+MIN_MIXED = 16                  # and of one that mixes character classes
+MIN_PART = 5                    # characters of the longest part of a stretch
+DROP, EDGE = 6, 8               # a stretch ends where its surplus falls by DROP; up to EDGE characters to a part's end join it
 MAX_CHARS_PER_TOKEN = 1.8
 PIECE = 4096                    # a run is tokenised in pieces of this size
 
 _assign = re.compile(ASSIGN, re.I | re.A)
 _access = re.compile(ACCESS)
 _hex = re.compile(HEX)
-_run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
+_run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_MIXED)
+_part = re.compile(r"[A-Za-z0-9]+")
+_named = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9]{%d,}|%s)(?![A-Za-z0-9])" % (
+    MIN_RUN, "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in DIGEST_LENGTHS)))
 _known = re.compile(r"[0-9]+|[0-9a-f]+|[0-9A-F]+|(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12})")
 
 
@@ -77,16 +87,79 @@ def excluded(run: str) -> bool:
     return not letters or not (digits or turns >= 3)
 
 
+def token_lengths(run: str, encoding) -> list[int]:
+    return [len(encoding.decode_single_token_bytes(t)) for i in range(0, len(run), PIECE)
+            for t in encoding.encode_ordinary(run[i:i + PIECE])]
+
+
+def is_random(run: str, encoding) -> bool:
+    """A whole run or part by its mean; letters alone count as one part only."""
+    if len(run) < MIN_RUN and (len(run) < MIN_MIXED or not run.isalnum()):
+        return False
+    if excluded(run) and not (run.isalpha() and len(run) >= MIN_RUN):
+        return False
+    return len(run) / len(token_lengths(run, encoding)) <= MAX_CHARS_PER_TOKEN
+
+
+def stretches(run: str, encoding) -> list[tuple[int, int]]:
+    """(start, end) of stretches of the token sequence with a low mean.  A token's
+    surplus is the threshold less its letters and digits; separators count nothing."""
+    out, ends, surplus, at = [], [], [], 0
+    for n in token_lengths(run, encoding):
+        own = sum(map(str.isalnum, run[at:at + n]))
+        at += n
+        ends.append(at)
+        surplus.append(MAX_CHARS_PER_TOKEN - own if own else 0.0)
+    i = 0
+    while i < len(ends):
+        if surplus[i] <= 0:
+            i += 1
+            continue
+        first, total, best, top = i, 0.0, i, 0.0
+        while i < len(ends):
+            total += surplus[i]
+            if total > top:
+                best, top = i, total
+            if total <= 0 or total < top - DROP:
+                break
+            i += 1
+        i = best + 1
+        out.append((ends[first - 1] if first else 0, ends[best]))
+    return [(a, b) for a, b in out if b - a >= MIN_MIXED and not excluded(run[a:b])
+            and max(map(len, _part.findall(run[a:b]))) >= MIN_PART]
+
+
+def parts_found(run: str, encoding) -> list[tuple[int, int]]:
+    """Random parts and stretches of a run, joined where only separators lie between."""
+    parts = [m.span() for m in _part.finditer(run)]
+    found = [(a, b) for a, b in parts if is_random(run[a:b], encoding)]
+    for a, b in stretches(run, encoding):
+        first, last = next(p for p in parts if p[1] > a), next(p for p in reversed(parts) if p[0] < b)
+        a = first[0] if a - first[0] <= EDGE else a
+        b = last[1] if last[1] - b <= EDGE else b
+        found.append((a, b))
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if joined and (a <= joined[-1][1] or not _part.search(run, joined[-1][1], a)):
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
+    return joined
+
+
 def random_spans(text: str, encoding) -> list[tuple[int, int, int]]:
     spans = []
     for m in _run.finditer(text):
         run = m[0].strip("=-_/+")
-        if len(run) < MIN_RUN or excluded(run):
-            continue
-        tokens = sum(len(encoding.encode_ordinary(run[i:i + PIECE])) for i in range(0, len(run), PIECE))
-        if len(run) / tokens <= MAX_CHARS_PER_TOKEN:
-            at = m.start() + m[0].index(run)
+        at = m.start() + m[0].index(run)
+        if is_random(run, encoding):
             spans.append((at, 3, at + len(run)))
+            continue
+        start = 0
+        for known in [*(k.span() for k in _named.finditer(run)), (len(run), len(run))]:
+            if known[0] - start >= MIN_MIXED:
+                spans += [(at + start + a, 3, at + start + b) for a, b in parts_found(run[start:known[0]], encoding)]
+            start = known[1]
     return spans
 
 

@@ -71,6 +71,32 @@ def test_token_efficiency_tells_random_strings_from_names():
     assert text[a:b] == keys[0]
 
 
+def test_keys_after_readable_text_and_letters_only_keys_are_found():
+    enc = tiktoken_encoding(PATH)
+    rng = random.Random(2)
+    mixed = string.ascii_letters + string.digits
+    cases = [(mixed, 24, 0.99), (mixed, 16, 0.97), (mixed + "+/", 40, 0.95), (mixed + "-_", 40, 0.95),
+             (string.ascii_uppercase, 32, 0.95), (string.ascii_letters, 24, 0.97), (string.ascii_lowercase, 32, 0.7)]
+    for before in ("", "https_proxy_authorization=", "/home/user/projects/config/production/credentials/"):
+        for alphabet, n, least in cases:
+            covered = 0
+            for _ in range(200):
+                key = "".join(rng.choices(alphabet, k=n))
+                at = 2 + len(before)
+                spans = secrets.random_spans(f"x {before}{key}, y", enc)
+                covered += any(a <= at + 2 and b >= at + n - 2 for a, _, b in spans)
+            assert covered >= least * 200, (before, alphabet, n, covered)
+    key = "".join(rng.choices(mixed, k=32))
+    text = f"GET /api/internal/accounts/settings/{key}/documents/overview HTTP"
+    (a, _, b), = secrets.random_spans(text, enc)
+    assert text[a:b] == key
+    plain = ["https://github.com/apache/spark/blob/master/sql/core/src/main/scala/org/apache/spark/sql/execution/ParquetFileFormat",
+             "/objects/123e4567-e89b-12d3-a456-426614174000/versions/overview", "to-be-or-not-to-be-that-is-the-question",
+             "MAX_CONNECTIONS_PER_HOST_2", "Donaudampfschifffahrtsgesellschaft", "====================", "20240102T101112Z",
+             "/usr/lib/x86_64-linux-gnu/libpthread", "utm_source=newsletter/utm_medium=email/utm_campaign=2024_q1"]
+    assert [p for p in plain if secrets.random_spans(p, enc)] == []
+
+
 def test_redact_hides_every_span(spark):
     rows = tricky()
     got = secrets.redact(spark.createDataFrame(rows, SCHEMA), PATH).collect()
