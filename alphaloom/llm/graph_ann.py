@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by inner product over robust-pruned graphs.
 
-Distinct vectors are dealt to shards by a hash.  Each shard becomes a
+Distinct vectors are dealt to shards by a band of their length and a hash, so the
+lengths within a shard differ by ``BAND`` at most.  Each shard becomes a
 directed graph: points are inserted in growing batches, a greedy beam search of
 the graph so far proposes neighbours, and relaxed distance pruning keeps a
 neighbour only if no nearer one already kept is closer to it by the factor
 ``RELAX``, so the edges point in different directions.  Vectors get one more
 coordinate that gives all the same length, which turns the largest inner product into
-the smallest distance.  Queries search every shard by beam search, all queries
+the smallest distance; beside a far longer vector the others' differences would vanish
+in rounding, hence the bands.  Graphs work in single precision on vectors scaled by a power of
+two, so no finite length overflows.  Queries search every shard by beam search, all queries
 of a block in lock-step; scores are then computed in double precision on the original vectors.
 
 Rows with the same vector are one node.  A node carries its smallest vec_ids, one
@@ -29,6 +32,7 @@ DEGREE, SLACK = 24, 16      # edges kept when a node is pruned, and room beyond
 BUILD_BEAM, SEARCH_BEAM = 64, 160
 EXPAND = 4                  # nodes expanded in one step of a search
 RELAX = 1.2
+BAND = 16                   # largest ratio of two lengths in a shard
 LOCKSTEP = 256
 
 INDEX_SCHEMA = "shard bigint, node int, entry boolean, ids array<bigint>, vec array<float>, edges array<int>"
@@ -159,10 +163,17 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEA
     return graph, entry
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times the power of two that brings the largest component to 0.5-1."""
+    largest = np.abs(vectors).max(initial=0)
+    return np.ldexp(vectors.astype(np.float64), -int(np.frexp(np.float64(largest))[1]))
+
+
 def lifted(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with one more coordinate that gives all the largest length."""
-    square = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    return np.column_stack([vectors, np.sqrt(np.maximum(square.max() - square, 0))]).astype(np.float32)
+    """Scaled vectors with one more coordinate that gives all the largest length."""
+    points = scaled(vectors)
+    square = (points ** 2).sum(axis=1)
+    return np.column_stack([points, np.sqrt(np.maximum(square.max() - square, 0))]).astype(np.float32)
 
 
 def as_matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -170,9 +181,25 @@ def as_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def banded(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with their shard.  Each band of lengths has shards of its own; a
+    length of 1 lies in the middle of one.  One row per band comes to the driver."""
+    square = F.aggregate("vec", F.lit(0.0), lambda total, v: total + v.cast("double") * v.cast("double"))
+    width = 2 * np.log2(BAND)
+    nodes = nodes.withColumn("band", F.floor((F.log2(square) + F.lit(width / 2)) / F.lit(width)))
+    found = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).orderBy("band").collect()
+    plan, first = [], 0
+    for r in found:
+        shards = -(-r["n"] // SHARD_ROWS)
+        plan.append((r["band"], first, shards))
+        first += shards
+    plan = nodes.sparkSession.createDataFrame(plan, "band bigint, first bigint, shards bigint")
+    own = F.col("first") + F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("shards"))
+    return nodes.join(F.broadcast(plan), "band").select("vec", "ids", own.alias("shard"))
+
+
 def build_index(nodes: DataFrame) -> DataFrame:
     """Graph rows (shard, node, entry, ids, vec, edges) of distinct vectors."""
-    shards = max(1, -(-nodes.count() // SHARD_ROWS))
 
     def build(group: pa.Table) -> pa.Table:
         graph, entry = build_graph(as_matrix(group.column("vec")))
@@ -181,8 +208,7 @@ def build_index(nodes: DataFrame) -> DataFrame:
         return pa.table({"shard": group.column("shard"), "node": pa.array(np.arange(n, dtype=np.int32)),
                          "entry": pa.array(np.arange(n) == entry), "ids": group.column("ids"),
                          "vec": group.column("vec"), "edges": edges})
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(shards)))
-    return materialize(dealt.groupBy("shard").applyInArrow(build, INDEX_SCHEMA), "ann-index")
+    return materialize(banded(nodes).groupBy("shard").applyInArrow(build, INDEX_SCHEMA), "ann-index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -206,9 +232,11 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         q_ids, q = query_rows.column("vec_id").to_numpy(), as_matrix(query_rows.column("vec"))
         out_q, out_v, out_s = [], [], []
         exact = vectors.astype(np.float64)
+        near = scaled(vectors).astype(np.float32)
         for at in range(0, len(q), LOCKSTEP):
             part = q[at:at + LOCKSTEP]
-            found = beam_search(vectors, graph, entry, part, SEARCH_BEAM)
+            asked_for = np.concatenate([scaled(v) for v in part[:, None]]).astype(np.float32)
+            found = beam_search(near, graph, entry, asked_for, SEARCH_BEAM)
             for query, own, hits in zip(part.astype(np.float64), q_ids[at:at + LOCKSTEP], found):
                 hits = hits[hits >= 0]
                 scores = np.array([query @ exact[h] for h in hits])

@@ -57,6 +57,18 @@ def test_recall_over_many_shards_and_lengths(spark, monkeypatch):
     assert recall(got, brute(rows)) >= 0.95
 
 
+@pytest.mark.parametrize("longest", [1e4, 1e30])
+def test_recall_beside_a_few_very_long_vectors(spark, longest):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[[7, 100, 1501]] *= [[longest], [longest / 3], [1e-3 / longest]]
+    rows = {i: v.astype(np.float32).tolist() for i, v in enumerate(x)}
+    got = graph_ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows.items()], SCHEMA)).collect()
+    assert recall(got, brute(rows)) >= 0.95
+    assert all(np.isfinite(r.score) for r in got)
+
+
 def test_copies_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(3)
     common = rng.normal(size=8).astype(np.float32).tolist()
