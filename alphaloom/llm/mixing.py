@@ -152,9 +152,9 @@ def schedule(spark, plan: list[dict], block_words: int) -> DataFrame:
     return main.unionByName(short.mapInArrow(closing, schema))
 
 
-def laid_out(rows: DataFrame, plan: list[dict], seed: int) -> DataFrame:
-    """``rows`` (doc_id, source, size) with source_no, source_size, target and the
-    word offset in the source's shuffled stream."""
+def laid_out(rows: DataFrame, plan: list[dict], seed: int, *own: str) -> DataFrame:
+    """``rows`` (doc_id, source, size and the columns ``own``) with source_no,
+    source_size, target and the word offset in the source's shuffled stream."""
     spark = rows.sparkSession
     named = spark.createDataFrame([(p["source"], p["no"], p["source_size"], p["target"]) for p in plan],
                                   "name string, source_no int, source_size bigint, target double")
@@ -163,10 +163,10 @@ def laid_out(rows: DataFrame, plan: list[dict], seed: int) -> DataFrame:
     sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_no", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size") \
+    inside = Window.partitionBy("source_no", "bucket").orderBy("h", "doc_id", "size", *own) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("end", F.sum("size").over(inside)).join(sums, ["source_no", "bucket"])
-    return placed.select("doc_id", "source", "size", "source_no", "source_size", "target",
+    return placed.select("doc_id", "source", "size", *own, "source_no", "source_size", "target",
                          (F.col("base") + F.col("end") - F.col("size")).alias("offset"))
 
 
@@ -176,12 +176,20 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataF
     Null, empty and wordless texts have size 0 and take nothing.  A null source
     is a source of its own.  Rows that repeat an id are documents each.  With no
     words at all every target is 0.  Reruns give the same rows."""
-    spark = docs.sparkSession
-    rows = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                                   F.col("source").cast("string").alias("source"),
-                                   word_count(text_of()).alias("size")), "mix-sizes")
+    return taken_words(sized(docs), block_words, seed)
+
+
+def sized(docs: DataFrame, *own: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
+                       word_count(text_of()).alias("size"), *own)
+
+
+def taken_words(rows: DataFrame, block_words: int, seed: int, *own: str) -> DataFrame:
+    """The mix of ``rows`` (doc_id, source, size and the columns ``own``, which stay)."""
+    spark = rows.sparkSession
+    rows = materialize(rows, "mix-sizes")
     plan = source_plan(rows, block_words)
-    placed = materialize(laid_out(rows, plan, seed), "mix-placed")
+    placed = materialize(laid_out(rows, plan, seed, *own), "mix-placed")
     slots = materialize(schedule(spark, plan, block_words), "mix-schedule")
     b = F.lit(block_words)
     length = F.least(b, F.col("source_size") - F.col("block") * b)
@@ -194,11 +202,11 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataF
     start, end = F.greatest("offset", F.col("block") * b), F.col("offset") + F.col("size")
     inside = F.least(end, (F.col("block") + 1) * b) - start
     partly = F.greatest(F.lit(0), F.least(end, F.col("block") * b + F.coalesce("part", F.lit(0))) - start)
-    keys = ["doc_id", "source", "size", "source_no", "source_size", "target", "offset"]
+    keys = ["doc_id", "source", "size", *own, "source_no", "source_size", "target", "offset"]
     taken = filled.join(uses, ["source_no", "block"], "left").groupBy(*keys).agg(
         F.sum(F.coalesce(F.col("uses") * inside, F.lit(0)) + partly).alias("taken"))
     empty = placed.where("size = 0").select(*keys, F.lit(0).cast("bigint").alias("taken"))
-    return taken.unionByName(empty).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.unionByName(empty).select("doc_id", "source", "size", *own, "source_size", "target", "taken")
 
 
 def first_words(text: str, n: int) -> str:
@@ -211,16 +219,25 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     """The mix as documents: a row is written once for each whole pass that
     takes it, and once more with its first words where the last pass stops
     inside it (n_chars then counts those).  Rows that the mix does not take,
-    wordless ones among them, are left out.  Rows that share id, source and size
-    take equal parts of what the mix takes of them, rounded down."""
-    taken = mix(docs, block_words, seed).where("taken > 0")
+    wordless ones among them, are left out.  Rows are told apart by id, source
+    and text digest; rows that share all three are numbered, and each takes the
+    words of one of them."""
+    digest = F.unhex(F.sha2(text_of().cast("binary"), 256))
+    taken = taken_words(sized(docs, digest.alias("digest")), block_words, seed, "digest")
     source_key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    keys = ["__al_key", "__al_source", "__al_size"]
-    per = taken.groupBy(id_key().alias("__al_key"), source_key.alias("__al_source"), F.col("size").alias("__al_size")) \
-        .agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("__al_taken"))
-    rows = docs.withColumns({"__al_key": id_key(), "__al_source": source_key, "__al_size": word_count(text_of())})
-    rows = rows.join(per, keys).select(*docs.columns, (F.col("__al_taken") / F.col("__al_size")).cast("bigint").alias("__al_whole"),
-                                       (F.col("__al_taken") % F.col("__al_size")).alias("__al_rest"))
+    keys = ["__al_key", "__al_source", "__al_digest"]
+    per = taken.groupBy(id_key().alias("__al_key"), source_key.alias("__al_source"), F.col("digest").alias("__al_digest")) \
+        .agg(F.first("size").alias("__al_size"), F.sort_array(F.collect_list("taken"), asc=False).alias("__al_takes"))
+    per = materialize(per.where(F.element_at("__al_takes", 1) > 0), "mix-taken")
+    rows = docs.withColumns({"__al_key": id_key(), "__al_source": source_key, "__al_digest": digest}).join(per, keys)
+    copy = F.lit(1)
+    if not per.where(F.size("__al_takes") > 1).isEmpty():
+        ties = [F.col("lang")] if "lang" in docs.columns else []
+        copy = F.row_number().over(Window.partitionBy(*keys).orderBy(*ties or [F.lit(0)]))
+    rows = rows.withColumn("__al_copy", copy).withColumn("__al_taken", F.element_at("__al_takes", F.col("__al_copy")))
+    rows = rows.where("__al_taken > 0").select(
+        *docs.columns, (F.col("__al_taken") / F.col("__al_size")).cast("bigint").alias("__al_whole"),
+        (F.col("__al_taken") % F.col("__al_size")).alias("__al_rest"))
     names = docs.columns
     schema = StructType([f for f in docs.schema])
 

@@ -235,6 +235,29 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert got == {d: n for d, n in taken.items() if n}
 
 
+def test_mixed_documents_of_null_and_repeated_ids_hit_every_target(spark):
+    rng = random.Random(8)
+    def prose(n):
+        return " ".join(rng.choices([f"w{i}" for i in range(900)], k=n))
+    rows = [(None, prose(10), "en", "a", 0) for _ in range(30)] + [(i % 4, prose(7), "en", "b", 0) for i in range(40)]
+    rows += [(50 + i, prose(90), "de", "c", 0) for i in range(20)] + [(5, rows[0][1], "en", "b", 0)] * 6
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = mixing.mixed_documents(docs, 16).collect()
+    _, targets = brute_mix(rows)
+    words = Counter()
+    for r in got:
+        words[r.source] += len(WORD.findall(r.text))
+    assert all(abs(words[s] - t) <= 1 for s, t in targets.items()), (words, targets)
+    def taken(s, d):
+        return sorted(r.taken for r in mixing.mix(docs, 16).collect() if r.source == s and r.doc_id == d)
+    by_text = Counter()
+    for r in got:
+        if r.doc_id is None:
+            by_text[next(t for _, t, *_ in rows[:30] if t.startswith(r.text))] += len(WORD.findall(r.text))
+    assert sorted(by_text.values()) == [n for n in taken("a", None) if n]
+    assert sum(len(WORD.findall(r.text)) for r in got if r.doc_id == 5) == sum(taken("b", 5))
+
+
 def test_schedule_spreads_sources_evenly(spark):
     plan = [{"source": s, "no": i, "source_size": 100000, "target": t, "words": t, "blocks": 1000, "slots": t // 100}
             for i, (s, t) in enumerate([("a", 10000), ("b", 20000), ("c", 30000)])]
