@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_mph, graph_ann, mixing, packing, quality, secrets, simhash, token_binary, toxicity
+from . import edit_counts, exact_mph, fill_middle, graph_ann, mixing, packing, quality, secrets, simhash, token_binary, toxicity
 from .common import table
 from .tokens import vocabulary_path
 
@@ -63,6 +63,34 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), with_ids=False)
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.cut_digests(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls,
+         sha256('7:' || doc_id) AS h FROM documents),
+x AS (
+  SELECT doc_id, t, ls, len(ls) AS n, ('0x' || h[1:8])::BIGINT % (len(ls) + 1) AS c1,
+         ('0x' || h[9:16])::BIGINT % (len(ls) + 1) AS c2, ('0x' || h[17:24])::BIGINT % 100 AS h3,
+         ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM d),
+y AS (
+  SELECT doc_id, t, n,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 100 THEN 'plain'
+              WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(ls[1:least(c1, c2)], '') AS p,
+         array_to_string(ls[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+         array_to_string(ls[greatest(c1, c2) + 1:n], '') AS s FROM x)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM y
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_binary": op2_token_binary,
@@ -74,9 +102,10 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
+    "op12_fill_middle": op12_fill_middle,
 }
 
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
+ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op12_fill_middle": OP12_SQL}
 
 
 def all_queries():
