@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_mph, fill_middle, graph_ann, mixing, packing, quality, secrets, simhash, token_binary, toxicity
+from . import edit_counts, exact_mph, fill_middle, graph_ann, mixing, packing, quality, secrets, simhash, slot_shards, \
+    token_binary, toxicity
 from .common import table
 from .tokens import vocabulary_path
 
@@ -63,6 +64,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), with_ids=False)
 
 
+def op11_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slot_shards.place(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.cut_digests(table(spark, sf_dir, "documents"))
 
@@ -102,6 +107,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
+    "op11_slot_shards": op11_slot_shards,
     "op12_fill_middle": op12_fill_middle,
 }
 
