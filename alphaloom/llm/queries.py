@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_mph, fill_middle, graph_ann, mixing, packing, quality, secrets, simhash, slot_shards, \
+from . import alignment, edit_counts, exact_mph, fill_middle, graph_ann, mixing, packing, quality, secrets, simhash, slot_shards, \
     token_binary, toxicity
 from .common import table
 from .tokens import vocabulary_path
@@ -96,6 +96,11 @@ FROM y
 """
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"),
+                                       vocabulary_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_binary": op2_token_binary,
@@ -109,6 +114,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_slot_shards": op11_slot_shards,
     "op12_fill_middle": op12_fill_middle,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op12_fill_middle": OP12_SQL}
