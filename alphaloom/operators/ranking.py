@@ -9,10 +9,12 @@ never does, at any size, and needs no key and no job while it is built:
    carries the row itself;
 2. a histogram ``(g, metric, v) -> c`` (map-side combined, so a hot value
    collapses before the shuffle);
-3. a value falls in bucket ``floor(sign(v) * ln(1 + |v|) * RESOLUTION)``, a
-   monotone function, so a bucket's offset is the running sum of the earlier
-   buckets' counts (one row per bucket) and the rank inside it a running sum over
-   its distinct values; NULLs are the last bucket;
+3. a value is cut into digits that keep its order: its power of two with three
+   bits of the mantissa, then 16 and 16 bits more (exact arithmetic on the double, so the
+   order is the value's).  Each level adds up the counts of its digits and
+   takes one running sum among the digits of one parent; the last level runs over the values
+   themselves.  The rank is the sum of a value's running sums down its digits.  No window, whatever the
+   values, holds more rows than a digit has values (2^17), so a narrow range spreads like a wide one;
 4. ``p = rank / (n - 1)`` (0 when ``n = 1``);
 5. the ranks are joined back on ``(g, metric, v)`` (adaptive execution splits a
    hot value) and the narrow rows are folded by the id they were given together.
@@ -28,8 +30,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RESOLUTION = 1024           # buckets per factor of e
-NULL_BUCKET = (1 << 62)
+LOW, HIGH = -1000, 1023     # powers of two told apart; smaller values share the lowest
+TOP_BITS = 3                # bits of the mantissa in the first digit
+DIGIT_BITS = 16
+INFINITE = HIGH + 1
 
 
 @dataclass(frozen=True)
@@ -43,29 +47,55 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _bucket(v: Column) -> Column:
-    scaled = F.signum(v) * F.log1p(F.abs(v)) * F.lit(float(RESOLUTION))
-    ends = F.lit(float(NULL_BUCKET // 4))
-    bounded = F.floor(F.greatest(-ends, F.least(ends, scaled)))
-    return F.when(v.isNull(), F.lit(NULL_BUCKET)).when(F.isnan(v), F.lit(NULL_BUCKET - 1)).otherwise(bounded)
+def _digits(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``v``) with the digits d1, d2, d3 of the value, in its order: where
+    two values differ, the first digit that differs, or else the value itself, says how.
+    Scaling by a power of two and taking a floor off are exact for doubles.  NULL ranks
+    last and NaN before it, each as a first digit of its own."""
+    v, size = F.col("v"), F.abs(F.col("v"))
+    power = F.greatest(F.lit(float(LOW)), F.least(F.lit(float(HIGH)), F.floor(F.log2(size))))
+    power = F.when(size > 0, power).otherwise(F.lit(float(LOW)))
+    plain = v.isNotNull() & ~F.isnan(v) & (size < F.lit(float("inf")))
+    step = F.lit(float(1 << DIGIT_BITS))
+    rows = rows.withColumns({"_sign": F.when(v < 0, -1).otherwise(1), "_power": F.when(plain, power)})
+    rows = rows.withColumn("_x", size * F.pow(F.lit(2.0), -F.col("_power")) * F.lit(float(1 << TOP_BITS)))
+    rows = rows.withColumn("_y", (F.col("_x") - F.floor("_x")) * step)
+    rows = rows.withColumn("_z", (F.col("_y") - F.floor("_y")) * step)
+    top = (F.col("_power") - F.lit(LOW)) * F.lit(2 << TOP_BITS) + F.floor("_x")
+    above = F.lit((INFINITE - LOW) * (2 << TOP_BITS))
+    top = (F.when(v.isNull(), above + 2).when(F.isnan(v), above + 1)
+           .when(plain, top.cast("int") * F.col("_sign")).otherwise(above * F.col("_sign")))
+    none = F.lit(0)
+    return rows.withColumns({
+        "d1": top.cast("int"), "d2": F.coalesce(F.floor("_y").cast("int") * F.col("_sign"), none),
+        "d3": F.coalesce(F.floor("_z").cast("int") * F.col("_sign"), none)}).drop("_sign", "_power", "_x", "_y", "_z")
+
+
+def _ranked_level(rows: DataFrame, parents: list[str], order: Column) -> DataFrame:
+    """``rows`` with ``before``, the count ``c`` of smaller ones under all of ``parents``
+    (g and metric first): under the nearest parent by a running sum, and what comes before
+    that parent in the same way, from the parents' sums."""
+    near = Window.partitionBy(*parents).orderBy(order)
+    own = F.coalesce(F.sum("c").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.withColumn("before", own)
+    if len(parents) == 2:
+        return ranked.withColumn("n", F.sum("c").over(Window.partitionBy(*parents)))
+    sums = ranked.groupBy(*parents).agg(F.max(F.col("before") + F.col("c")).alias("c"))     # no further shuffle
+    up = _ranked_level(sums, parents[:-1], F.col(parents[-1]).asc()).drop("c")
+    up = up.withColumnsRenamed({p: f"_{p}" for p in parents} | {"before": "_before"})
+    same = F.col("g").eqNullSafe(F.col("_g"))
+    for p in parents[1:]:
+        same = same & (F.col(p) == F.col(f"_{p}"))
+    return ranked.join(up, same).select(*rows.columns, (F.col("before") + F.col("_before")).alias("before"), "n")
 
 
 def value_ranks(narrow: DataFrame) -> DataFrame:
     """``(g, metric, v, p)`` of the distinct values of ``narrow`` (g, metric, v)."""
-    hist = narrow.groupBy("g", "metric", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("b", _bucket(F.col("v")))
-    within = Window.partitionBy("g", "metric", "b")
-    earlier = within.orderBy(F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
-    whole = Window.partitionBy("g", "metric")
-    buckets = hist.groupBy("g", "metric", "b").agg(F.sum("c").alias("c")).select(
-        F.col("g").alias("bg"), F.col("metric").alias("bm"), F.col("b").alias("bb"),
-        F.coalesce(F.sum("c").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
-        F.sum("c").over(whole).alias("n"))
-    same = F.col("g").eqNullSafe(F.col("bg")) & (F.col("metric") == F.col("bm")) & (F.col("b") == F.col("bb"))
-    rank = (F.col("offset") + F.col("before")).cast("double")
-    return hist.join(buckets, same).select(
+    hist = _digits(narrow.groupBy("g", "metric", "v").agg(F.count(F.lit(1)).alias("c")))
+    ranked = _ranked_level(hist, ["g", "metric", "d1", "d2", "d3"], F.col("v").asc_nulls_last())
+    return ranked.select(
         F.col("g").alias("rg"), F.col("metric").alias("rm"), F.col("v").alias("rv"),
-        F.when(F.col("n") > 1, rank / (F.col("n") - 1).cast("double")).otherwise(F.lit(0.0)).alias("p"))
+        F.when(F.col("n") > 1, F.col("before").cast("double") / (F.col("n") - 1).cast("double")).otherwise(F.lit(0.0)).alias("p"))
 
 
 def grouped_percent_rank(df: DataFrame, group: str, specs: list[RankSpec]) -> DataFrame:

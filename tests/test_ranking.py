@@ -51,7 +51,7 @@ def test_negative_zero_ties_with_zero(spark):
     assert got == [0.0, 1 / 3, 1 / 3, 1.0]
 
 
-def test_random_frame_many_ties(spark, monkeypatch):
+def test_random_frame_many_ties(spark):
     rnd = random.Random(11)
     rows = []
     for i in range(3000):
@@ -61,9 +61,36 @@ def test_random_frame_many_ties(spark, monkeypatch):
         rows.append((f"k{i % 700}", grp, x, y))
     df = spark.createDataFrame(rows, "id string, grp string, x double, y double")
     specs = [RankSpec("px", "x", True), RankSpec("py", "y", False), RankSpec("qx", "x", False)]
-    for resolution in (1, 1024):
-        monkeypatch.setattr(rk, "RESOLUTION", resolution)
-        compare(df, "grp", specs)
+    compare(df, "grp", specs)
+
+
+def test_every_kind_of_double_ranks_like_the_window(spark):
+    rnd = random.Random(5)
+    edge = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1e-300, -1e-300, 1.0, 1.0 + 2 ** -52, 1.0 - 2 ** -53, 2.0,
+            2.0 - 2 ** -52, 1e308, -1.7976931348623157e308, 1.7976931348623157e308, float("inf"), float("-inf"), None,
+            8.0, 8.0 - 2 ** -50, 0.1, 0.1 + 2 ** -56, 1e15 + 0.125, 1e15 + 0.25, -1e15 - 0.125]
+    rows = [("edge", x) for x in edge] + [("bits", math.copysign(math.ldexp(rnd.random(), rnd.randint(-1074, 1023)), rnd.random() - 0.5))
+                                          for _ in range(3000)]
+    rows += [("powers", math.ldexp(1.0, e) * (1 + d * 2 ** -52)) for e in range(-60, 60) for d in (-1, 0, 1)]
+    rows += [("near", 1.0 + i * 2 ** -52) for i in range(2000)] + [("near", -1.0 - i * 2 ** -50) for i in range(2000)]
+    df = spark.createDataFrame(rows, "grp string, x double")
+    compare(df, "grp", [RankSpec("px", "x", True), RankSpec("qx", "x", False)])
+
+
+def test_a_narrow_range_spreads_over_the_windows(spark):
+    """100,000 values between 1,000,000 and 1,000,900, and a few far away: no
+    window of any level holds a large part of them, and the tasks of the last level are even."""
+    values = spark.range(100_000).select(F.lit("one").alias("g"), F.lit(0).alias("metric"),
+                                         (F.lit(1e6) + F.col("id") * F.lit(0.009)).alias("v"))
+    far = spark.createDataFrame([("one", 0, x) for x in (-1e9, 0.0, 5.0, 1e30)], "g string, metric int, v double")
+    digits = rk._digits(values.union(far).withColumn("c", F.lit(1))).cache()
+    for level in (["d1"], ["d1", "d2"], ["d1", "d2", "d3"]):
+        sizes = digits.select(*level).distinct().groupBy(*level[:-1]).count().agg(F.max("count")).first()[0]
+        assert sizes <= 3000, level
+    last = digits.groupBy("d1", "d2", "d3").count().agg(F.max("count"), F.count("*")).first()
+    assert last[0] <= 10 and last[1] >= 50_000
+    tasks = digits.repartition(8, "g", "metric", "d1", "d2", "d3").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in tasks) <= 1.2 * 100_004 / 8
 
 
 def test_fixture_all_eighteen_percentiles(spark):
