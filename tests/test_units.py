@@ -197,14 +197,14 @@ def test_screen_rule_matching(spark):
     for good in ["WITH a AS (SELECT 1 AS x) SELECT * FROM a;", "SELECT ';' AS s", "SELECT a, sum(b) FROM t GROUP BY a HAVING sum(b) > 1",
                  "SELECT * FROM t WHERE x IN (SELECT y FROM u) ORDER BY x LIMIT 3", "SELECT rank() OVER (ORDER BY x) FROM t",
                  "SELECT a FROM t UNION ALL SELECT b FROM u", "SELECT * FROM t JOIN u USING (k) WHERE t.a < :p"]:
-        assert sc.validate_select(good, spark)
+        assert sc.validate_select(good, spark, ("t", "u"))
     for bad in ["DROP TABLE t", "SELECT 1; DROP TABLE t", "delete from t", "SELECT",
                 "WITH a AS (SELECT 1 AS x) INSERT INTO t SELECT * FROM a", "FROM a INSERT INTO t SELECT *",
                 "WITH a AS (SELECT 1 AS x) FROM a INSERT INTO t SELECT * INSERT INTO u SELECT *",
                 "WITH a AS (SELECT 1 AS x) MERGE INTO t USING a ON t.x = a.x WHEN MATCHED THEN DELETE",
                 "CREATE TABLE t AS SELECT 1", "WITH a AS (SELECT 1) DELETE FROM t", "EXPLAIN SELECT 1"]:
         with pytest.raises(ValueError):
-            sc.validate_select(bad, spark)
+            sc.validate_select(bad, spark, ("t", "u", "a"))
 
 
 def test_lookup_binding(spark):
