@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import context as cx
 from ..operators import macro as mc
+from ..operators import memo_jobs as mj
 from ..operators import portfolio as pt
 from ..operators import screen as sc
 from ..operators.flags import parse_flags_text, prettify_flags
@@ -258,6 +259,14 @@ def q_memo_batch(spark, base):
     return cx.memo_batch(st.anomalies(spark, base), stub_model, top_n=10)
 
 
+@register("memo_batch_resumed", _MEMO_COLS, "FROM memo_batch", ctes=("memo_batch",))
+def q_memo_batch_resumed(spark, base):
+    """M2 as a resumed job: a first run asks for four memos, a second one for the missing six."""
+    companies, path = st.anomalies(spark, base), fresh_path(spark, "memo-results")
+    mj.resumable_memo_batch(companies, stub_model, path, top_n=4, attempts=1)
+    return mj.resumable_memo_batch(companies, stub_model, path, top_n=10, attempts=1, retry_failed=False)
+
+
 @register("batch_outcome", "successful, failed, total",
           """FROM (SELECT CAST(count_if(NOT starts_with(investment_memo, 'Error')) AS BIGINT) AS successful,
                           CAST(count_if(starts_with(investment_memo, 'Error')) AS BIGINT) AS failed,
