@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 # Character classes.
 WORD = r"[\p{L}\p{N}_]"
 SPACE_CHARS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\p{Z}"
-SPACE_RUN = f"[{SPACE_CHARS}]+"
+# What a single plain space has to replace: runs of two or more, and any other space alone.
+LONG_SPACE_RUN = f"[{SPACE_CHARS}]{{2,}}|(?! )[{SPACE_CHARS}]"
 NON_SPACE = f"[^{SPACE_CHARS}]"
 TOKEN = f"{WORD}+"
 
@@ -29,12 +30,12 @@ MENTION_PATTERN = f"@{WORD}+"
 # Mis-decoded quote sequences and their replacements, in order.
 MOJIBAKE = [("â€œ", '"'), ("â€\u009d", '"'), ("â€™", "'")]
 
-# Character references: decimal, hexadecimal, named with a semicolon, and the
+# Character references: numbers of any length, named with a semicolon, and the
 # names that HTML also allows without one (both sets as the standard library
-# lists them).
-_BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-ENTITY_PATTERN = (r"&(?:#[0-9]{1,8};?|#[xX][0-9a-fA-F]{1,7};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:"
-                  + "|".join(_BARE_NAMES) + "))")
+# lists them), of which the longest that a reference starts with counts.
+_BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+ENTITY_PATTERN = f"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{1,31}};|(?:{_BARE_NAMES}))"
+NO_CHARACTER = 0x110000         # stands for every number beyond the last character
 # Numbers 128-159 stand for the characters of that byte in Windows-1252.
 _WINDOWS_1252 = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
 
@@ -99,14 +100,23 @@ def _numbered(code: Column) -> Column:
 def decode_entities(c: Column) -> Column:
     """Numeric and named character references, each decoded once, with built-in
     expressions: the text is split at the references and joined again with what
-    they stand for.  An unknown name stays as it is."""
+    they stand for.  A number may have any length; a name that is unknown stands for the
+    longest name without semicolon that it starts with, or stays as it is."""
     names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
 
+    def number(e: Column) -> Column:
+        digits, is_hex = F.regexp_replace(e, "^&#[xX]?0*|;$", ""), e.rlike("^&#[xX]")
+        value = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        return (F.when(digits == "", F.lit(0).cast("bigint"))
+                .when(F.length(digits) > F.when(is_hex, 6).otherwise(7), F.lit(NO_CHARACTER).cast("bigint")).otherwise(value))
+
+    def name(e: Column) -> Column:
+        bare = F.regexp_extract(e, f"^&({_BARE_NAMES})", 1)
+        prefixed = F.when(bare != "", F.concat(F.try_element_at(names, bare), F.substr(e, F.length(bare) + 2)))
+        return F.coalesce(F.try_element_at(names, F.substring(e, 2, 64)), prefixed, e)
+
     def one(e: Column) -> Column:
-        digits = F.regexp_replace(e, "[&#;xX]", "")
-        number = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
-        named = F.coalesce(F.try_element_at(names, F.substring(e, 2, 64)), e)
-        return F.when(F.startswith(e, F.lit("&#")), _numbered(number)).otherwise(named)
+        return F.when(F.startswith(e, F.lit("&#")), _numbered(number(e))).otherwise(name(e))
 
     def decode(t: Column) -> Column:
         found = F.regexp_extract_all(t, F.lit(ENTITY_PATTERN), 0)
@@ -131,7 +141,7 @@ def clean_post(c: Column) -> Column:
     t = _only_if(t, ["http", "www."], lambda x: F.regexp_replace(x, URL_PATTERN, ""))
     t = _only_if(t, ["$"], lambda x: F.regexp_replace(x, CASHTAG_PATTERN, ""))
     t = _only_if(t, ["@"], lambda x: F.regexp_replace(x, MENTION_PATTERN, ""))
-    t = F.regexp_replace(t, SPACE_RUN, " ")
+    t = F.regexp_replace(t, LONG_SPACE_RUN, " ")
     return F.coalesce(F.lower(F.trim(t)), F.lit(""))
 
 

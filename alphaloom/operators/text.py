@@ -2,15 +2,17 @@
 
 Plan shape: cleaning, word-list and lexicon scores are row expressions over the
 token array, so posts are never joined, shuffled or keyed.  Stock volume is
-aggregate-then-join, and every global statistic is a scalar subquery.
+aggregate-then-join, its moments are scalar subqueries, and the bounds of the post alpha
+are observed while the features are written, so each post is cleaned once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 from .normalize import attach_bounds, minmax_zero
 
 # Post-alpha weights.
@@ -92,16 +94,23 @@ def tweet_features(posts: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     return volume_zscore(lexicon_sentiment(word_features(posts), lexicon)).drop("tokens")
 
 
-def tweet_alpha(features: DataFrame) -> DataFrame:
-    """N3 on the four features (constant column -> 0.0), then T5.  The bounds
-    come from a pass over the feature columns alone; no text is written."""
+def tweet_alpha(features: DataFrame, write: bool = True) -> DataFrame:
+    """N3 on the four features (constant column -> 0.0), then T5.
+
+    With ``write`` the features are computed once: they are written to the shared folder
+    (this starts a job), and the four minima and maxima are observed while they
+    are.  Without it nothing is written, and every post is cleaned and scored twice, once for the bounds."""
     srcs = [src for src, _ in FEATURE_NORMS]
-    b = F.col("_bounds")
-    feat = attach_bounds(features, "_bounds", features.select(*srcs), srcs)
-    feat = feat.withColumns({
-        dst: minmax_zero(F.col(src).cast("double"), b[f"{src}_min"].cast("double"),
-                         b[f"{src}_max"].cast("double"))
-        for src, dst in FEATURE_NORMS}).drop("_bounds")
+    if write:
+        seen = Observation("feature-bounds")
+        aggregates = [f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in srcs for n, f in (("min", F.min), ("max", F.max))]
+        feat = materialize(features.observe(seen, *aggregates), "post-features")
+        bounds = {k: F.lit(v).cast("double") for k, v in seen.get.items()}
+    else:
+        feat = attach_bounds(features, "_bounds", features.select(*srcs), srcs)
+        bounds = {f"{c}_{n}": F.col("_bounds")[f"{c}_{n}"].cast("double") for c in srcs for n in ("min", "max")}
+    feat = feat.withColumns({dst: minmax_zero(F.col(src).cast("double"), bounds[f"{src}_min"], bounds[f"{src}_max"])
+                             for src, dst in FEATURE_NORMS}).drop("_bounds")
     score = None
     for c, w in TWEET_WEIGHTS:
         term = F.lit(w) * F.col(c)

@@ -330,7 +330,7 @@ SELECT doc_id,
               WHEN 1 THEN ' @desk Earnings beat, margins up &amp; revenue up! http://t.example/x'
               WHEN 2 THEN ' great profit   www.x.example love it'
               WHEN 3 THEN ' scared of debt, price target cut'
-              ELSE ' the caf&eacute; isn&#8217;t cheap: &#x20AC;5 &amp;lt;b&amp;gt; &eacutet&eacute; &unknown;' END) END AS Tweet,
+              ELSE ' the caf&eacute; isn&#8217;t cheap: &#x20AC;5 &amp;lt;b&amp;gt; &eacutet&eacute; &unknown; &#0000000065;&#x0000000041;&#999999999; &notit;' END) END AS Tweet,
        source AS "Stock Name", concat('Company ', source) AS "Company Name"
 FROM documents""")
 
@@ -339,7 +339,8 @@ def _clean_sql(col: str) -> str:
     t = col
     for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"),
                  ("&#x27;", "''"), ("&nbsp;", " "), ("&eacute;", "é"), ("&eacute", "é"),
-                 ("&#8217;", "\u2019"), ("&#x20AC;", "€"), ("&amp;", "&")]:
+                 ("&#8217;", "\u2019"), ("&#x20AC;", "€"), ("&#0000000065;", "A"),
+                 ("&#x0000000041;", "A"), ("&#999999999;", "\ufffd"), ("&notit;", "¬it;"), ("&amp;", "&")]:
         t = f"replace({t}, '{a}', '{b}')"
     for a, b in [("â€œ", '"'), ("â€\u009d", '"'), ("â€™", "''")]:
         t = f"replace({t}, '{a}', '{b}')"

@@ -162,7 +162,7 @@ TWEET_SUFFIXES = [
     " @desk Earnings beat, margins up &amp; revenue up! http://t.example/x",
     " great profit   www.x.example love it",
     " scared of debt, price target cut",
-    " the caf&eacute; isn&#8217;t cheap: &#x20AC;5 &amp;lt;b&amp;gt; &eacutet&eacute; &unknown;",
+    " the caf&eacute; isn&#8217;t cheap: &#x20AC;5 &amp;lt;b&amp;gt; &eacutet&eacute; &unknown; &#0000000065;&#x0000000041;&#999999999; &notit;",
 ]
 
 

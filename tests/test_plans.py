@@ -44,11 +44,38 @@ def test_top_per_sector_uses_group_limit(spark):
 
 def test_text_features_stay_in_jvm_and_are_not_written(spark):
     feat = te.tweet_features(fx.tweets(spark, SF_SMALL), dict(fx.LEXICON))
-    p = plan(te.tweet_alpha(feat))
+    p = plan(te.tweet_alpha(feat, write=False))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert "documents.parquet" in p                     # lazily from the posts, no written copy
 
 
+def test_post_alpha_cleans_each_post_once(spark):
+    """The one job that reads the posts cleans them; what follows reads the written features."""
+    cleaned = spark.sparkContext.accumulator(0)
+    feat = te.tweet_features(fx.tweets(spark, SF_SMALL), dict(fx.LEXICON))
+
+    def counted(batches):
+        for b in batches:
+            cleaned.add(b.num_rows)
+            yield b
+    counted_posts = feat.mapInArrow(counted, feat.schema)       # stands where the features are computed
+    out = te.tweet_alpha(counted_posts)
+    rows = out.collect()
+    assert cleaned.value == len(rows) == feat.count()
+    assert "regexp_replace" not in plan(out)
+    assert out.inputFiles() and all("/post-features-" in f for f in out.inputFiles())
+    lazy = {r.doc_id: r for r in te.tweet_alpha(feat, write=False).collect()}
+    for r in rows:
+        assert r.clean == lazy[r.doc_id].clean
+        assert (r.tweet_alpha is None) == (lazy[r.doc_id].tweet_alpha is None)
+        assert r.tweet_alpha is None or abs(r.tweet_alpha - lazy[r.doc_id].tweet_alpha) < 1e-12
+
+
+def test_post_alpha_of_an_empty_table(spark):
+    feat = te.tweet_features(fx.tweets(spark, SF_SMALL).limit(0), dict(fx.LEXICON))
+    assert te.tweet_alpha(feat).collect() == [] and te.tweet_alpha(feat, write=False).collect() == []
+
+
 def test_price_chain_builds_without_a_job(spark):
     sc = spark.sparkContext
     sc.setJobGroup("prices-build", "")
