@@ -355,6 +355,14 @@ def q_return_variance(spark, base):
     return pt.return_variance(pt.daily_returns(_prices(spark, base)))
 
 
+@register("return_covariance", "ticker_a, ticker_b, n, covariance:d",
+          """FROM (SELECT a.ticker AS ticker_a, b.ticker AS ticker_b, COUNT(*) AS n, COVAR_SAMP(a.ret, b.ret) AS covariance
+                   FROM returns a JOIN returns b ON a.date = b.date GROUP BY a.ticker, b.ticker)""", ctes=("returns",))
+def q_return_covariance(spark, base):
+    """The covariance matrix of all tickers."""
+    return pt.return_covariance(pt.daily_returns(_prices(spark, base)), block_tickers=8)
+
+
 @register("inverse_variance_weights", "ticker, variance:d, weight:d", "FROM weights", ctes=("weights",))
 def q_weights(spark, base):
     return pt.inverse_variance_weights(pt.daily_returns(_prices(spark, base)))

@@ -112,10 +112,10 @@ def test_retail_edge_cases(spark):
             (4, d, None, 9, 99.0, "X", False, "None", "Winter"),      # NULL basket: dropped
             (5, d + dt.timedelta(days=1), ["B"], 6, 30.0, "X", False, "BOGO", "Winter")]
     s = ad.Signals(_silver(spark, rows), materialize=False)
-    lift = {r.Product: r.Max_Promo_Lift for r in s.promo_lift_prod.collect()}
+    lift = {r.Product: r.Max_Promo_Lift for r in s.tables["Max_Promo_Lift"].collect()}
     assert lift["B"] is None                         # no "None" baseline for B
     assert lift["A"] == pytest.approx(0.0)           # baseline's own lift, BOGO 2 vs 4 -> -0.5
-    city = {r.City: r for r in s.city.collect()}
+    city = {r.City: r for r in s.cities.collect()}
     assert city["X"].Transaction_Count == 3          # exploded rows: basket 1 counts twice
     assert s.gold(fixed=False).count() > s.gold().count() == s.base.count()
 
