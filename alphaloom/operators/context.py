@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import point_lookup
 from .flags import flags_or_fallback, flags_text
 from .macro import beta_band, latest_one, macro_trend
 
@@ -91,6 +92,13 @@ def company_context(companies: DataFrame, macro: DataFrame | None) -> DataFrame:
 # C11 lookups
 # ---------------------------------------------------------------------------
 
+def indexed_lookup(table: DataFrame, requests: DataFrame, request_col: str = "request", most: int = 1000) -> DataFrame:
+    """C11 on a stored table sorted by ticker (``sinks.save_lookup_table``): as ``company_lookup``, but a
+    short list of requests becomes a filter of the scan, which skips the files and row groups without them."""
+    wanted = requests.select(F.upper(F.col(request_col)).alias(request_col))
+    return company_lookup(point_lookup(table, wanted, "ticker", request_col, most), requests, request_col, few_requests=False)
+
+
 def company_lookup(companies: DataFrame, requests: DataFrame, request_col: str = "request",
                    few_requests: bool = False) -> DataFrame:
     """C11 in batch form: one row per request row (repeats included) with the

@@ -44,7 +44,7 @@ def _q(c: str) -> str:
 
 def column_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: ``_n`` = row count and ``c<i>`` = non-NULL count of column i."""
-    return df.agg(F.count(F.lit(1)).alias("_n"),
+    return df.agg(F.count("*").alias("_n"),
                   *[F.count(F.col(_q(c))).alias(f"c{i}") for i, c in enumerate(columns)])
 
 

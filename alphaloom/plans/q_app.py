@@ -12,6 +12,7 @@ from ..operators import portfolio as pt
 from ..operators import screen as sc
 from ..operators.flags import parse_flags_text, prettify_flags
 from ..sources import fixtures as fx
+from ..sources.sinks import save_lookup_table
 from ..session import fresh_path
 from . import oracle
 from . import stages as st
@@ -73,6 +74,17 @@ def q_company_lookup(spark, base):
     return cx.company_lookup(st.flagged(spark, base), fx.requested_tickers(spark), few_requests=True)   # a literal list
 
 
+@register("company_lookup_indexed", "request, ticker, company_name, sector, found",
+          """FROM (SELECT r.request, a.ticker, a.company_name, a.sector, a.ticker IS NOT NULL AS found
+                   FROM (VALUES ('t1'), ('T2'), ('t999999')) r(request)
+                   LEFT JOIN anomalies a ON a.ticker = upper(r.request))""", ctes=("anomalies",))
+def q_company_lookup_indexed(spark, base):
+    """C11 on the stored company table, sorted by ticker and with bloom filters."""
+    path = fresh_path(spark, "companies_by_ticker")
+    save_lookup_table(st.flagged(spark, base), path, "ticker")
+    return cx.indexed_lookup(spark.read.parquet(path), fx.requested_tickers(spark))
+
+
 _CTX_COLS = ("ticker, company_name, sector, industry, country, exchange, currency, market_cap:d, "
              "value_score:d, growth_score:d, quality_score:d, risk_score:d, overall_alpha_score:d, "
              "conviction_rating, beta:d, volatility_30d:d, volatility_90d:d, volatility_52w:d, "

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
+from ..operators import profile as pf
+from ..session import fresh_path, scratch_path
 from ..sources import sinks
-from ..sources.tables import TABLES, scan_format, scan_table, table_path, table_preview, table_stats
+from ..sources.tables import TABLES, scan_footers, scan_format, scan_table, table_path, table_preview, table_stats
 from . import stages as st
 from .registry import register
 
@@ -27,6 +28,32 @@ def q_table_stats(spark, base):
     return table_stats({t: scan_table(spark, base, t) for t in TABLES})
 
 
+@register("table_stats_footers", "table_name, n_rows, n_cols",
+          "FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows, CAST({_N_COLS[t]} AS BIGINT) AS n_cols FROM {t}"
+                                        for t in ("lineitem", "orders", "events")) + ")")
+def q_table_stats_footers(spark, base):
+    """S8 from the files' footers: no column data is read.  Each frame has a session of its
+    own, so the union is one of literal rows."""
+    found = [(t, df.count(), len(df.columns)) for t in ("lineitem", "orders", "events")
+             for df in [scan_footers(spark, table_path(base, t))]]
+    return spark.createDataFrame(found, "table_name string, n_rows bigint, n_cols bigint")
+
+
+_FOOTER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@register("completeness_footers", "column_name, non_null, null_count, pct_complete:d, band",
+          "FROM (" + " UNION ALL ".join(
+              f"""SELECT '{c}' AS column_name, COUNT({c}) AS non_null, COUNT(*) - COUNT({c}) AS null_count,
+                         COUNT({c}) * 100.0 / COUNT(*) AS pct_complete,
+                         CASE WHEN COUNT({c}) * 100.0 / COUNT(*) >= 80 THEN 'ok'
+                              WHEN COUNT({c}) * 100.0 / COUNT(*) >= 50 THEN 'warn' ELSE 'fail' END AS band FROM orders"""
+              for c in _FOOTER_COLUMNS) + ")")
+def q_completeness_footers(spark, base):
+    """P1-P4 from the files' footers alone."""
+    return pf.completeness(scan_footers(spark, table_path(base, "orders")))
+
+
 _ORDER_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice:d, o_orderdate, o_orderpriority"
 
 
@@ -34,8 +61,10 @@ _ORDER_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice:d, o_orderdate
 def q_scan_format(spark, base):
     """Format-qualified read of a catalog table (registered over the given
     files, nothing is copied)."""
-    name = f"orders_{uuid.uuid4().hex}"
-    spark.catalog.createTable(name, path=table_path(base, "orders"), source="parquet")
+    path = table_path(base, "orders")
+    name = f"orders_{hashlib.sha1(path.encode()).hexdigest()[:12]}"
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path=path, source="parquet")
     return scan_format(spark, fmt="parquet", table=name)
 
 
@@ -55,10 +84,10 @@ def q_table_preview(spark, base):
 @register("save_table", "ticker, red_flag_count, red_flag_severity, overall_alpha_score:d",
           "FROM anomalies", ctes=("anomalies",))
 def q_save_table(spark, base):
-    """Write the flagged company table into the catalog and read it back by name."""
-    name = f"companies_flagged_{uuid.uuid4().hex}"
-    sinks.save_table(st.anomalies(spark, base), fresh_path(spark, name), table=name)
-    return spark.table(name)
+    """Write the flagged company table into the catalog (over the one of an earlier
+    call, whose rows stay readable until then) and read it back by name."""
+    sinks.save_table(st.anomalies(spark, base), scratch_path(spark, "companies_flagged"), table="companies_flagged")
+    return spark.table("companies_flagged")
 
 
 def _round_trip(spark, df, name):
@@ -86,3 +115,13 @@ def q_export_csv_texts(spark, base):
     """S5 over whole texts with line breaks, quotes and commas."""
     d = scan_table(spark, base, "documents")
     return _round_trip(spark, d.withColumn("text", F.concat("text", F.lit('\n"q", '), "source")), "documents_csv")
+
+
+@register("export_csv_split", "doc_id, text, lang, source, n_chars",
+          "FROM (SELECT * REPLACE (text || chr(13) || chr(10) || '\\n\"q\", ' || source AS text) FROM documents)")
+def q_export_csv_split(spark, base):
+    """S5 over whole texts, with line breaks escaped so that a file is read by many tasks."""
+    d = scan_table(spark, base, "documents").withColumn("text", F.concat("text", F.lit('\r\n\\n"q", '), "source"))
+    path = fresh_path(spark, "documents_lines")
+    sinks.export_csv(d, path, splittable=True)
+    return sinks.read_csv(spark, path, d.schema, splittable=True)

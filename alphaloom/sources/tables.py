@@ -39,13 +39,41 @@ def scan_format(spark: SparkSession, path: str | None = None, fmt: str = "parque
     return reader.table(table) if table else reader.load(path)
 
 
+def scan_footers(spark: SparkSession, path: str) -> DataFrame:
+    """A scan of a Parquet path for whole-table counts, minima and maxima: its
+    aggregates are answered from the files' footers and read no column data.
+
+    The push-down belongs to the newer reader, which a session chooses for all its reads, so the frame
+    lives in a session of its own on the same context (same catalog of global views, same
+    executors); don't join it with frames of another session.  Profiles (``profile.completeness``, ``empty_columns``)
+    and ``table_stats`` take it like any frame.  Rows added up are those of the
+    files: filters and derived columns are not answered from footers."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path)
+
+
+def point_lookup(table: DataFrame, requests: DataFrame, key: str, request_col: str = "request", most: int = 1000) -> DataFrame:
+    """The rows of ``table`` whose ``key`` is among the distinct requests.
+
+    Up to ``most`` distinct requests (they come to the driver) become a filter that reaches the
+    Parquet reader, so that of a table written by ``sinks.save_lookup_table`` only the files and row
+    groups that may hold them are read; more are joined.  Null requests match nothing."""
+    wanted = requests.select(F.col(f"`{request_col}`").alias("_want")).where("_want IS NOT NULL").distinct()
+    few = wanted.limit(most + 1).collect()
+    if len(few) <= most:
+        return table.where(F.col(f"`{key}`").isin([r[0] for r in few]) if few else F.lit(False))
+    return table.join(wanted, F.col(f"`{key}`") == F.col("_want"), "left_semi")
+
+
 def table_stats(frames: dict[str, DataFrame]) -> DataFrame:
     """One row per table with its row and column count.
 
     Each count is a plain aggregate (parquet answers it from footers); the
     union runs the scans as independent tasks in one job.
     """
-    parts = [df.agg(F.count(F.lit(1)).alias("n_rows"))
+    parts = [df.agg(F.count("*").alias("n_rows"))
                .select(F.lit(name).alias("table_name"), "n_rows",
                        F.lit(len(df.columns)).alias("n_cols"))
              for name, df in frames.items()]
