@@ -9,12 +9,12 @@ never does, at any size, and needs no key and no job while it is built:
    carries the row itself;
 2. a histogram ``(g, metric, v) -> c`` (map-side combined, so a hot value
    collapses before the shuffle);
-3. a value is cut into digits that keep its order: its power of two with three
-   bits of the mantissa, then 16 and 16 bits more (exact arithmetic on the double, so the
-   order is the value's).  Each level adds up the counts of its digits and
-   takes one running sum among the digits of one parent; the last level runs over the values
-   themselves.  The rank is the sum of a value's running sums down its digits.  No window, whatever the
-   values, holds more rows than a digit has values (2^17), so a narrow range spreads like a wide one;
+3. a value is cut into digits that keep its order: its power of two with ten
+   bits of the mantissa, then 20 bits more (exact arithmetic on the double, so the order is the value's), and
+   22 bits are left.  Each level adds up the counts of its digits and takes one running
+   sum among the digits of one parent; the last level runs over the values themselves.  The rank is the sum of a
+   value's running sums down its digits.  No window, whatever the values, holds more rows than a
+   digit has values (2^23), and far fewer in practice, so a narrow range spreads like a wide one;
 4. ``p = rank / (n - 1)`` (0 when ``n = 1``);
 5. the ranks are joined back on ``(g, metric, v)`` (adaptive execution splits a
    hot value) and the narrow rows are folded by the id they were given together.
@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOW, HIGH = -1000, 1023     # powers of two told apart; smaller values share the lowest
-TOP_BITS = 3                # bits of the mantissa in the first digit
-DIGIT_BITS = 16
+TOP_BITS = 10               # bits of the mantissa in the first digit
+DIGIT_BITS = 20             # and in the second
 INFINITE = HIGH + 1
 
 
@@ -48,7 +48,7 @@ def _col(name: str) -> Column:
 
 
 def _digits(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``v``) with the digits d1, d2, d3 of the value, in its order: where
+    """``rows`` (with ``v``) with the digits d1, d2 of the value, in its order: where
     two values differ, the first digit that differs, or else the value itself, says how.
     Scaling by a power of two and taking a floor off are exact for doubles.  NULL ranks
     last and NaN before it, each as a first digit of its own."""
@@ -60,15 +60,12 @@ def _digits(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_sign": F.when(v < 0, -1).otherwise(1), "_power": F.when(plain, power)})
     rows = rows.withColumn("_x", size * F.pow(F.lit(2.0), -F.col("_power")) * F.lit(float(1 << TOP_BITS)))
     rows = rows.withColumn("_y", (F.col("_x") - F.floor("_x")) * step)
-    rows = rows.withColumn("_z", (F.col("_y") - F.floor("_y")) * step)
     top = (F.col("_power") - F.lit(LOW)) * F.lit(2 << TOP_BITS) + F.floor("_x")
     above = F.lit((INFINITE - LOW) * (2 << TOP_BITS))
     top = (F.when(v.isNull(), above + 2).when(F.isnan(v), above + 1)
            .when(plain, top.cast("int") * F.col("_sign")).otherwise(above * F.col("_sign")))
-    none = F.lit(0)
-    return rows.withColumns({
-        "d1": top.cast("int"), "d2": F.coalesce(F.floor("_y").cast("int") * F.col("_sign"), none),
-        "d3": F.coalesce(F.floor("_z").cast("int") * F.col("_sign"), none)}).drop("_sign", "_power", "_x", "_y", "_z")
+    return rows.withColumns({"d1": top.cast("int"), "d2": F.coalesce(F.floor("_y").cast("int") * F.col("_sign"), F.lit(0))}) \
+        .drop("_sign", "_power", "_x", "_y")
 
 
 def _ranked_level(rows: DataFrame, parents: list[str], order: Column) -> DataFrame:
@@ -92,7 +89,7 @@ def _ranked_level(rows: DataFrame, parents: list[str], order: Column) -> DataFra
 def value_ranks(narrow: DataFrame) -> DataFrame:
     """``(g, metric, v, p)`` of the distinct values of ``narrow`` (g, metric, v)."""
     hist = _digits(narrow.groupBy("g", "metric", "v").agg(F.count(F.lit(1)).alias("c")))
-    ranked = _ranked_level(hist, ["g", "metric", "d1", "d2", "d3"], F.col("v").asc_nulls_last())
+    ranked = _ranked_level(hist, ["g", "metric", "d1", "d2"], F.col("v").asc_nulls_last())
     return ranked.select(
         F.col("g").alias("rg"), F.col("metric").alias("rm"), F.col("v").alias("rv"),
         F.when(F.col("n") > 1, F.col("before").cast("double") / (F.col("n") - 1).cast("double")).otherwise(F.lit(0.0)).alias("p"))
