@@ -36,8 +36,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
                if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     if not doubles:
         return df
-    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double"))
-                           for c in doubles})
+    return df.withColumns({c: F.expr(f"nanvl(`{c}`, CAST(NULL AS double))") for c in doubles})
 
 
 def drop_columns(df: DataFrame, columns=DROPPED_COLUMNS) -> DataFrame:

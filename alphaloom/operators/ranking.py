@@ -52,20 +52,17 @@ def _digits(rows: DataFrame) -> DataFrame:
     two values differ, the first digit that differs, or else the value itself, says how.
     Scaling by a power of two and taking a floor off are exact for doubles.  NULL ranks
     last and NaN before it, each as a first digit of its own."""
-    v, size = F.col("v"), F.abs(F.col("v"))
-    power = F.greatest(F.lit(float(LOW)), F.least(F.lit(float(HIGH)), F.floor(F.log2(size))))
-    power = F.when(size > 0, power).otherwise(F.lit(float(LOW)))
-    plain = v.isNotNull() & ~F.isnan(v) & (size < F.lit(float("inf")))
-    step = F.lit(float(1 << DIGIT_BITS))
-    rows = rows.withColumns({"_sign": F.when(v < 0, -1).otherwise(1), "_power": F.when(plain, power)})
-    rows = rows.withColumn("_x", size * F.pow(F.lit(2.0), -F.col("_power")) * F.lit(float(1 << TOP_BITS)))
-    rows = rows.withColumn("_y", (F.col("_x") - F.floor("_x")) * step)
-    top = (F.col("_power") - F.lit(LOW)) * F.lit(2 << TOP_BITS) + F.floor("_x")
-    above = F.lit((INFINITE - LOW) * (2 << TOP_BITS))
-    top = (F.when(v.isNull(), above + 2).when(F.isnan(v), above + 1)
-           .when(plain, top.cast("int") * F.col("_sign")).otherwise(above * F.col("_sign")))
-    return rows.withColumns({"d1": top.cast("int"), "d2": F.coalesce(F.floor("_y").cast("int") * F.col("_sign"), F.lit(0))}) \
-        .drop("_sign", "_power", "_x", "_y")
+    plain = "v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')"
+    above = (INFINITE - LOW) * (2 << TOP_BITS)
+    rows = rows.selectExpr(
+        "*", "CASE WHEN v < 0 THEN -1 ELSE 1 END AS _sign",
+        f"CASE WHEN {plain} THEN CASE WHEN v = 0 THEN {LOW} ELSE greatest({LOW}, least({HIGH}, floor(log2(abs(v))))) END END AS _power")
+    rows = rows.selectExpr("*", f"abs(v) * pow(2D, -_power) * {1 << TOP_BITS}D AS _x")
+    return rows.selectExpr(
+        "g", "metric", "v", "c",
+        f"""CAST(CASE WHEN v IS NULL THEN {above + 2} WHEN isnan(v) THEN {above + 1} WHEN _power IS NULL THEN {above} * _sign
+                 ELSE ((_power - {LOW}) * {2 << TOP_BITS} + floor(_x)) * _sign END AS int) AS d1""",
+        f"coalesce(CAST(floor((_x - floor(_x)) * {1 << DIGIT_BITS}D) AS int) * _sign, 0) AS d2")
 
 
 def _ranked_level(rows: DataFrame, parents: list[str], order: Column) -> DataFrame:
@@ -97,9 +94,9 @@ def value_ranks(narrow: DataFrame) -> DataFrame:
 
 def grouped_percent_rank(df: DataFrame, group: str, specs: list[RankSpec]) -> DataFrame:
     """``df`` with one ``percent_rank`` column per spec, within ``group``."""
-    row = F.struct(*[_col(c) for c in df.columns])
-    cells = F.array(*[F.struct(F.lit(i).alias("metric"), (_col(s.column) if s.ascending else -_col(s.column))
-                               .cast("double").alias("v")) for i, s in enumerate(specs)])
+    row = F.struct(*df.columns) if all("." not in c and "`" not in c for c in df.columns) else F.struct(*map(_col, df.columns))
+    cells = F.expr("array(" + ", ".join(
+        f"named_struct('metric', {i}, 'v', CAST({'' if s.ascending else '-'}`{s.column}` AS double))" for i, s in enumerate(specs)) + ")")
     narrow = df.select(_col(group).alias("g"), F.inline(cells))
     carried = (df.select(_col(group).alias("g"), row.alias("row"), F.monotonically_increasing_id().alias("rid"),
                          cells.alias("cells"))

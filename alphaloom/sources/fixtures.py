@@ -65,9 +65,8 @@ COMPANY_COLUMNS = [
 ]
 
 
-def _metric(key: Column, a: int, b: int, c: int, d: int, m: int) -> Column:
-    return F.when(key % m == 0, F.lit(None).cast("double")).otherwise(
-        ((key * a) % b - c).cast("double") / F.lit(d))
+def _metric(key: str, a: int, b: int, c: int, d: int, m: int) -> Column:
+    return F.expr(f"CASE WHEN {key} % {m} <> 0 THEN CAST(({key} * {a}) % {b} - {c} AS DOUBLE) / {d} END")
 
 
 def companies(spark: SparkSession, base: str) -> DataFrame:
@@ -95,7 +94,7 @@ def companies(spark: SparkSession, base: str) -> DataFrame:
         "next_earnings_date": F.lit(None).cast("date"),
     }
     for name, a, b, c, d, m in COMPANY_METRIC_RULES:
-        cols[name] = _metric(k, a, b, c, d, m)
+        cols[name] = _metric("p_partkey", a, b, c, d, m)
     return p.select(*[cols[c].alias(c) for c in COMPANY_COLUMNS])
 
 
