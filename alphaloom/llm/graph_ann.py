@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product over robust-pruned graphs.
 
-Distinct vectors are dealt to shards by a band of their length and a hash, so the
-lengths within a shard differ by ``BAND`` at most.  Each shard becomes a
+Distinct vectors are dealt to shards by their number of components, a band of their length and a
+hash, so the lengths within a shard differ by ``BAND`` at most.  Each shard becomes a
 directed graph: points are inserted in growing batches, a greedy beam search of
 the graph so far proposes neighbours, and relaxed distance pruning keeps a
 neighbour only if no nearer one already kept is closer to it by the factor
@@ -9,8 +9,12 @@ neighbour only if no nearer one already kept is closer to it by the factor
 coordinate that gives all the same length, which turns the largest inner product into
 the smallest distance; beside a far longer vector the others' differences would vanish
 in rounding, hence the bands.  Graphs work in single precision on vectors scaled by a power of
-two, so no finite length overflows.  Queries search every shard by beam search, all queries
-of a block in lock-step; scores are then computed in double precision on the original vectors.
+two, so no finite length overflows.  Queries search every shard of their number of components by beam
+search, some hundred in lock-step; scores are then computed in double precision on the original vectors.
+
+Shards are as large as a task's memory allows (``SHARD_ROWS``, ``SHARD_BYTES``), because each query visits each.
+Queries travel as blocks of one row; a shard's graph is read once by a task through which
+the blocks stream, and is repeated only as often as tasks would otherwise be idle.
 
 Rows with the same vector are one node.  A node carries its smallest vec_ids, one
 more than the neighbours asked for, which is all that ties to smaller ids can
@@ -19,15 +23,18 @@ need; so thousands of copies neither fill the graph nor hide each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 
-SHARD_ROWS = 8192           # distinct vectors of a shard (expected)
-QUERY_BLOCK = 16384         # queries that search a shard in one task (expected)
+SHARD_ROWS = 65536          # distinct vectors of a shard (expected), fewer where they are long:
+SHARD_BYTES = 64 << 20      # of components in single precision
+QUERY_BLOCK = 512           # queries in a row (expected)
 DEGREE, SLACK = 24, 16      # edges kept when a node is pruned, and room beyond them until it is
 BUILD_BEAM, SEARCH_BEAM = 64, 160
 EXPAND = 4                  # nodes expanded in one step of a search
@@ -35,27 +42,26 @@ RELAX = 1.2
 BAND = 16                   # largest ratio of two lengths in a shard
 LOCKSTEP = 256
 
-INDEX_SCHEMA = "shard bigint, node int, entry boolean, ids array<bigint>, vec array<float>, edges array<int>"
+INDEX_SCHEMA = "shard bigint, node int, entry boolean, ids array<bigint>, vec array<double>, edges array<int>"
+FOUND_SCHEMA = "qrow bigint, query_id bigint, vec_id bigint, score double"
 
 
 def clean_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, vec) of the rows that take part: an id, and a vector of finite
-    components that are not all zero, as long as most vectors are (the longer, if
-    two lengths are equally common).  Of rows that repeat an id the one whose
-    vector has the least hash takes part."""
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    """(row, vec_id, vec) of the rows that take part: an id, and a vector of finite
+    components that are not all zero, of any number.  ``row`` tells rows apart that repeat an id."""
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.where("vec_id IS NOT NULL AND vec IS NOT NULL").where(finite & F.exists("vec", lambda v: v != 0))
-    rows = materialize(rows.groupBy("vec_id").agg(F.min_by("vec", F.xxhash64("vec")).alias("vec")), "ann-rows")
-    lengths = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return rows.where(F.size("vec") == (lengths.d if lengths else 0))
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "ann-rows")
 
 
 def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
-    """(vec, ids): each vector with its ``ids`` smallest vec_ids."""
+    """(vec, ids): each vector with its ``ids`` smallest vec_ids, an id once for each of its rows."""
+    per = rows.groupBy("vec", "vec_id").agg(F.count(F.lit(1)).alias("n"))           # copies are added up before they meet
     first = Window.partitionBy("vec").orderBy("vec_id")
-    few = rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= ids)
-    return few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    few = per.withColumn("at", F.row_number().over(first)).where(F.col("at") <= ids)
+    few = few.withColumn("own", F.array_repeat("vec_id", F.least(F.col("n"), F.lit(ids)).cast("int")))
+    return few.groupBy("vec").agg(F.slice(F.sort_array(F.flatten(F.collect_list("own"))), 1, ids).alias("ids"))
 
 
 def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> np.ndarray:
@@ -181,25 +187,29 @@ def as_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def banded(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with their shard.  Each band of lengths has shards of its own; a
-    length of 1 lies in the middle of one.  One row per band comes to the driver."""
-    square = F.aggregate("vec", F.lit(0.0), lambda total, v: total + v.cast("double") * v.cast("double"))
-    width = 2 * np.log2(BAND)
-    nodes = nodes.withColumn("band", F.floor((F.log2(square) + F.lit(width / 2)) / F.lit(width)))
-    found = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).orderBy("band").collect()
-    plan, first = [], 0
+def banded(nodes: DataFrame) -> tuple[DataFrame, dict[int, list[int]]]:
+    """``nodes`` with their shard, and the shards of each number of components.  Each band of lengths has
+    shards of its own; a length of 1 lies in the middle of one.  One row per band comes to the driver."""
+    largest = F.array_max(F.transform("vec", F.abs))
+    square = F.aggregate("vec", F.lit(0.0), lambda total, v: total + (v / F.col("largest")) * (v / F.col("largest")))
+    nodes = nodes.withColumn("largest", largest).withColumn("length", F.log2("largest") + F.log2(square) / 2)
+    width = float(np.log2(BAND))
+    nodes = nodes.withColumns({"d": F.size("vec"), "band": F.floor(F.col("length") / F.lit(width) + F.lit(0.5))})
+    found = nodes.groupBy("d", "band").agg(F.count(F.lit(1)).alias("n")).orderBy("d", "band").collect()
+    plan, first, by = [], 0, {}
     for r in found:
-        shards = -(-r["n"] // SHARD_ROWS)
-        plan.append((r["band"], first, shards))
+        shards = -(-r["n"] // max(1, min(SHARD_ROWS, SHARD_BYTES // (4 * r["d"]))))
+        plan.append((r["d"], r["band"], first, shards))
+        by.setdefault(r["d"], []).extend(range(first, first + shards))
         first += shards
-    plan = nodes.sparkSession.createDataFrame(plan, "band bigint, first bigint, shards bigint")
-    own = F.col("first") + F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("shards"))
-    return nodes.join(F.broadcast(plan), "band").select("vec", "ids", own.alias("shard"))
+    plan = nodes.sparkSession.createDataFrame(plan, "d int, band bigint, first bigint, shards bigint")
+    own = F.col("first") + F.pmod(F.xxhash64(F.element_at("ids", 1), F.col("vec")), F.col("shards"))
+    return nodes.join(F.broadcast(plan), ["d", "band"]).select("vec", "ids", own.alias("shard")), by
 
 
-def build_index(nodes: DataFrame) -> DataFrame:
-    """Graph rows (shard, node, entry, ids, vec, edges) of distinct vectors."""
+def build_index(nodes: DataFrame) -> tuple[DataFrame, dict[int, list[int]]]:
+    """Graph rows (INDEX_SCHEMA) of distinct vectors, and the shards of each number of components."""
+    dealt, by = banded(nodes)
 
     def build(group: pa.Table) -> pa.Table:
         graph, entry = build_graph(as_matrix(group.column("vec")))
@@ -208,53 +218,89 @@ def build_index(nodes: DataFrame) -> DataFrame:
         return pa.table({"shard": group.column("shard"), "node": pa.array(np.arange(n, dtype=np.int32)),
                          "entry": pa.array(np.arange(n) == entry), "ids": group.column("ids"),
                          "vec": group.column("vec"), "edges": edges})
-    return materialize(banded(nodes).groupBy("shard").applyInArrow(build, INDEX_SCHEMA), "ann-index")
+    return materialize(dealt.groupBy("shard").applyInArrow(build, INDEX_SCHEMA), "ann-index"), by
 
 
-def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) for queries (vec_id, vec)."""
-    spare = k + 1                       # the query's own node may be among the best
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+class Shard:
+    """One graph, read from its rows, and how queries search it."""
 
-    def run(graph_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-        if not len(graph_rows) or not len(query_rows):
-            return pa.table(empty)
-        place = np.argsort(graph_rows.column("node").to_numpy())
-        graph_rows = graph_rows.take(pa.array(place))
-        vectors = as_matrix(graph_rows.column("vec"))
-        lists = graph_rows.column("edges").combine_chunks()
+    def __init__(self, rows: pa.Table):
+        rows = rows.take(pa.array(np.argsort(rows.column("node").to_numpy())))
+        self.vectors = as_matrix(rows.column("vec"))
+        self.near = scaled(self.vectors).astype(np.float32)
+        lists = rows.column("edges").combine_chunks()
         sizes = np.diff(lists.offsets.to_numpy())
-        graph = np.full((len(vectors), max(int(sizes.max()), 1)), -1, np.int64)
-        graph[np.arange(graph.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
-        entry = int(np.flatnonzero(graph_rows.column("entry").to_numpy())[0])
-        members = graph_rows.column("ids").to_pylist()
-        q_ids, q = query_rows.column("vec_id").to_numpy(), as_matrix(query_rows.column("vec"))
-        out_q, out_v, out_s = [], [], []
-        exact = vectors.astype(np.float64)
-        near = scaled(vectors).astype(np.float32)
+        self.graph = np.full((len(self.vectors), max(int(sizes.max()), 1)), -1, np.int64)
+        self.graph[np.arange(self.graph.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
+        self.entry = int(np.flatnonzero(rows.column("entry").to_numpy())[0])
+        self.members = rows.column("ids").combine_chunks()
+
+    def nearest(self, q_rows: list[int], q_ids: list[int], q: np.ndarray, k: int) -> Iterator[tuple]:
+        """(qrow, query_id, vec_id, score) of the best ``k`` for each query.  A query
+        leaves out one row of its id at its own vector: itself."""
+        spare = k + 1
         for at in range(0, len(q), LOCKSTEP):
             part = q[at:at + LOCKSTEP]
             asked_for = np.concatenate([scaled(v) for v in part[:, None]]).astype(np.float32)
-            found = beam_search(near, graph, entry, asked_for, SEARCH_BEAM)
-            for query, own, hits in zip(part.astype(np.float64), q_ids[at:at + LOCKSTEP], found):
+            found = beam_search(self.near, self.graph, self.entry, asked_for, SEARCH_BEAM)
+            for row, own, query, hits in zip(q_rows[at:at + LOCKSTEP], q_ids[at:at + LOCKSTEP], part, found):
                 hits = hits[hits >= 0]
-                scores = np.array([query @ exact[h] for h in hits])
-                best = np.argsort(-scores, kind="stable")
-                pairs = [(-scores[h], v) for h in best[:spare + 8] for v in members[hits[h]] if v != own]
+                scores = np.array([query @ self.vectors[h] for h in hits])
+                pairs = []
+                for h in np.argsort(-scores, kind="stable")[:spare + 8]:
+                    ids = self.members[int(hits[h])].as_py()
+                    if own in ids and (self.vectors[hits[h]] == query).all():
+                        ids.remove(own)
+                    pairs += [(-scores[h], v) for v in ids]
                 for s, v in sorted(pairs)[:k]:
-                    out_q.append(own)
-                    out_v.append(v)
-                    out_s.append(-s)
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()),
-                         "score": pa.array(out_s, pa.float64())})
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    last = index.agg(F.max("shard")).first()[0] or 0
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))))
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    found = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(
-        run, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                    yield row, own, v, -s
+
+
+def search(index: DataFrame, shards: dict[int, list[int]], queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) for query rows (row, vec_id, vec)."""
+    spark = index.sparkSession
+    total = sum(map(len, shards.values()))
+    schema = "query_id bigint, rank int, vec_id bigint, score double"
+    if not total:
+        return spark.createDataFrame([], schema)
+    copies = max(1, -(-shuffle_partitions(spark) // total))     # of a graph, so that no task is idle
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    packed = queries.withColumns({"d": F.size("vec"), "block": F.pmod(F.xxhash64("row"), F.lit(max(blocks, copies)))}) \
+        .groupBy("d", "block").agg(F.collect_list(F.struct("row", "vec_id", "vec")).alias("asked"))
+    plan = spark.createDataFrame(list(shards.items()), "d int, own array<bigint>")
+    asked = packed.join(F.broadcast(plan), "d").select(
+        F.explode("own").alias("shard"), F.pmod(F.col("block"), F.lit(copies)).cast("int").alias("copy"), F.lit(1).alias("kind"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in INDEX_SCHEMA.split(", ")[1:])], "asked")
+    graphs = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"),
+                          "node", "entry", "ids", "vec", "edges", F.lit(None).cast(packed.schema["asked"].dataType).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, shard = None, [], None
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
+            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if start == stop:
+                    continue
+                piece, here, kind = batch.slice(start, stop - start), tuple(place[:2, start]), place[2, start]
+                if here != now:
+                    now, parts, shard = here, [], None
+                if kind == 0:
+                    parts.append(piece)
+                    continue
+                if shard is None:
+                    shard, parts = Shard(pa.Table.from_batches(parts)), []
+                for asked in piece.column(8):
+                    own = asked.values
+                    vectors = own.field("vec")
+                    q = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+                    got = list(shard.nearest(own.field("row").to_pylist(), own.field("vec_id").to_pylist(), q, k))
+                    cols = list(zip(*got)) or [(), (), (), ()]
+                    yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
+                                           pa.array(cols[3], pa.float64())], names=["qrow", "query_id", "vec_id", "score"])
+    dealt = graphs.unionByName(asked).repartitionById(total * copies, (F.col("shard") * copies + F.col("copy")).cast("int"))
+    found = dealt.sortWithinPartitions("shard", "copy", "kind").mapInArrow(run, FOUND_SCHEMA)
+    best = Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
@@ -263,10 +309,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The ``k`` nearest found of each query (rows whose vec_id is divisible by
     ``every``) among all other rows, ties to the smaller vec_id.
 
-    Rows without an id, and vectors that are null, zero, hold null or non-finite
-    components, or have another length than most, take no part.  Of rows that
-    repeat an id one takes part.  Other columns are ignored; with fewer than
-    ``k`` candidates all are returned; an empty table gives no rows."""
-    rows = materialize(clean_vectors(vectors), "ann-clean")
-    index = build_index(materialize(distinct_vectors(rows, k + 1), "ann-nodes"))
-    return search(index, rows.where(F.col("vec_id") % F.lit(every) == 0), k)
+    Rows without an id, and vectors that are null, empty, zero, or hold null or non-finite
+    components, take no part.  Vectors of different numbers of components have no inner product: each number
+    is searched by itself.  Rows that repeat an id are rows each, as queries and as
+    candidates.  Other columns are ignored; with fewer than ``k`` candidates all are returned; an empty table
+    gives no rows."""
+    rows = clean_vectors(vectors)
+    index, shards = build_index(materialize(distinct_vectors(rows, k + 1), "ann-nodes"))
+    return search(index, shards, rows.where(F.col("vec_id") % F.lit(every) == 0), k)
