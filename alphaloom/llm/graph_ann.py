@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
 
-SHARD_ROWS = 65536          # distinct vectors of a shard (expected), fewer where they are long:
+SHARD_ROWS = 32768          # distinct vectors of a shard (expected), fewer where they are long:
 SHARD_BYTES = 64 << 20      # of components in single precision
 QUERY_BLOCK = 512           # queries in a row (expected)
 DEGREE, SLACK = 24, 16      # edges kept when a node is pruned, and room beyond them until it is
@@ -190,11 +190,14 @@ def as_matrix(column: pa.ChunkedArray) -> np.ndarray:
 def banded(nodes: DataFrame) -> tuple[DataFrame, dict[int, list[int]]]:
     """``nodes`` with their shard, and the shards of each number of components.  Each band of lengths has
     shards of its own; a length of 1 lies in the middle of one.  One row per band comes to the driver."""
-    largest = F.array_max(F.transform("vec", F.abs))
-    square = F.aggregate("vec", F.lit(0.0), lambda total, v: total + (v / F.col("largest")) * (v / F.col("largest")))
-    nodes = nodes.withColumn("largest", largest).withColumn("length", F.log2("largest") + F.log2(square) / 2)
+    def log_length(largest):
+        square = F.aggregate("vec", F.lit(0.0), lambda total, v: total + (v / largest) * (v / largest))
+        return F.log2(largest) + F.log2(square) / 2
+    largest = F.array_max(F.transform("vec", lambda v: F.abs(v)))
+    length = F.get(F.transform(F.array(largest), log_length), F.lit(0))      # the largest is found once for a row
     width = float(np.log2(BAND))
-    nodes = nodes.withColumns({"d": F.size("vec"), "band": F.floor(F.col("length") / F.lit(width) + F.lit(0.5))})
+    nodes = nodes.withColumns({"d": F.size("vec"), "band": F.floor(length / F.lit(width) + F.lit(0.5))})
+    nodes = materialize(nodes, "ann-bands")
     found = nodes.groupBy("d", "band").agg(F.count(F.lit(1)).alias("n")).orderBy("d", "band").collect()
     plan, first, by = [], 0, {}
     for r in found:
@@ -263,9 +266,9 @@ def search(index: DataFrame, shards: dict[int, list[int]], queries: DataFrame, k
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    copies = max(1, -(-shuffle_partitions(spark) // total))     # of a graph, so that no task is idle
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    packed = queries.withColumns({"d": F.size("vec"), "block": F.pmod(F.xxhash64("row"), F.lit(max(blocks, copies)))}) \
+    copies = min(-(-shuffle_partitions(spark) // total), blocks)    # of a graph, so that no task is idle
+    packed = queries.withColumns({"d": F.size("vec"), "block": F.pmod(F.xxhash64("row"), F.lit(blocks))}) \
         .groupBy("d", "block").agg(F.collect_list(F.struct("row", "vec_id", "vec")).alias("asked"))
     plan = spark.createDataFrame(list(shards.items()), "d int, own array<bigint>")
     asked = packed.join(F.broadcast(plan), "d").select(
@@ -315,5 +318,5 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     candidates.  Other columns are ignored; with fewer than ``k`` candidates all are returned; an empty table
     gives no rows."""
     rows = clean_vectors(vectors)
-    index, shards = build_index(materialize(distinct_vectors(rows, k + 1), "ann-nodes"))
+    index, shards = build_index(distinct_vectors(rows, k + 1))
     return search(index, shards, rows.where(F.col("vec_id") % F.lit(every) == 0), k)
