@@ -1,17 +1,17 @@
 """Toxicity by weak supervision.
 
-Voters: the annotator (the label of a training row), a fixed word list, lexicons of
-whole words and word beginnings found on labelled training rows (each on one of two
-halves), patterns, and voters against.  A
-generative label model takes the votes only: given the hidden label each voter has
+Labelled training rows are split in FOLDS parts.  The rows outside a part give lexicons, of whole words and of
+word beginnings, that vote on the rows of the part; a fixed word list, patterns
+and voters against vote too.  A row's own label is no vote and builds none of the voters that vote on it.
+A generative label model takes the votes only: given the hidden label each voter has
 its probabilities of voting (its accuracy), and the voters have correlations; both
-are estimated by expectation-maximisation, and voters that repeat each other are
+are estimated by expectation-maximisation from the voters' majority, and voters that repeat each other are
 not counted twice.  Its posterior labels train a linear classifier on the
-occurring terms, which scores every whole text.
+occurring terms, which scores every whole text; a wrong label among many right ones so has little say.
 
 The model is fitted on a bounded sample of labelled training rows
-(``SAMPLE``); terms are counted by Spark, and only the selected terms and the
-sample's votes and term numbers come to the driver.  Scoring is one map.
+(``SAMPLE``).  Terms and votes are counted by Spark: what comes to the driver are the selected terms, one
+row per vote pattern, and the sample's term numbers, each once per row, as packed arrays.  Scoring is one map.
 """
 
 from __future__ import annotations
@@ -29,13 +29,16 @@ from pyspark.sql import functions as F
 from .common import held_out, materialize, text_of
 
 SAMPLE = {0: 14000, 1: 7000}    # labelled rows of each class the model is fitted on, at most (expected)
-MAX_TERMS = 20000               # terms of the classifier
-MIN_DOCS = 3                    # toxic sample rows a term needs
+MIN_DOCS = 3                    # toxic sample rows a term of the classifier needs
+LEXICON_DOCS = 5                # and a term of a lexicon
 MIN_RATIO = 4.0                 # of a term's rates in toxic and clean rows
-PURE = 0.9                      # balanced precision of a lexicon's terms
+PURE = 0.9                      # precision of a lexicon's terms, were both labels equally common
+COMMON = 0.02                   # part of the toxic rows that a lexicon's term is in
 PREFIXES = (3, 4, 5, 6)
 KINDS = (0, *PREFIXES)          # 0: whole word
-ANNOTATOR = 0.995               # accuracy taken for the labels themselves
+RECURS = 100                    # added to a length: the beginning of two words or more of the row
+ALL_KINDS = (*KINDS, *(RECURS + k for k in PREFIXES))
+FOLDS = 4                       # parts of the sample: the rows outside one build the lexicons that vote on it
 EM_STEPS, FIT_STEPS, RIDGE = 60, 1500, 1e-5
 
 # A short list of common English insults.
@@ -52,10 +55,11 @@ def words_of(text: str) -> set[str]:
 
 
 def terms_of(words: set[str]) -> set[tuple[int, str]]:
-    """(kind, term): each word, and its beginning where the word is longer."""
+    """(kind, term): each word, its beginning where the word is longer, and a beginning that recurs."""
     out = {(0, w) for w in words}
     for k in PREFIXES:
-        out |= {(k, w[:k]) for w in words if len(w) > k}
+        begun = Counter(w[:k] for w in words if len(w) > k)
+        out |= {(k, p) for p in begun} | {(RECURS + k, p) for p, n in begun.items() if n > 1}
     return out
 
 
@@ -68,7 +72,7 @@ def pattern_votes(text: str, words: set[str]) -> list[int]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, label, half, text) of sampled training rows, and the number of
+    """(doc_id, label, fold, text) of sampled training rows, and the number of
     all training ids by label (repeated label rows count once).  The sampled ids number about sum(SAMPLE) at
     most, so the join broadcasts them."""
     rows = labels.where(~held_out(5, 0) & F.col("toxic").isin(0, 1)).select(
@@ -80,37 +84,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict
     mixed = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
     picked = rows.where(mixed < share)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    half = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2)).cast("int")
-    found = own.join(F.broadcast(picked), "doc_id").select("doc_id", "label", half.alias("half"), "text")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(FOLDS)).cast("int")
+    found = own.join(F.broadcast(picked), "doc_id").select("doc_id", "label", fold.alias("fold"), "text")
     return materialize(found.dropDuplicates(["text", "label"]), "toxic-sample"), counts
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
-    """(kind, term, n00, n01, n10, n11): sample rows with the term by half and label."""
-    names = ["n00", "n01", "n10", "n11"]
+    """(kind, term, n): sample rows with the term, by 2 * fold + label."""
+    names = [f"n{x}" for x in range(2 * FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 tallies = [Counter() for _ in names]
-                for label, half, text in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    tallies[2 * half + label].update(terms_of(words_of(text)))
+                for label, fold, text in zip(*(part.column(c).to_pylist() for c in range(3))):
+                    tallies[2 * fold + label].update(terms_of(words_of(text)))
                 every = list(set().union(*tallies))
                 yield pa.record_batch([pa.array([k for k, _ in every], pa.int32()), pa.array([t for _, t in every], pa.string()),
                                        *(pa.array([t[x] for x in every], pa.int64()) for t in tallies)],
                                       names=["kind", "term", *names])
-    rows = sample.select("label", "half", "text").mapInArrow(
-        run, "kind int, term string, n00 bigint, n01 bigint, n10 bigint, n11 bigint")
-    return rows.groupBy("kind", "term").agg(*(F.sum(c).alias(c) for c in names))
+    rows = sample.select("label", "fold", "text").mapInArrow(run, "kind int, term string, " + ", ".join(f"{c} bigint" for c in names))
+    return rows.groupBy("kind", "term").agg(F.array(*(F.sum(c) for c in names)).alias("n"))
 
 
 def select_terms(counts: DataFrame, clean: int, toxic: int) -> list:
-    """The terms most telling of toxic rows, at most MAX_TERMS."""
-    n0, n1 = F.col("n00") + F.col("n10"), F.col("n01") + F.col("n11")
+    """All terms that tell of toxic rows: in MIN_DOCS of them, and MIN_RATIO times as frequent there."""
+    n0, n1 = (sum((F.get("n", F.lit(x)) for x in range(y, 2 * FOLDS, 2)), F.lit(0)) for y in (0, 1))
     ratio = (n1 / F.lit(float(max(toxic, 1)))) / ((n0 + 0.5) / F.lit(float(max(clean, 1))))
-    strong = counts.where((n1 >= MIN_DOCS) & (ratio >= MIN_RATIO)).withColumn("weight", n1 * F.log(ratio))
-    return strong.orderBy(F.desc("weight"), "kind", "term").limit(MAX_TERMS).collect()
+    return counts.where((n1 >= MIN_DOCS) & (ratio >= MIN_RATIO)).orderBy("kind", "term").collect()
 
 
 @dataclass
@@ -136,45 +138,67 @@ class Terms:
         return sorted(found)
 
 
-def sample_rows(sample: DataFrame, terms: Terms) -> list:
-    """(label, numbers, votes) of the sample, without texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            words = [words_of(t) for t in texts]
-            yield pa.record_batch([pa.array(labels, pa.int32()),
-                                   pa.array([terms.numbers(w) for w in words], pa.list_(pa.int32())),
-                                   pa.array([pattern_votes(t, w) for t, w in zip(texts, words)], pa.list_(pa.int32()))],
-                                  names=["label", "numbers", "votes"])
-    return sample.select("label", "text").mapInArrow(run, "label int, numbers array<int>, votes array<int>").collect()
-
-
-def lexicon_voters(rows) -> list[set[int]]:
-    """Term numbers of one lexicon for each kind and half: terms seen in
-    MIN_DOCS toxic rows of that half, pure there in both classes' rates."""
-    totals = np.array([[r.n00, r.n01, r.n10, r.n11] for r in rows], float).reshape(-1, 4)
-    kinds = np.array([r.kind for r in rows])
-    out = []
-    for k in KINDS:
-        for half in (0, 1):
-            clean, toxic = totals[:, 2 * half], totals[:, 2 * half + 1]
-            good = (kinds == k) & (toxic >= MIN_DOCS) & (toxic / np.maximum(clean * PURE / (1 - PURE) / 9 + toxic, 1) >= PURE)
-            out.append(set(np.flatnonzero(good).tolist()))
+def lexicons_of(rows, sizes: np.ndarray) -> list[dict[int, set[str]]]:
+    """For each fold the lexicon of the rows outside it, by kind: the terms in LEXICON_DOCS and the part COMMON
+    of their toxic rows (a rarer term may be there by chance) that are pure there, one clean row more
+    counted.  ``sizes`` are the rows by fold and label."""
+    totals = np.array([r.n for r in rows], float).reshape(-1, FOLDS, 2)
+    totals, sizes = totals.sum(axis=1, keepdims=True) - totals, sizes.sum(axis=0) - sizes
+    rates = (totals + [1.0, 0.0]) / np.maximum(sizes, 1)
+    pure = rates[:, :, 1] / rates.sum(axis=2) >= PURE
+    good = pure & (totals[:, :, 1] >= np.maximum(LEXICON_DOCS, COMMON * sizes[:, 1]))
+    out = [{k: set() for k in ALL_KINDS} for _ in range(FOLDS)]
+    for r, folds in zip(rows, good.tolist()):
+        for fold in range(FOLDS):
+            if folds[fold]:
+                out[fold][r.kind].add(r.term)
     return out
 
 
-def vote_matrix(rows, lexicons: list[set[int]], n_terms: int) -> np.ndarray:
-    """Votes of all voters.  The first is the training row's own label, an
-    annotator's vote of fixed accuracy; lexicons and patterns vote 1 or abstain; one voter votes -1 where no lexicon has a term, one where no selected term occurs."""
-    flags = np.zeros((n_terms + 1, len(lexicons)), bool)
-    for j, lexicon in enumerate(lexicons):
-        flags[list(lexicon), j] = True
-    votes = []
-    for r in rows:
-        hits = flags[r.numbers].any(axis=0) if r.numbers else np.zeros(len(lexicons), bool)
-        against = [-int(not hits.any() and not r.votes[0]), -int(not r.numbers and not r.votes[0])]
-        votes.append([2 * r.label - 1, *hits.astype(int), *r.votes, *against])
-    return np.array(votes, float)
+def votes_of(words: set[str], patterns: list[int], lexicon: dict[int, set[str]]) -> list[int]:
+    """All votes on a row, given the lexicon of the rows outside its fold: whether one, two and three of its words are
+    in it, whole, by five or six letters, or by a beginning that recurs; whether two are by their
+    whole, and two by each length of beginning; whether a beginning that recurs is; the
+    patterns; and against (-1) where no word is in it or in the fixed list, and where at most one is."""
+    whole = words & lexicon[0]
+    begun = [{w for w in words if len(w) > k and w[:k] in lexicon[k]} if lexicon[k] else set() for k in PREFIXES]
+    again = set()
+    for k in PREFIXES[1:]:
+        many = Counter(w[:k] for w in words if len(w) > k) if lexicon[RECURS + k] else {}
+        hit = {p for p, n in many.items() if n > 1 and p in lexicon[RECURS + k]}
+        again |= {w for w in words if len(w) > k and w[:k] in hit}
+    found = len(whole.union(again, *begun[2:]))
+    return [int(found >= 1), int(found >= 2), int(found >= 3), int(len(whole) > 1), *(int(len(b) > 1) for b in begun), int(bool(again)),
+            *patterns, -int(found == 0 and not patterns[0]), -int(found <= 1 and not patterns[0])]
+
+
+def voted_rows(sample: DataFrame, terms: Terms, lexicons: list[dict[int, set[str]]]) -> DataFrame:
+    """The written sample without texts: label, votes (as text), and the row's term numbers with
+    how often each counts, packed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, folds, texts = (batch.column(c).to_pylist() for c in range(3))
+            words = [words_of(t) for t in texts]
+            numbers = [terms.numbers(w) for w in words]
+            fixed = [pattern_votes(t, w) for t, w in zip(texts, words)]
+            votes = [",".join(map(str, votes_of(w, f, lexicons[x]))) for w, f, x in zip(words, fixed, folds)]
+            tallies = [np.unique(np.array(n, np.int32), return_counts=True) for n in numbers]
+            yield pa.record_batch([pa.array(labels, pa.int32()), pa.array(votes, pa.string()), pa.array([f[0] for f in fixed], pa.int32()),
+                                   pa.array([n.astype("<i4").tobytes() for n, _ in tallies], pa.binary()),
+                                   pa.array([c.astype("<i4").tobytes() for _, c in tallies], pa.binary())],
+                                  names=["label", "votes", "insult", "numbers", "times"])
+    rows = sample.select("label", "fold", "text").mapInArrow(run, "label int, votes string, insult int, numbers binary, times binary")
+    return materialize(rows, "toxic-votes")
+
+
+def vote_patterns(voted: DataFrame, weight: dict[int, float]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(pattern, its votes, its weight) of every vote pattern; the weight is the number of training rows
+    that the sample's rows with it stand for."""
+    found = {}
+    for r in voted.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        found[r.votes] = found.get(r.votes, 0.0) + r.n * weight[r.label]
+    names = sorted(found)
+    return names, np.array([list(map(int, v.split(","))) for v in names], float), np.array([found[v] for v in names])
 
 
 @dataclass
@@ -194,6 +218,12 @@ class LabelModel:
         odds = np.log(self.prior / (1 - self.prior)) + evidence @ share
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
+    def likelihood(self, votes: np.ndarray) -> np.ndarray:
+        """Log-likelihood of vote patterns, every voter counted in full."""
+        at, voter = votes.astype(int) + 1, np.arange(votes.shape[1])
+        by = [np.log(p) + np.log(t[voter, at]).sum(axis=1) for p, t in zip((1 - self.prior, self.prior), self.tables)]
+        return np.logaddexp(*by)
+
     def accuracies(self) -> np.ndarray:
         """How often a voter that does not abstain agrees with the hidden label."""
         right = self.prior * self.tables[1][:, 2] + (1 - self.prior) * self.tables[0][:, 0]
@@ -202,23 +232,31 @@ class LabelModel:
 
 
 def fit_label_model(votes: np.ndarray, weights: np.ndarray) -> tuple[LabelModel, np.ndarray]:
-    """Expectation-maximisation, started at the first voter (the annotator)."""
-    n, m = votes.shape
-    weights = weights * n / weights.sum()
-    q = np.where(votes[:, 0] > 0, 0.95, 0.05)
+    """Expectation-maximisation over vote patterns and their weights.  It starts at the
+    majority (a pattern is taken for toxic if more voters are for it than against), once with every voter
+    and once with copies of a voter counted once; the likelier end is the result."""
+    total = weights.sum()
+    d = votes - weights @ votes / total
+    together = (d * weights[:, None]).T @ d / total + 1e-6 * np.eye(votes.shape[1])
+    spread = np.sqrt(np.diag(together))
+    copies = (together / np.outer(spread, spread) > 0.99).sum(axis=1)
+    ends = [_maximise(votes, weights, np.where(votes @ count > 0, 0.95, 0.05)) for count in (np.ones(len(copies)), 1 / copies)]
+    return max(ends, key=lambda end: float(weights @ end[0].likelihood(votes)))
+
+
+def _maximise(votes: np.ndarray, weights: np.ndarray, q: np.ndarray) -> tuple[LabelModel, np.ndarray]:
+    total, m = weights.sum(), votes.shape[1]
     one_hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     for _ in range(EM_STEPS):
-        prior = float(np.clip((weights * q).sum() / n, 1e-3, 1 - 1e-3))
+        prior = float(np.clip((weights * q).sum() / total, 1e-3, 1 - 1e-3))
         tables, scatter = [], np.zeros((m, m))
         for share in (1 - q, q):
             w = weights * share
             seen = np.einsum("i,ijk->jk", w, one_hot) + 0.5
             tables.append(seen / seen.sum(axis=1, keepdims=True))
-            tables[-1][0] = (ANNOTATOR, 1e-6, 1 - ANNOTATOR) if len(tables) == 1 else (1 - ANNOTATOR, 1e-6, ANNOTATOR)
             d = votes - (w @ votes) / max(w.sum(), 1e-9)
             scatter += (d * w[:, None]).T @ d
-        scatter = scatter / n + 1e-6 * np.eye(m)
-        scatter[0, 1:] = scatter[1:, 0] = 0         # the annotator is taken as independent given the label
+        scatter = scatter / total + 1e-6 * np.eye(m)
         spread = np.sqrt(np.diag(scatter))
         model = LabelModel(prior, np.array(tables), scatter / np.outer(spread, spread))
         new = model.posterior(votes)
@@ -244,40 +282,75 @@ class Linear:
 
 def fit_linear(rows, posterior: np.ndarray, weights: np.ndarray, terms: Terms, n_terms: int) -> Linear:
     """Logistic regression on posterior labels (cross-entropy with a ridge), by
-    accelerated gradient steps over the sample's term numbers."""
-    lists = [[*r.numbers, n_terms + 1] + ([n_terms] if r.votes[0] else []) for r in rows]
-    sizes = np.array([len(x) for x in lists])
-    columns = np.concatenate([np.array(x, np.int64) for x in lists])
+    accelerated gradient steps over the sample's term numbers (rows: insult, numbers, times)."""
+    numbers = [np.frombuffer(r.numbers, "<i4") for r in rows]
+    extra = [np.array([n_terms + 1, n_terms][:1 + r.insult], np.int64) for r in rows]
+    sizes = np.array([len(n) + len(e) for n, e in zip(numbers, extra)])
+    columns = np.concatenate([x.astype(np.int64) for pair in zip(numbers, extra) for x in pair])
+    times = np.concatenate([x for r, e in zip(rows, extra) for x in (np.frombuffer(r.times, "<i4"), np.ones(len(e), np.int32))]).astype(float)
     doc = np.repeat(np.arange(len(rows)), sizes)
     share = weights / weights.sum()
-    curvature = 0.25 * np.bincount(doc, weights=(share[doc] * sizes[doc])).sum() + RIDGE
+    length = np.bincount(doc, weights=times, minlength=len(rows))
+    curvature = 0.25 * (share * length * np.bincount(doc, weights=times, minlength=len(rows))).sum() + RIDGE
+    curvature = min(curvature, 0.25 * float((share[doc] * times * times.max() * sizes[doc]).sum()) + RIDGE)
     w = np.zeros(n_terms + 2)
     y, t, step = w, 1.0, 1.0 / curvature
     for _ in range(FIT_STEPS):
-        odds = np.bincount(doc, weights=y[columns], minlength=len(rows))
+        odds = np.bincount(doc, weights=y[columns] * times, minlength=len(rows))
         miss = share * (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - posterior)
         ridge = RIDGE * y
         ridge[-1] = 0
-        nxt = y - step * (np.bincount(columns, weights=miss[doc], minlength=len(w)) + ridge)
+        nxt = y - step * (np.bincount(columns, weights=miss[doc] * times, minlength=len(w)) + ridge)
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, w, t = nxt + (t - 1) / t2 * (nxt - w), nxt, t2
     return Linear(terms, w[:n_terms], float(w[n_terms]), float(w[n_terms + 1]))
 
 
+@dataclass
+class Fitted:
+    """What ``fitted`` learns from: the classifier's rows, their posteriors and labels, and the label model."""
+    rows: list
+    posterior: np.ndarray
+    labels: np.ndarray
+    weights: np.ndarray
+    terms: Terms
+    n_terms: int
+    model: LabelModel
+
+    def linear(self, targets: np.ndarray | None = None) -> Linear:
+        return fit_linear(self.rows, self.posterior if targets is None else targets, self.weights, self.terms, self.n_terms)
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Fitted | None:
+    """The label model and the rows for the classifier; None without sampled rows of both classes."""
+    sample, counts = labelled_sample(docs, labels)
+    sizes = np.zeros((FOLDS, 2))
+    for r in sample.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r.fold, r.label] = r.n
+    clean, toxic = sizes.sum(axis=0)
+    if not clean or not toxic:
+        return None
+    chosen = select_terms(term_counts(sample), clean, toxic)
+    lexicons = lexicons_of(chosen, sizes)
+    chosen = [r for r in chosen if r.kind in KINDS]         # the classifier counts a beginning for each word anyway
+    terms = Terms.of(chosen)
+    voted = voted_rows(sample, terms, lexicons)
+    weight = {0: counts[0] / clean, 1: counts[1] / toxic}
+    names, votes, weights = vote_patterns(voted, weight)
+    model, q = fit_label_model(votes, weights)
+    by = dict(zip(names, q))
+    rows = voted.collect()
+    return Fitted(rows, np.array([by[r.votes] for r in rows]), np.array([float(r.label) for r in rows]),
+                  np.array([weight[r.label] for r in rows]), terms, len(chosen), model)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Linear:
     """The classifier for ``labels.toxic``.  Without sampled rows of both classes
     it is the fixed list alone (0.9 with one of its words, else 0.1)."""
-    sample, counts = labelled_sample(docs, labels)
-    sampled = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sampled) < 2:
+    found = fitted(docs, labels)
+    if found is None:
         return Linear(Terms.of([]), np.zeros(1), 2 * np.log(9.0), -np.log(9.0))
-    chosen = select_terms(term_counts(sample), sampled[0], sampled[1])
-    terms = Terms.of(chosen)
-    rows = sample_rows(sample, terms)
-    weights = np.array([counts[r.label] / sampled[r.label] for r in rows])
-    votes = vote_matrix(rows, lexicon_voters(chosen), len(chosen))
-    _, posterior = fit_label_model(votes, weights)
-    return fit_linear(rows, posterior, weights, terms, len(chosen))
+    return found.linear()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -107,3 +107,83 @@ def test_label_model_recovers_accuracies_and_discounts_copies():
     assert np.mean((q > 0.5) == y) > 0.98
     assert abs(model.tables[1][1, 2] - 0.9) < 0.05 and abs(model.tables[0][1, 2] - 0.02) < 0.02
     assert np.allclose(model.correlations[3, 4:], 1, atol=0.01) and abs(model.correlations[1, 2]) < 0.1
+
+
+def noisy_labels(labels, share):
+    from pyspark.sql import functions as F
+    flip = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1000)) < int(share * 1000)
+    return labels.withColumn("toxic", F.when(flip, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+
+
+def test_posteriors_come_from_the_voters_and_mend_wrong_labels(spark):
+    """With a tenth of the labels flipped, the posteriors side with the truth, and the classifier trained on them
+    beats the same classifier trained on the labels."""
+    from alphaloom.llm import toxicity
+    from alphaloom.llm.common import held_out
+    folder = SF_CHECK.replace("0.01", "0.1")
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    found = toxicity.fitted(docs, noisy_labels(labels, 0.1))
+    differ = (found.posterior >= 0.5) != (found.labels >= 0.5)
+    assert differ.mean() > 0.05
+    test = [(truth[r.doc_id], r.text) for r in docs.where(held_out(5, 0)).collect() if r.doc_id in truth]
+    y = np.array([t for t, _ in test])
+    own, raw = (np.array([m.score(t) >= 0.5 for _, t in test]) for m in (found.linear(), found.linear(found.labels)))
+    assert (own != raw).any()
+    assert (own == y).mean() >= 0.98 and (own == y).mean() > (raw == y).mean() + 0.02
+
+
+def test_own_label_does_not_vote(spark):
+    """A row's votes come from other folds: they stay the same when all labels of its fold change."""
+    from pyspark.sql import functions as F
+    from alphaloom.llm import toxicity
+    docs, labels = table(spark, SF_CHECK, "documents"), table(spark, SF_CHECK, "labels")
+    sample, _ = toxicity.labelled_sample(docs, labels)
+    rows = toxicity.term_counts(sample).collect()
+    sizes = np.zeros((toxicity.FOLDS, 2))
+    for r in sample.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r.fold, r.label] = r.n
+    turned = sample.withColumn("label", F.when(F.col("fold") == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    swapped = sizes.copy()
+    swapped[0] = sizes[0, ::-1]
+    a, b = toxicity.lexicons_of(rows, sizes), toxicity.lexicons_of(toxicity.term_counts(turned).collect(), swapped)
+    assert a[0] == b[0] and any(a[0].values()) and a[1] != b[1]
+
+
+def test_toxicity_features_and_scores_against_a_plain_version(spark):
+    """Terms, votes and scores of small texts, counted by hand-written loops."""
+    from alphaloom.llm import toxicity as tx
+    text = "Trash people trash-talk; ABCDEFG abcdefgh idiot!!! l@@er"
+    words = {"trash", "people", "talk", "abcdefg", "abcdefgh", "idiot", "l", "er"}
+    assert tx.words_of(text) == words
+    want = {(0, w) for w in words}
+    for k in (3, 4, 5, 6):
+        begun = [w[:k] for w in words if len(w) > k]
+        want |= {(k, p) for p in begun} | {(100 + k, p) for p in begun if begun.count(p) > 1}
+    assert tx.terms_of(words) == want and (103, "abc") in want and (106, "abcdef") in want
+    assert tx.pattern_votes(text, words) == [1, 1, 1, 1, 0]
+    lexicon = {k: set() for k in tx.ALL_KINDS} | {0: {"trash", "idiot"}, 5: {"peopl"}, 104: {"abcd"}}
+    assert tx.votes_of(words, [1, 1, 1, 1, 0], lexicon) == [1, 1, 1, 1, 0, 0, 0, 0, 1, 1, 1, 1, 1, 0, 0, 0]
+    none = {k: set() for k in tx.ALL_KINDS}
+    assert tx.votes_of(set(), [0] * 5, none) == [0] * 14 + [-1, -1]
+    terms = tx.Terms({0: {"trash": 0}, 3: {"abc": 1}, 4: {}, 5: {}, 6: {}})
+    model = tx.Linear(terms, np.array([2.0, 0.5]), 1.5, -3.0)
+    odds = -3.0 + 1.5 + 2.0 + 2 * 0.5
+    assert abs(model.score(text) - 1 / (1 + np.exp(-odds))) < 1e-12
+    assert abs(model.score("") - 1 / (1 + np.exp(3.0))) < 1e-12
+
+
+def test_linear_fit_reaches_the_minimum():
+    """The accelerated steps end where the gradient of the stated loss, formed anew, vanishes."""
+    from collections import namedtuple
+    from alphaloom.llm import toxicity as tx
+    rng = np.random.default_rng(2)
+    Row = namedtuple("Row", "insult numbers times")
+    x = rng.integers(0, 3, size=(200, 6))
+    rows = [Row(int(i % 3 == 0), np.flatnonzero(v).astype("<i4").tobytes(), v[v > 0].astype("<i4").tobytes()) for i, v in enumerate(x)]
+    q, weights = rng.random(200), rng.random(200) + 0.5
+    m = tx.fit_linear(rows, q, weights, tx.Terms.of([]), 6)
+    full = np.column_stack([x, [r.insult for r in rows], np.ones(200)])
+    w = np.r_[m.weights, m.insult, m.constant]
+    miss = (1 / (1 + np.exp(-full @ w)) - q) * weights / weights.sum()
+    assert np.abs(full.T @ miss + tx.RIDGE * np.r_[w[:-1], 0]).max() < 1e-4
