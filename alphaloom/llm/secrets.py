@@ -3,7 +3,8 @@
 A byte-pair vocabulary writes ordinary words and names in few tokens and random
 strings in many.  Runs of key-like characters whose characters per token fall
 below a threshold are spans of kind ``random``, unless they are known digests
-(hex of a hash's length), UUIDs or plain numbers.  Readable text joined to a key
+(hex of a hash's length), UUIDs, plain numbers, or numbered names (timestamps, versions,
+book numbers: parts that are numbers or short words).  Readable text joined to a key
 raises the mean of the whole run, so where that passes the threshold the parts
 between = / + - _ are tested alone, and so are stretches of the token sequence with
 low means; what is found side by side is one span.  Separated words without digits
@@ -39,13 +40,14 @@ MIN_MIXED = 16                  # and of one that mixes character classes
 MIN_PART = 5                    # characters of the longest part of a stretch
 DROP, EDGE = 6, 8               # a stretch ends where its surplus falls by DROP; up to EDGE characters to a part's end join it
 MAX_CHARS_PER_TOKEN = 1.8
-PIECE = 4096                    # a run is tokenised in pieces of this size
+SHORT_PART = 8                  # longest part of a numbered name that may mix letters and digits
 
 _assign = re.compile(ASSIGN, re.I | re.A)
 _access = re.compile(ACCESS)
 _hex = re.compile(HEX)
 _run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_MIXED)
 _part = re.compile(r"[A-Za-z0-9]+")
+_numbered = re.compile(r"[0-9]+|[A-Za-z]*[0-9]*[A-Za-z]?|[0-9]+[TtVv][0-9]+[Zz]?")
 _named = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9]{%d,}|%s)(?![A-Za-z0-9])" % (
     MIN_RUN, "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in DIGEST_LENGTHS)))
 _known = re.compile(r"[0-9]+|[0-9a-f]+|[0-9A-F]+|(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12})")
@@ -88,8 +90,16 @@ def excluded(run: str) -> bool:
 
 
 def token_lengths(run: str, encoding) -> list[int]:
-    return [len(encoding.decode_single_token_bytes(t)) for i in range(0, len(run), PIECE)
-            for t in encoding.encode_ordinary(run[i:i + PIECE])]
+    return [len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(run)]
+
+
+def numbered_name(run: str, encoding) -> bool:
+    """Timestamps, versions, book and phone numbers, addresses of cards and the like: several
+    parts, each a number, a short word with a number, or letters that are readable."""
+    parts = _part.findall(run)
+    return len(parts) > 1 and all(
+        p.isdigit() or (len(p) <= SHORT_PART and _numbered.fullmatch(p) is not None)
+        or (p.isalpha() and len(p) / len(token_lengths(p, encoding)) > MAX_CHARS_PER_TOKEN) for p in parts)
 
 
 def is_random(run: str, encoding) -> bool:
@@ -98,7 +108,7 @@ def is_random(run: str, encoding) -> bool:
         return False
     if excluded(run) and not (run.isalpha() and len(run) >= MIN_RUN):
         return False
-    return len(run) / len(token_lengths(run, encoding)) <= MAX_CHARS_PER_TOKEN
+    return len(run) / len(token_lengths(run, encoding)) <= MAX_CHARS_PER_TOKEN and not numbered_name(run, encoding)
 
 
 def stretches(run: str, encoding) -> list[tuple[int, int]]:
@@ -144,7 +154,7 @@ def parts_found(run: str, encoding) -> list[tuple[int, int]]:
             joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
         else:
             joined.append((a, b))
-    return joined
+    return [(a, b) for a, b in joined if not numbered_name(run[a:b], encoding)]
 
 
 def random_spans(text: str, encoding) -> list[tuple[int, int, int]]:
@@ -171,8 +181,9 @@ def scan(docs: DataFrame, vocabulary: str) -> DataFrame:
     """One row per document row: doc_id, spans (array of kind, start, stop), n_assign,
     n_access, n_hex, base_sha256, and the spans written out as ``spans_text``.
 
-    Null and empty texts have no spans and the digest of the empty string.
-    Rows that repeat an id get a row each; other columns are ignored."""
+    Null and empty texts have no spans and the digest of the empty string; very long texts
+    and runs are scanned whole.  Rows that repeat an id get a row each; other columns are
+    ignored; an empty table gives no rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tiktoken_encoding(vocabulary)
         for batch in batches:
@@ -196,7 +207,7 @@ def scan(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def redact(docs: DataFrame, vocabulary: str, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span's characters replaced by ``mask`` (overlapping
-    spans by one mask); a null text stays null."""
+    spans by one mask), all columns and rows kept; a null text stays null, an empty table empty."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,6 +97,70 @@ def test_keys_after_readable_text_and_letters_only_keys_are_found():
     assert [p for p in plain if secrets.random_spans(p, enc)] == []
 
 
+IDENTIFIERS = """2024-01-02T10-11-12Z 2024-01-02T10-11-12-000Z 2024_01_02_10_11_12_backup backup-2024-01-02T10-11-12Z
+/var/log/app/2024-01-02T10-11-12Z ISBN978-3-16-148410-0 ISBN-13-978-0-306-40615-7 ISSN-2049-3630-0001 DE89370400440532013000
+GB29NWBK60161331926819 v1-26-0-rc3-20240102 spark-4-1-2-bin-hadoop3 python3-13-7-linux-x86_64 x86_64-unknown-linux-gnu
++1-202-555-0143-ext-22 ORD-2024-000123-0042 INV-2024-00012345-DE IMG_20240102_101112_001 CVE-2024-12345-CVE-2024-54321
+00-1A-2B-3C-4D-5E-6F-70 4111-1111-1111-1111 PMID-12345678-PMC-7654321 2024-W01-2/2024-W02-3 part-00000-of-00128
+page_12_line_34_col_56_row_78 com/example/project/module2/Class3 arXiv-2401-01234v2-2401-05678v1""".split()
+
+
+def test_identifiers_are_not_reported():
+    enc = tiktoken_encoding(PATH)
+    assert [i for i in IDENTIFIERS if secrets.random_spans(f"see {i}, ok", enc)] == []
+
+
+def test_clean_documents_have_no_random_spans(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").collect()
+    enc = tiktoken_encoding(PATH)
+    clean = [r for r in docs if r.text and not brute_base(r.text)]
+    assert len(clean) > 500
+    assert [(r.doc_id, secrets.random_spans(r.text, enc)) for r in clean if secrets.random_spans(r.text, enc)] == []
+
+
+def brute_random(word, enc):
+    """Whether a word of letters and digits is random, from the written rule."""
+    mixed = re.search("[0-9]", word) and re.search("[A-Za-z]", word)
+    turns = len(re.findall("[a-z][A-Z]", word)) >= 3
+    if len(word) < 16 or (len(word) < 20 and not (mixed or turns)) or word.isdigit():
+        return False
+    if len(word) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-f]+|[0-9A-F]+", word):
+        return False
+    if not (mixed or turns or word.isalpha()):
+        return False
+    return len(word) / len(enc.encode_ordinary(word)) <= 1.8
+
+
+def test_random_spans_of_single_words_match_brute_force():
+    enc = tiktoken_encoding(PATH)
+    rng = random.Random(8)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_lowercase, string.ascii_uppercase, string.digits, "0123456789abcdef"]
+    found = 0
+    for _ in range(400):
+        words = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(1, 70))) for _ in range(8)]
+        text, at, want = " ".join(words), 0, set()
+        for w in words:
+            if brute_random(w, enc):
+                want.add((at, 3, at + len(w)))
+            at += len(w) + 1
+        got = set(secrets.random_spans(text, enc))
+        assert want <= got
+        # what else is found are stretches inside words whose whole mean is above the threshold
+        for a, _, b in got - want:
+            assert not any(x <= a and b <= y for x, _, y in want)
+            assert (b - a) / len(enc.encode_ordinary(text[a:b])) < 2.2
+        found += len(want)
+    assert found > 500
+
+
+def test_very_long_runs_are_tokenised_whole():
+    enc = tiktoken_encoding(PATH)
+    key = "".join(random.Random(5).choices(string.ascii_letters + string.digits, k=50_000))
+    assert sum(secrets.token_lengths(key, enc)) == len(key)
+    assert len(secrets.token_lengths(key, enc)) == len(enc.encode_ordinary(key))
+    assert secrets.random_spans(f"x {key} y", enc) == [(2, 3, 50_002)]
+
+
 def test_redact_hides_every_span(spark):
     rows = tricky()
     got = secrets.redact(spark.createDataFrame(rows, SCHEMA), PATH).collect()
