@@ -86,6 +86,15 @@ def features(docs: DataFrame) -> DataFrame:
         .mapInArrow(run, "doc_id bigint, x array<double>")
 
 
+def feature_udf():
+    """The features of a text column's rows, as an Arrow function."""
+    @F.arrow_udf("array<double>")
+    def of_texts(text: pa.Array) -> pa.Array:
+        x = feature_rows(text)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+    return of_texts
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
 
@@ -219,7 +228,8 @@ def learn_rows() -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted.
 
-    Null and empty texts have a feature vector of their own and get a score.
+    Null and empty texts have a feature vector of their own and get a score; very long texts
+    are read whole; other columns are ignored; an empty table gives no rows.
     Rows that repeat an id are scored each; a null id has no label and is held
     out.  With fewer than two training rows of a class every score is the
     smoothed share of label 1."""
@@ -236,12 +246,19 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows scored 0.5 or more, with all columns and without a shuffle of texts."""
-    model = train(materialize(features(docs), "quality-features"), labels, learn_rows())
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = model.score(feature_rows(batch.column(at).cast(pa.string()).fill_null(""))) >= 0.5
-            yield batch.filter(pa.array(good))
-    return docs.mapInArrow(run, docs.schema)
+    """The rows scored 0.5 or more, with all columns and without a shuffle of texts.
+
+    Features are taken once and written beside the rows (in a column of a name that ``docs``
+    does not have); the fit reads the features only.  Nulls, empty and very long texts and
+    repeated ids as in ``score_documents``; other columns of any name are kept; an empty
+    table gives an empty one."""
+    name = "features"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    rows = materialize(docs.withColumn(name, feature_udf()(text_of())), "quality-rows")
+    model = train(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(name).alias("x")), labels, learn_rows())
+
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(matrix(x)))
+    return rows.where(score(name) >= 0.5).select(*docs.columns)

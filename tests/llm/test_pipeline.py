@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from alphaloom.llm import quality
 from alphaloom.llm.common import table
@@ -73,6 +75,19 @@ def test_stages_take_awkward_and_empty_tables(spark):
         assert stage(spark, spark.createDataFrame([], SCHEMA), SF_SMALL).collect() == [], name
 
 
+def test_quality_stage_keeps_columns_of_any_name_and_equals_the_scores(spark):
+    docs = table(spark, SF_SMALL, "documents").unionByName(awkward(spark).withColumn("n_chars", F.lit(1).cast("bigint")))
+    docs = docs.selectExpr("*", "n_chars AS features", "lang AS Features_", "source AS x", "doc_id AS label", "text AS score", "1 AS part")
+    labels = table(spark, SF_SMALL, "labels")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    got = Counter(r.doc_id for r in kept.select("doc_id").collect())
+    want = quality.score_documents(docs, labels).where("predicted = 1")
+    assert got == Counter(r.doc_id for r in want.collect()) and got
+    assert all((r.features, r.Features_, r.x, r.label, r.score) == (r.n_chars, r.lang, r.source, r.doc_id, r.text)
+               for r in kept.collect())
+
+
 def test_run_returns_packed_pieces(spark):
     out = cp.run(spark, SF_SMALL)
     assert {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(out.columns)
