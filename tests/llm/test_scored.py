@@ -1,4 +1,10 @@
+import math
+import string
+import struct
+import zlib
+
 import numpy as np
+import xxhash
 
 from alphaloom.llm import quality
 from alphaloom.llm.common import table
@@ -187,3 +193,60 @@ def test_linear_fit_reaches_the_minimum():
     w = np.r_[m.weights, m.insult, m.constant]
     miss = (1 / (1 + np.exp(-full @ w)) - q) * weights / weights.sum()
     assert np.abs(full.T @ miss + tx.RIDGE * np.r_[w[:-1], 0]).max() < 1e-4
+
+
+def plain_features(text):
+    """The 21 statistics from their names, character by character."""
+    data = text.encode()
+    n, words = len(data), data.split()
+    w = len(words)
+    sets = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:'\"()?-",
+            b"#%&$*+/<=>@\\^_`{}~[]", b"!", b"|", b" \t\n\r\x0b\x0c", bytes(range(128, 256))]
+    sizes = [len(x) for x in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    spread = math.sqrt(sum((s - mean) ** 2 for s in sizes) / len(sizes))
+    pairs = list(zip(words, words[1:]))
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    marked = [x for x in words if chr(x[-1]) not in string.ascii_letters + string.digits + ".,;:?" and x[-1] < 128]
+    return [math.log(1 + n), math.log(1 + w), math.log(1 + mean), math.log(1 + spread),
+            *[math.sqrt(sum(b in s for b in data) / max(n, 1)) for s in sets],
+            math.log(1 + len(set(words))) / math.log(1 + w) if w else 1.0,
+            math.sqrt(max([words.count(x) for x in set(words)] or [0]) / max(w, 1)),
+            math.sqrt(sum(a == b for a, b in pairs) / max(w - 1, 1)),
+            math.sqrt(1 - len(set(pairs)) / len(pairs)) if pairs else 0.0,
+            math.sqrt(1 - len(set(lines)) / len(lines)) if lines else 0.0,
+            math.sqrt(len(marked) / max(w, 1)), math.sqrt(sum(s <= 3 for s in sizes) / max(w, 1)),
+            -sum(data.count(b) / n * math.log(data.count(b) / n) for b in set(data))]
+
+
+def plain_log_odds(x, y, at, pooled_share, identity_share, temperature):
+    """Quadratic discriminant fitted on (x, y), at rows ``at``, by determinants and solved systems."""
+    centre, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-8))
+    z, q = (x - centre) / scale, (at - centre) / scale
+    covs = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum(c * (y == k).mean() for k, c in enumerate(covs))
+    dens = []
+    for k in (0, 1):
+        cov = (1 - identity_share) * ((1 - pooled_share) * covs[k] + pooled_share * pooled) + identity_share * np.eye(x.shape[1])
+        diff = q - z[y == k].mean(0)
+        dens.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (diff * np.linalg.solve(cov, diff.T).T).sum(1))
+    return (dens[1] - dens[0]) / temperature
+
+
+def test_quality_scores_match_a_plain_recomputation(spark):
+    docs, labels = table(spark, SF_CHECK, "documents"), table(spark, SF_CHECK, "labels")
+    got = {r.doc_id: r for r in quality.score_documents(docs, labels).collect()}
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    assert len(got) == len(rows) == docs.count()
+    x = {d: plain_features(t) for d, t in rows.items()}
+    learn = [d for d in rows if known.get(d) in (0, 1) and zlib.crc32(str(d).encode()) % 3 != 1]
+    part = np.array([xxhash.xxh64(struct.pack("<q", d), seed=42).intdigest() % 4 == 0 for d in learn])
+    xs, ys = np.array([x[d] for d in learn]), np.array([known[d] for d in learn])
+    grid = [(p, i, t) for p in (0.05, 0.3, 0.7) for i in (0.01, 0.1, 0.4) for t in (1.0, 3.0, 10.0)]
+    losses = [np.logaddexp(0, -(2 * ys[part] - 1) * plain_log_odds(xs[~part], ys[~part], xs[part], *g)).sum() for g in grid]
+    ids = sorted(rows)
+    odds = plain_log_odds(xs, ys, np.array([x[d] for d in ids]), *grid[int(np.argmin(losses))])
+    want = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    assert np.allclose([got[d].score for d in ids], want, atol=1e-6)
+    assert all(got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d in ids)
