@@ -19,6 +19,9 @@ never does, at any size, and needs no key and no job while it is built:
 5. the ranks are joined back on ``(g, metric, v)`` (adaptive execution splits a
    hot value) and the narrow rows are folded by the id they were given together.
 
+The joins always shuffle: how many narrow rows they get can't be told from the size of the
+files, and broadcast because the files are small they would fill the driver.
+
 Rows that repeat, NULL groups and NULL keys rank like any other.  NaN ranks above
 every number in ascending and below in descending order; loaders turn it to NULL.
 """
@@ -80,7 +83,7 @@ def _ranked_level(rows: DataFrame, parents: list[str], order: Column) -> DataFra
     same = F.col("g").eqNullSafe(F.col("_g"))
     for p in parents[1:]:
         same = same & (F.col(p) == F.col(f"_{p}"))
-    return ranked.join(up, same).select(*rows.columns, (F.col("before") + F.col("_before")).alias("before"), "n")
+    return ranked.join(up.hint("merge"), same).select(*rows.columns, (F.col("before") + F.col("_before")).alias("before"), "n")
 
 
 def value_ranks(narrow: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def grouped_percent_rank(df: DataFrame, group: str, specs: list[RankSpec]) -> Da
                .withColumn("row", F.when(F.col("metric") == 0, F.col("row"))))
     ranks = value_ranks(narrow)
     same = F.col("g").eqNullSafe(F.col("rg")) & (F.col("metric") == F.col("rm")) & F.col("v").eqNullSafe(F.col("rv"))
-    folded = carried.join(ranks, same).groupBy("rid").agg(
+    folded = carried.hint("merge").join(ranks, same).groupBy("rid").agg(
         F.any_value("row", True).alias("row"),
         *[F.max(F.when(F.col("metric") == i, F.col("p"))).alias(s.name) for i, s in enumerate(specs)])
     return folded.select("row.*", *[s.name for s in specs])

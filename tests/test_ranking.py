@@ -118,3 +118,10 @@ def test_building_starts_no_job_and_needs_no_group_in_one_task(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "percent_rank" not in plan and "SinglePartition" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_exploded_rows_are_never_broadcast(spark):
+    """How small the files are says nothing about the rows they are exploded to."""
+    df = fu.factor_scores(st.cleaned(spark, SF_CHECK)).groupBy("conviction").count()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
