@@ -6,7 +6,8 @@ never does, at any size, and needs no key and no job while it is built:
 
 1. every row becomes one narrow row per ranked column ``(g, metric, v)``; a
    descending order ranks ``-x`` ascending, NULLs last.  The first of them
-   carries the row itself;
+   carries the row itself.  ``g`` is the group in a struct: a NULL group joins like any other,
+   and no join needs another shuffle for it;
 2. a histogram ``(g, metric, v) -> c`` (map-side combined, so a hot value
    collapses before the shuffle);
 3. a value is cut into digits that keep its order: its power of two with ten
@@ -63,8 +64,8 @@ def _digits(rows: DataFrame) -> DataFrame:
     rows = rows.selectExpr("*", f"abs(v) * pow(2D, -_power) * {1 << TOP_BITS}D AS _x")
     return rows.selectExpr(
         "g", "metric", "v", "c",
-        f"""CAST(CASE WHEN v IS NULL THEN {above + 2} WHEN isnan(v) THEN {above + 1} WHEN _power IS NULL THEN {above} * _sign
-                 ELSE ((_power - {LOW}) * {2 << TOP_BITS} + floor(_x)) * _sign END AS int) AS d1""",
+        f"""coalesce(CAST(CASE WHEN v IS NULL THEN {above + 2} WHEN isnan(v) THEN {above + 1} WHEN _power IS NULL THEN {above} * _sign
+                 ELSE ((_power - {LOW}) * {2 << TOP_BITS} + floor(_x)) * _sign END AS int), 0) AS d1""",
         f"coalesce(CAST(floor((_x - floor(_x)) * {1 << DIGIT_BITS}D) AS int) * _sign, 0) AS d2")
 
 
@@ -80,14 +81,11 @@ def _ranked_level(rows: DataFrame, parents: list[str], order: Column) -> DataFra
     sums = ranked.groupBy(*parents).agg(F.max(F.col("before") + F.col("c")).alias("c"))     # no further shuffle
     up = _ranked_level(sums, parents[:-1], F.col(parents[-1]).asc()).drop("c")
     up = up.withColumnsRenamed({p: f"_{p}" for p in parents} | {"before": "_before"})
-    same = F.col("g").eqNullSafe(F.col("_g"))
-    for p in parents[1:]:
-        same = same & (F.col(p) == F.col(f"_{p}"))
-    return ranked.join(up.hint("merge"), same).select(*rows.columns, (F.col("before") + F.col("_before")).alias("before"), "n")
+    return ranked.join(up.hint("merge"), [F.col(p) == F.col(f"_{p}") for p in parents]).select(*rows.columns, (F.col("before") + F.col("_before")).alias("before"), "n")
 
 
 def value_ranks(narrow: DataFrame) -> DataFrame:
-    """``(g, metric, v, p)`` of the distinct values of ``narrow`` (g, metric, v)."""
+    """``(g, metric, v, p)`` of the distinct values of ``narrow`` (g, metric, v); g is never NULL."""
     hist = _digits(narrow.groupBy("g", "metric", "v").agg(F.count(F.lit(1)).alias("c")))
     ranked = _ranked_level(hist, ["g", "metric", "d1", "d2"], F.col("v").asc_nulls_last())
     return ranked.select(
@@ -100,14 +98,16 @@ def grouped_percent_rank(df: DataFrame, group: str, specs: list[RankSpec]) -> Da
     row = F.struct(*df.columns) if all("." not in c and "`" not in c for c in df.columns) else F.struct(*map(_col, df.columns))
     cells = F.expr("array(" + ", ".join(
         f"named_struct('metric', {i}, 'v', CAST({'' if s.ascending else '-'}`{s.column}` AS double))" for i, s in enumerate(specs)) + ")")
-    narrow = df.select(_col(group).alias("g"), F.inline(cells))
-    carried = (df.select(_col(group).alias("g"), row.alias("row"), F.monotonically_increasing_id().alias("rid"),
+    key = F.struct(_col(group).alias("k")).alias("g")
+    narrow = df.select(key, F.inline(cells))
+    carried = (df.select(key, row.alias("row"), F.monotonically_increasing_id().alias("rid"),
                          cells.alias("cells"))
                .select("g", "rid", "row", F.inline("cells"))
                .withColumn("row", F.when(F.col("metric") == 0, F.col("row"))))
     ranks = value_ranks(narrow)
-    same = F.col("g").eqNullSafe(F.col("rg")) & (F.col("metric") == F.col("rm")) & F.col("v").eqNullSafe(F.col("rv"))
-    folded = carried.hint("merge").join(ranks, same).groupBy("rid").agg(
+    same = (F.col("g") == F.col("rg")) & (F.col("metric") == F.col("rm")) & F.col("v").eqNullSafe(F.col("rv"))
+    # dealt by id before the aggregation: a sum before that shuffle would sort all rows and join none
+    folded = carried.hint("merge").join(ranks, same).select("rid", "row", "metric", "p").repartition("rid").groupBy("rid").agg(
         F.any_value("row", True).alias("row"),
         *[F.max(F.when(F.col("metric") == i, F.col("p"))).alias(s.name) for i, s in enumerate(specs)])
     return folded.select("row.*", *[s.name for s in specs])

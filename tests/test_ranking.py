@@ -125,3 +125,15 @@ def test_exploded_rows_are_never_broadcast(spark):
     df = fu.factor_scores(st.cleaned(spark, SF_CHECK)).groupBy("conviction").count()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_the_histogram_is_shuffled_once(spark):
+    """A NULL group and a NULL value among the keys: what reads the histogram twice reads one shuffle."""
+    rows = [(i, [None, "a", "b"][i % 3], [None, -0.0, 0.0, i / 7][i % 4]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, grp string, x double").repartition(4)
+    specs = [RankSpec("px", "x", True), RankSpec("qx", "x", False)]
+    compare(df, "grp", specs)
+    done = grouped_percent_rank(df, "grp", specs)
+    done.collect()
+    final = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("functions=[partial_count(1)]") == 1 and "ReusedExchange" in final
